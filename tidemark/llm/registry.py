@@ -6,7 +6,15 @@ from importlib import import_module
 
 #: Query name: its module. The query is the module's query(); its SQL, where there is any, is ORACLE_SQL.
 MODULES = {
+    "op1_pii_surrogates": "pii",
     "op2_simhash_ball": "simhash",
+    "op3_kneser_ney_quality": "quality",
+    "op4_stratified_interleave": "sharding",
+    "op5_qgram_decontaminate": "decontaminate",
+    "op6_warc_revisit": "warc",
+    "op7_rule_ledger": "rules",
+    "op9_bm25_packing": "packing",
+    "op10_url_template_tree": "urls",
 }
 
 
