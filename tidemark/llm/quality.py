@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize, shared_dir
 
-#: Characters in one block; the quantile of trusted perplexities, and how far over it (as a factor) a document may lie.
-BLOCK_CHARS, QUANTILE, MARGIN = 16_000_000, 0.995, 1.1
+#: Characters in one block; the quantile of trusted scores, and how far over it (as a factor) a document may lie; the
+#: allowance for the scatter of short texts: a score is the perplexity divided by exp(SHORT / sqrt(symbols)).
+BLOCK_CHARS, QUANTILE, MARGIN, SHORT = 16_000_000, 0.995, 1.1, 3.0
 START, END = 2, 3
 _SPACES, _DIGITS = re.compile(r"\s+"), re.compile(r"\d")
 ORDER = 4
@@ -249,10 +250,11 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """perplexities() with `threshold` and `kept`. Rows without a perplexity or threshold are kept: nothing speaks against them."""
+    """perplexities() with `score`, `threshold` and `kept`. Rows without a perplexity or threshold are kept: nothing speaks against them."""
     scored = perplexities(docs, trusted_ids, id_col, text_col, lang_col)
-    limits = scored.where("trusted").groupBy("lang").agg((F.percentile_approx("perplexity", quantile, 10000) * margin).alias("threshold"))
-    return scored.join(limits, "lang", "left").withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
+    scored = scored.withColumn("score", F.col("perplexity") * F.exp(-SHORT / F.sqrt(F.col("n_symbols") + 1)))
+    limits = scored.where("trusted").groupBy("lang").agg((F.percentile_approx("score", quantile, 10000) * margin).alias("threshold"))
+    return scored.join(limits, "lang", "left").withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
 
 def filter_documents(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -272,4 +274,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op3: perplexity, threshold and verdict of every document."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = classify(docs, trusted(labels))
-    return out.select("doc_id", "lang", "trusted", "n_symbols", F.round("perplexity", 6).alias("perplexity"), F.round("threshold", 6).alias("threshold"), "kept")
+    return out.select("doc_id", "lang", "trusted", "n_symbols", F.round("perplexity", 6).alias("perplexity"), F.round("score", 6).alias("score"), F.round("threshold", 6).alias("threshold"), "kept")
