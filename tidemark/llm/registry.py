@@ -13,6 +13,7 @@ MODULES = {
     "op5_qgram_decontaminate": "decontaminate",
     "op6_warc_revisit": "warc",
     "op7_rule_ledger": "rules",
+    "op8_wrapper_extract": "wrappers",
     "op9_bm25_packing": "packing",
     "op10_url_template_tree": "urls",
 }
