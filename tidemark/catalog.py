@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+PLANS = ("transforms",)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for plan in PLANS for name, q in import_module(f"tidemark.plans.{plan}").QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in PLANS for name, sql in import_module(f"tidemark.plans.{plan}").SQL.items()}
