@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PLANS = ("transforms", "features")
+PLANS = ("transforms", "features", "measures")
 
 
 def queries() -> dict:
