@@ -24,6 +24,8 @@ from tidemark.llm.common import materialize, shared_dir
 #: Characters in one block; the quantile of trusted scores, and how far over it (as a factor) a document may lie; the
 #: allowance for the scatter of short texts: a score is the perplexity divided by exp(SHORT / sqrt(symbols)).
 BLOCK_CHARS, QUANTILE, MARGIN, SHORT = 16_000_000, 0.995, 1.1, 3.0
+#: One trusted document in so many is kept out of the model and sets the threshold: text that a model has seen scores too well.
+CALIBRATE = 5
 START, END = 2, 3
 _SPACES, _DIGITS = re.compile(r"\s+"), re.compile(r"\d")
 ORDER = 4
@@ -121,7 +123,8 @@ def _open(content: bytes) -> pa.Table:
 def requests(blocks: DataFrame) -> DataFrame:
     """(block, lang, gram, trusted): the distinct 4-grams of each block, and their count in trusted documents.
 
-    blocks: (block, lang, content, places), places: which of the block's documents are trusted.
+    blocks: (block, lang, content, places); places: the trusted documents of the block, each as twice its number, plus one if it is
+    kept out of the model.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def requests(blocks: DataFrame) -> DataFrame:
                 if not len(index):
                     continue
                 mark = np.zeros(len(sizes), bool)
-                mark[places.as_py() or []] = True
+                mark[[p >> 1 for p in places.as_py() or [] if not p & 1]] = True
                 trusted = np.repeat(mark, sizes)[ORDER - 1 :]
                 inside = np.ones(len(codes), bool)
                 ends = np.cumsum(sizes)
@@ -195,18 +198,18 @@ def log_probabilities(asked: DataFrame, tables: dict[int, tuple[DataFrame, DataF
     return cur.join(known, "lang", "left_semi").select("lang", "gram", F.log("q").alias("logp"))
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, text_key, lang, trusted, n_symbols, perplexity) for every row of docs.
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate: int = CALIBRATE) -> DataFrame:
+    """(doc_id, text_key, lang, trusted, held_out, n_symbols, perplexity) for every row of docs.
 
-    trusted_ids: (doc_id). Null texts are empty (their perplexity is that of the end symbol), null languages are
+    trusted_ids: (doc_id). One in `calibrate` of them is not in the model (0: all are). Null texts are empty (their perplexity is that of the end symbol), null languages are
     the language ''. Perplexity is null in languages without trusted text. Repeated rows are scored each.
     """
     spark = docs.sparkSession
-    ids = trusted_ids.select(F.col("doc_id").alias("id")).distinct()
+    ids = trusted_ids.select(F.col("doc_id").alias("id")).distinct().withColumn("out", (F.pmod(F.xxhash64("id"), F.lit(calibrate)) == 0).cast("int") if calibrate else F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     name = store(pack(rows.select("doc_id", F.md5("text").alias("text_key"), "lang", "text")))
     blocks = spark.table(name)
-    places = blocks.select("block", F.posexplode("ids").alias("place", "id")).join(ids, "id").groupBy("block").agg(F.collect_list("place").alias("places"))
+    places = blocks.select("block", F.posexplode("ids").alias("place", "id")).join(ids, "id").groupBy("block").agg(F.collect_list(2 * F.col("place") + F.col("out")).alias("places"))
     marked = blocks.join(places, "block", "left").select("block", "lang", "content", "places")
     asked = materialize(requests(marked), "kn-requests")
     counts = materialize(asked.where("trusted > 0").groupBy("lang", "gram").agg(F.sum("trusted").alias("n")), "kn-4")
@@ -235,25 +238,29 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
                     sums = np.r_[0.0, np.cumsum(value)]
                     total = sums[ends - (ORDER - 1)] - sums[ends - sizes]
                     ppl = np.exp(-total / (sizes - (ORDER - 1)))
-                mark = np.zeros(len(sizes), bool)
-                mark[places.as_py() or []] = True
+                mark = np.zeros((2, len(sizes)), bool)
+                for p in places.as_py() or []:
+                    mark[0, p >> 1], mark[1, p >> 1] = True, p & 1
                 yield pa.RecordBatch.from_arrays(
-                    [docs.column("doc_id").combine_chunks(), docs.column("text_key").combine_chunks(), pa.array([lang.as_py()] * len(sizes), pa.string()), pa.array(mark), pa.array(sizes - ORDER, pa.int64()), pa.array(ppl, from_pandas=True)],
-                    names=["doc_id", "text_key", "lang", "trusted", "n_symbols", "perplexity"],
+                    [docs.column("doc_id").combine_chunks(), docs.column("text_key").combine_chunks(), pa.array([lang.as_py()] * len(sizes), pa.string()), pa.array(mark[0]), pa.array(mark[1]), pa.array(sizes - ORDER, pa.int64()), pa.array(ppl, from_pandas=True)],
+                    names=["doc_id", "text_key", "lang", "trusted", "held_out", "n_symbols", "perplexity"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
     joined = marked.join(answered, "block", "left").select("lang", "content", "places", "grams", "logps")
-    out = materialize(joined.mapInArrow(score, f"doc_id {kind}, text_key string, lang string, trusted boolean, n_symbols long, perplexity double"), "kn-perplexities")
+    out = materialize(joined.mapInArrow(score, f"doc_id {kind}, text_key string, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double"), "kn-perplexities")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out
 
 
-def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """perplexities() with `score`, `threshold` and `kept`. Rows without a perplexity or threshold are kept: nothing speaks against them."""
-    scored = perplexities(docs, trusted_ids, id_col, text_col, lang_col)
+def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, calibrate: int = CALIBRATE) -> DataFrame:
+    """perplexities() with `score`, `threshold` and `kept`. The threshold is that of held-out
+    trusted documents, or of all trusted ones in a language without. Rows without a perplexity or threshold are kept: nothing
+    speaks against them."""
+    scored = perplexities(docs, trusted_ids, id_col, text_col, lang_col, calibrate)
     scored = scored.withColumn("score", F.col("perplexity") * F.exp(-SHORT / F.sqrt(F.col("n_symbols") + 1)))
-    limits = scored.where("trusted").groupBy("lang").agg((F.percentile_approx("score", quantile, 10000) * margin).alias("threshold"))
+    at = lambda rows: F.percentile_approx(F.when(rows, F.col("score")), quantile, 10000)
+    limits = scored.where("trusted").groupBy("lang").agg((F.coalesce(at(F.col("held_out")), at(F.lit(True))) * margin).alias("threshold"))
     return scored.join(limits, "lang", "left").withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
 
