@@ -24,6 +24,8 @@ from tidemark.llm.common import materialize, shared_dir
 #: Characters in one block; the quantile of trusted scores, and how far over it (as a factor) a document may lie; the
 #: allowance for the scatter of short texts: a score is the perplexity divided by exp(SHORT / sqrt(symbols)).
 BLOCK_CHARS, QUANTILE, MARGIN, SHORT = 16_000_000, 0.995, 1.1, 3.0
+#: Symbols of a block that are worked on at once (or one document).
+CHUNK = 1 << 20
 #: One trusted document in so many is kept out of the model and sets the threshold: text that a model has seen scores too well.
 CALIBRATE = 5
 START, END = 2, 3
@@ -58,7 +60,7 @@ def number(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     else:
         pair = np.searchsorted(used, pair)
     four = pair[:-2] * len(used) + pair[2:]
-    if len(used) ** 2 <= 1 << 26:
+    if len(used) ** 2 <= 1 << 24:
         kinds = np.flatnonzero(np.bincount(four, minlength=len(used) ** 2))
         to = np.zeros(len(used) ** 2, np.int32)
         to[kinds] = np.arange(len(kinds))
@@ -116,8 +118,15 @@ def store(blocks: DataFrame) -> str:
     return name
 
 
-def _open(content: bytes) -> pa.Table:
-    return pa.ipc.open_stream(content).read_all()
+def _chunks(content: bytes) -> Iterator[tuple[int, pa.Table]]:
+    """(number of the first document, documents) of a block, some CHUNK characters at a time."""
+    rows = pa.ipc.open_stream(content).read_all()
+    ends = np.cumsum(pa.compute.utf8_length(rows.column("text")).to_numpy())
+    at = 0
+    while at < rows.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+        yield at, rows.slice(at, to - at)
+        at = to
 
 
 def requests(blocks: DataFrame) -> DataFrame:
@@ -130,24 +139,25 @@ def requests(blocks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, content, places in zip(*batch.columns, strict=True):
-                rows = _open(content.as_py())
-                codes, sizes = symbols(rows.column("text").to_pylist())
-                grams, index = number(codes)
-                if not len(index):
+                taught = {p >> 1 for p in places.as_py() or [] if not p & 1}
+                parts = []
+                for first, rows in _chunks(content.as_py()):
+                    codes, sizes = symbols(rows.column("text").to_pylist())
+                    grams, index = number(codes)
+                    trusted = np.repeat(np.fromiter((first + k in taught for k in range(len(sizes))), bool, len(sizes)), sizes)[ORDER - 1 :]
+                    inside = np.ones(len(codes), bool)
+                    ends = np.cumsum(sizes)
+                    for k in range(ORDER - 1):  # 4-grams that would begin in the text before
+                        inside[ends[:-1] + k] = False
+                    inside = inside[ORDER - 1 :]
+                    asked = np.zeros(len(grams), bool)
+                    asked[index[inside]] = True
+                    parts.append((grams[asked], np.bincount(index[inside & trusted], minlength=len(grams))[asked]))
+                if not parts:
                     continue
-                mark = np.zeros(len(sizes), bool)
-                mark[[p >> 1 for p in places.as_py() or [] if not p & 1]] = True
-                trusted = np.repeat(mark, sizes)[ORDER - 1 :]
-                inside = np.ones(len(codes), bool)
-                ends = np.cumsum(sizes)
-                for k in range(ORDER - 1):  # 4-grams that would begin in the text before
-                    inside[ends[:-1] + k] = False
-                inside = inside[ORDER - 1 :]
-                asked = np.zeros(len(grams), bool)
-                asked[index[inside]] = True
-                counts = np.bincount(index[inside & trusted], minlength=len(grams))
-                n = int(asked.sum())
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * n, pa.string()), pa.array([lang.as_py()] * n, pa.string()), pa.array(grams[asked]), pa.array(counts[asked].astype(np.int64))], names=["block", "lang", "gram", "trusted"])
+                grams, index = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+                counts = np.bincount(index, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(grams), pa.string()), pa.array([lang.as_py()] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["block", "lang", "gram", "trusted"])
 
     return blocks.mapInArrow(run, "block string, lang string, gram long, trusted long")
 
@@ -226,25 +236,26 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, content, places, known, logps in zip(*batch.columns, strict=True):
-                docs = _open(content.as_py())
-                codes, sizes = symbols(docs.column("text").to_pylist())
-                ppl = np.full(len(sizes), np.nan)
+                marks = {p >> 1: p & 1 for p in places.as_py() or []}
+                have = values = None
                 if known.as_py() is not None:
-                    grams, index = number(codes)
                     have, values = np.frombuffer(known.as_py(), np.int64), np.frombuffer(logps.as_py(), np.float64)
-                    at = np.minimum(np.searchsorted(have, grams), len(have) - 1)
-                    value = np.where(have[at] == grams, values[at], 0.0)[index]
-                    ends = np.cumsum(sizes)
-                    sums = np.r_[0.0, np.cumsum(value)]
-                    total = sums[ends - (ORDER - 1)] - sums[ends - sizes]
-                    ppl = np.exp(-total / (sizes - (ORDER - 1)))
-                mark = np.zeros((2, len(sizes)), bool)
-                for p in places.as_py() or []:
-                    mark[0, p >> 1], mark[1, p >> 1] = True, p & 1
-                yield pa.RecordBatch.from_arrays(
-                    [docs.column("doc_id").combine_chunks(), docs.column("text_key").combine_chunks(), pa.array([lang.as_py()] * len(sizes), pa.string()), pa.array(mark[0]), pa.array(mark[1]), pa.array(sizes - ORDER, pa.int64()), pa.array(ppl, from_pandas=True)],
-                    names=["doc_id", "text_key", "lang", "trusted", "held_out", "n_symbols", "perplexity"],
-                )
+                for first, rows in _chunks(content.as_py()):
+                    codes, sizes = symbols(rows.column("text").to_pylist())
+                    ppl = np.full(len(sizes), np.nan)
+                    if have is not None:
+                        grams, index = number(codes)
+                        at = np.minimum(np.searchsorted(have, grams), len(have) - 1)
+                        value = np.where(have[at] == grams, values[at], 0.0)[index]
+                        ends = np.cumsum(sizes)
+                        sums = np.r_[0.0, np.cumsum(value)]
+                        total = sums[ends - (ORDER - 1)] - sums[ends - sizes]
+                        ppl = np.exp(-total / (sizes - (ORDER - 1)))
+                    mark = [marks.get(first + k) for k in range(len(sizes))]
+                    yield pa.RecordBatch.from_arrays(
+                        [rows.column("doc_id").combine_chunks(), rows.column("text_key").combine_chunks(), pa.array([lang.as_py()] * len(sizes), pa.string()), pa.array([m is not None for m in mark]), pa.array([m == 1 for m in mark]), pa.array(sizes - ORDER, pa.int64()), pa.array(ppl, from_pandas=True)],
+                        names=["doc_id", "text_key", "lang", "trusted", "held_out", "n_symbols", "perplexity"],
+                    )
 
     kind = docs.schema[id_col].dataType.simpleString()
     joined = marked.join(answered, "block", "left").select("lang", "content", "places", "grams", "logps")
