@@ -23,6 +23,10 @@ from pyspark.sql import functions as F
 Q, RATE, BLOCK_CHARS = 8, 0.1, 1 << 21
 
 
+_SPACE = np.zeros(12290, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, *range(8192, 8203), 8232, 8233, 12288]] = True
+
+
 def normalise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Lower-case code points with white space runs as one space, and for each its place in the text."""
     text = text or ""
@@ -32,7 +36,7 @@ def normalise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         lowered = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
     else:  # a letter whose lower case has another length keeps its case
         lowered = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text], np.uint32)
-    space = np.isin(codes, np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 8232, 8233, 12288], np.uint32)) | ((codes >= 8192) & (codes <= 8202))
+    space = _SPACE[np.minimum(codes, 12289)]
     out = np.where(space, np.uint32(32), lowered)
     keep = ~space
     keep[1:] |= space[1:] & ~space[:-1]
@@ -69,23 +73,28 @@ def within(region: np.ndarray, passage: np.ndarray, low: int, high: int, most: i
     at = low + ramp  # places in region before the first character of passage
     cost = np.where((at >= 0) & (at <= n), 0, far)
     start = at.copy()
-    for i, c in enumerate(passage):
-        place = at + i  # region[place] is aligned to passage[i] on this diagonal
-        inside = (place >= 0) & (place < n)
-        same = np.zeros(width, bool)
-        same[inside] = region[place[inside]] == c
-        step = np.where(inside, cost + ~same, far)
-        skip = np.r_[cost[1:] + 1, far]  # passage[i] has no partner: one diagonal down
-        from_skip = np.r_[start[1:], 0]
+    # region with room at both ends, so that every row of the band is one slice
+    room = np.full(max(0, -low) + n + max(0, high + len(passage) - n) + 1, -1, np.int64)
+    base = max(0, -low)
+    room[base : base + n] = region
+    skip, from_skip = np.empty_like(cost), np.empty_like(start)
+    for i, c in enumerate(passage.tolist()):
+        first = low + i  # region[first + r] is aligned to passage[i] on diagonal r
+        here = room[base + first : base + first + width]
+        step = cost + (here != c)
+        step[here < 0] = far
+        skip[:-1], skip[-1] = cost[1:] + 1, far  # passage[i] has no partner: one diagonal down
+        from_skip[:-1], from_skip[-1] = start[1:], 0
         origin = np.where(skip < step, from_skip, start)
         best = np.minimum(step, skip)
-        best[(place + 1 < 0) | (place + 1 > n)] = far
+        lo, hi = max(0, -first - 1), min(width, n - first)  # diagonals whose end lies in region
+        best[:lo], best[max(hi, 0) :] = far, far
         # region characters without a partner: along the row, one edit a step
-        lead = np.minimum.accumulate(best - ramp)
-        new = lead + ramp
-        source = np.maximum.accumulate(np.where(best - ramp == lead, ramp, 0))
-        ok = (place + 1 >= 0) & (place + 1 <= n)
-        cost, start = np.where(ok, new, far), origin[source]
+        slant = best - ramp
+        lead = np.minimum.accumulate(slant)
+        source = np.maximum.accumulate(np.where(slant == lead, ramp, 0))
+        cost, start = lead + ramp, origin[source]
+        cost[:lo], cost[max(hi, 0) :] = far, far
         if cost.min() > most:
             return None
     k = int(cost.argmin())
@@ -104,8 +113,10 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    sizes: np.ndarray
+    most: np.ndarray
+    bound: np.ndarray
     q: int
-    rate: float
 
     @classmethod
     def of(cls, passages: list[tuple[int, str]], q: int = Q, rate: float = RATE) -> Index:
@@ -118,7 +129,9 @@ class Index:
         hashes, first, count = np.unique(every[order], return_index=True, return_counts=True)
         seen = np.zeros(1 << 22, bool)
         seen[(hashes >> np.uint64(42)).astype(np.int64)] = True
-        return cls([k for k, _ in kept], [c for _, c in kept], hashes, first, count, item[order], place[order].astype(np.int64), seen, q, rate)
+        sizes = np.array([len(c) for _, c in kept], np.int64)
+        most = np.array([budget(m, q, rate) for m in sizes.tolist()], np.int64)
+        return cls([k for k, _ in kept], [c for _, c in kept], hashes, first, count, item[order], place[order].astype(np.int64), seen, sizes, most, sizes + 1 - q * (most + 1), q)
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits), places in the text, one for every passage and band that is within the budget."""
@@ -135,29 +148,31 @@ class Index:
         counts = self.count[index]
         slot = np.repeat(self.first[index] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
         item, diagonal = self.item[slot], np.repeat(at, counts) - self.place[slot]
-        sizes = np.array([len(c) for c in self.codes])
-        most = np.array([budget(m, self.q, self.rate) for m in sizes])
-        bound = sizes + 1 - self.q * (most + 1)
         # bands of width 2w at steps of w = e + 1: any e + 1 neighbouring diagonals lie in one of them
-        step = (most + 1)[item]
-        band = np.floor_divide(diagonal, step)
-        item, band = np.r_[item, item], np.r_[band, band - 1]
-        key, n = np.unique(np.stack([item, band], axis=1), axis=0, return_counts=True)
+        band = np.floor_divide(diagonal, (self.most + 1)[item])
+        low = int(band.min()) - 1
+        width = int(band.max()) - low + 1
+        key = item * width + (band - low)
+        key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        passed = n >= self.bound[key // width]
         out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for (k, b), shared in zip(key.tolist(), n.tolist(), strict=True):
-            if shared < bound[k]:
-                continue
-            e = int(most[k])
+        for k, b in zip((key[passed] // width).tolist(), (key[passed] % width + low).tolist(), strict=True):
+            e, m, passage = int(self.most[k]), int(self.sizes[k]), self.codes[k]
             lo = b * (e + 1)
-            left = max(0, lo - e)
-            region = codes[left : max(left, lo + 2 * (e + 1) + sizes[k] + e)]
-            found = within(region, self.codes[k], lo - left - e, lo - left + 2 * (e + 1) + e, e)
-            if found:
-                edits, start, end = found
-                start, end = left + start, left + end
-                known = out.get((k, start // (sizes[k] + 1)))
-                if not known or edits < known[0]:
-                    out[k, start // (sizes[k] + 1)] = (edits, start, end)
+            inside = diagonal[(item == k) & (diagonal >= lo) & (diagonal < lo + 2 * (e + 1))]
+            values, votes = np.unique(inside, return_counts=True)
+            at = int(values[votes.argmax()])
+            if at >= 0 and np.array_equal(codes[at : at + m], passage):
+                edits, start, end = 0, at, at + m
+            else:
+                left = max(0, lo - e)
+                found = within(codes[left : max(left, lo + 2 * (e + 1) + m + e)], passage, lo - left - e, lo - left + 2 * (e + 1) + e, e)
+                if not found:
+                    continue
+                edits, start, end = found[0], left + found[1], left + found[2]
+            known = out.get((k, start // (m + 1)))
+            if not known or edits < known[0]:
+                out[k, start // (m + 1)] = (edits, start, end)
         best = {}
         for (k, _), (edits, start, end) in sorted(out.items()):
             if (last := best.get(k)) and last[-1][1] < end and start < last[-1][2]:  # the same region seen twice
