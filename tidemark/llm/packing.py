@@ -13,34 +13,53 @@ from __future__ import annotations
 import bisect
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialize
 
 WINDOW, END_ID = 4096, 2
-#: Pieces aimed at in one shard; BM25's constants; terms of a seed that are looked up, by weight; words in a worker's cache.
-SHARD, K1, B, QUERY_TERMS, CACHE = 4096, 1.2, 0.75, 16, 400_000
+#: Pieces aimed at in one shard; BM25's constants; terms of a seed that are looked up, by weight; runs a worker remembers.
+SHARD, K1, B, QUERY_TERMS, CACHE = 4096, 1.2, 0.75, 16, 600_000
 TOKENIZER = "word_bpe_49k.json"
 
-#: White space as the tokenizer has it (Unicode White_Space); no token crosses it.
-_CHUNKS = re.compile("[^\t-\r \x85\xa0  -     　]+")
+#: White space as the tokenizer has it (Unicode White_Space); no token crosses it. str.split() takes four more characters for it.
+_CHUNKS, _NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
+#: The tokenizer's own split of a chunk, and the chunks that its normalizer only lower-cases.
+_RUNS, _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), re.compile("[\0-\u024f]+")
 _STATE: dict = {}
 
 
+class _Known(dict):
+    """What has been made of a key, making it where it is new."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        out = self[key] = self.make(key)
+        return out
+
+
 class Encoder:
-    """Token ids by white-space chunk, remembered within a Python worker: each distinct chunk is tokenized once."""
+    """Token ids of texts. Chunks between white space, and the runs of letters or signs in them, are remembered within a Python
+    worker, so the tokenizer's model sees each distinct run once; both memories are bounded."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.chunks = _Known(self._chunk)
+        self.runs: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -48,17 +67,25 @@ class Encoder:
             _STATE[path] = cls(path)
         return _STATE[path]
 
+    def _run(self, run: str) -> bytes:
+        if len(self.runs) >= CACHE:
+            self.runs.clear()
+        form = run if run.isascii() and run.isalnum() else self.bytes.pre_tokenize_str(run)[0][0]
+        out = self.runs[run] = array("H", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return out
+
+    def _chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
+            return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        runs = self.runs
+        return b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(chunk.lower())])
+
     def encode(self, text: str | None) -> np.ndarray:
-        chunks = _CHUNKS.findall(text or "")
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(chunks))
-            fast = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for c, e in zip(new, fast(new, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, np.uint16).tobytes()
-        return np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.uint16)
+        text = text or ""
+        chunks = _CHUNKS.findall(text) if _NOT_SPACE.search(text) else text.split()
+        if len(self.chunks) > CACHE:
+            self.chunks.clear()
+        return np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), np.uint16)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -82,9 +109,8 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, window: int)
                     own = ids[at : at + window]
                     terms = tfs = None
                     if len(own) < window:
-                        counts = np.bincount(own)
-                        found = np.flatnonzero(counts)
-                        terms, tfs = found.astype(np.uint16).tobytes(), counts[found].astype(np.uint16).tobytes()
+                        found, counts = np.unique(own, return_counts=True)
+                        terms, tfs = found.tobytes(), counts.astype(np.uint16).tobytes()
                     rows.append((doc, at, len(own), crc(own), len(ids), terms, tfs))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
