@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,9 +90,9 @@ def pack(docs: DataFrame) -> DataFrame:
         for batch in batches:
             langs = batch.column("lang")
             for lang in langs.unique().to_pylist():
-                rows = batch.filter(pa.compute.equal(langs, lang)).drop_columns(["lang"])
+                rows = batch.filter(pc.equal(langs, lang)).drop_columns(["lang"])
                 at = 0
-                sizes = np.cumsum(pa.compute.binary_length(rows.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False))
+                sizes = np.cumsum(pc.binary_length(rows.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False))
                 while at < rows.num_rows:
                     parts, chars = held.pop(lang, ([], 0))
                     base = int(sizes[at - 1]) if at else 0
@@ -121,7 +122,7 @@ def store(blocks: DataFrame) -> str:
 def _chunks(content: bytes) -> Iterator[tuple[int, pa.Table]]:
     """(number of the first document, documents) of a block, some CHUNK characters at a time."""
     rows = pa.ipc.open_stream(content).read_all()
-    ends = np.cumsum(pa.compute.utf8_length(rows.column("text")).to_numpy())
+    ends = np.cumsum(pc.utf8_length(rows.column("text")).to_numpy())
     at = 0
     while at < rows.num_rows:
         to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
