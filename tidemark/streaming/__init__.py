@@ -1,0 +1 @@
+"""No operators: every input of the signal measures is bounded. The package is kept for streams of segments."""
