@@ -47,14 +47,19 @@ def normalise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
-    """A 64-bit hash of every q-gram."""
-    n = len(codes) - q + 1
-    if n <= 0:
+    """A 64-bit hash of every q-gram: a polynomial, put together from those of half the length, then mixed."""
+    if len(codes) < q:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(q):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + codes[i : i + n].astype(np.uint64) + np.uint64(1)
-    return out ^ (out >> np.uint64(29))
+    out, done, part, size = None, 0, codes.astype(np.uint64) + np.uint64(1), 1
+    while True:
+        power = np.uint64(pow(0x9E3779B97F4A7C15, size, 1 << 64))
+        if q & size:
+            out, done = (part, size) if out is None else (out[: len(out) - size] * power + part[done : done + len(out) - size], done + size)
+        if done == q:
+            break
+        part, size = part[:-size] * power + part[size:], 2 * size
+    out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(32))
 
 
 def budget(m: int, q: int = Q, rate: float = RATE) -> int:
