@@ -26,7 +26,7 @@ from tidemark.llm.common import materialize, shared_dir
 #: allowance for the scatter of short texts: a score is the perplexity divided by exp(SHORT / sqrt(symbols)).
 BLOCK_CHARS, QUANTILE, MARGIN, SHORT = 16_000_000, 0.995, 1.1, 3.0
 #: Symbols of a block that are worked on at once (or one document).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: One trusted document in so many is kept out of the model and sets the threshold: text that a model has seen scores too well.
 CALIBRATE = 5
 START, END = 2, 3
@@ -51,17 +51,17 @@ def number(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     small[chars] = np.arange(len(chars))
     c = small[codes]
     pair = c[:-1] * len(chars) + c[1:]
-    used = np.flatnonzero(np.bincount(pair, minlength=len(chars) ** 2)) if len(chars) ** 2 <= 1 << 24 else np.unique(pair)
+    used = np.flatnonzero(np.bincount(pair, minlength=len(chars) ** 2)) if len(chars) ** 2 <= 1 << 22 else np.unique(pair)
     first = chars[used // len(chars)].astype(np.uint64)
     second = chars[used % len(chars)].astype(np.uint64)
-    if len(chars) ** 2 <= 1 << 24:
+    if len(chars) ** 2 <= 1 << 22:
         to = np.zeros(len(chars) ** 2, np.int64)
         to[used] = np.arange(len(used))
         pair = to[pair]
     else:
         pair = np.searchsorted(used, pair)
     four = pair[:-2] * len(used) + pair[2:]
-    if len(used) ** 2 <= 1 << 24:
+    if len(used) ** 2 <= 1 << 22:
         kinds = np.flatnonzero(np.bincount(four, minlength=len(used) ** 2))
         to = np.zeros(len(used) ** 2, np.int32)
         to[kinds] = np.arange(len(kinds))
