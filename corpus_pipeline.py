@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import decontaminate, packing, pii, quality, simhash
+from tidemark.llm import decontaminate, packing, pii, quality, similar
 from tidemark.llm.common import materialize, table
 
 
@@ -16,8 +16,8 @@ def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.deduplicate(docs)
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return similar.deduplicate(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

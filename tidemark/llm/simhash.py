@@ -202,9 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component: of its smallest (doc_id, text); all columns of docs, unchanged."""
-    found = near_duplicates(docs, id_col, text_col)
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for each component in found (doc_id, text_key, component_id): of its smallest (doc_id, text); all columns of docs, unchanged."""
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("s"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("t"))
     best = best.select(F.coalesce("t", "s").alias("s")).select(F.col("s.doc_id").alias("__tm_id"), F.col("s.text_key").alias("__tm_key"))
     keyed = docs.withColumns({"__tm_id": F.col(id_col).cast("long"), "__tm_key": text_hash(text_col)})
@@ -212,6 +211,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return kept.dropDuplicates(["__tm_id", "__tm_key"]).drop("__tm_id", "__tm_key")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """one_of_each of the components of near_duplicates."""
+    return one_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: doc_id, fingerprint (16 hex digits), component_id."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
