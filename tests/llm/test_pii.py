@@ -64,3 +64,26 @@ def test_assign_avoids_collisions(spark):
     out = P.assign(df).collect()
     assert len(out) == 300 and len({r.new for r in out}) == 300
     assert not {r.new for r in out} & {f for _, f in forms}
+
+
+@pytest.mark.parametrize(
+    "value",
+    ["token=" + "aB3/" * 300, "0123456789abcdef" * 12, "ab.1" * 60 + "@mail.example.com", "x@" + "d" * 70 + ".example.com", "x@y." + "a" * 40, "x@" + "s." * 12 + "com", "AKIA" + "A1" * 12, "sk-" + "a1B" * 40, "Mrs. " + "Q" + "a" * 60],
+)
+def test_long_values_leave_nothing(value):
+    (s, e, _, _), *more = P.detect(f"see {value} end")
+    assert not more and e == 4 + len(value) and s in (4, 4 + len("token="), 4 + len("Mrs. "))
+
+
+def test_emails_end_to_end_and_long_runs():
+    assert [text for text in (m[0] for m in P._emails("a@b.com5c@d.org, x@y.net"))] == ["a@b.com", "5c@d.org", "x@y.net"]
+    assert P.detect("x" * 300_000 + " @ " + "y." * 100_000) == []
+
+
+def test_assign_crowded_digit_formats(spark):
+    forms = [("phone", f"+1{i:03d}") for i in range(900)] + [("phone", f"+{i}") for i in range(2000, 10_000)]
+    df = spark.createDataFrame(forms, "kind string, form string")
+    out = P.assign(df).collect()
+    assert {(r.kind, r.form) for r in out} == set(forms)
+    assert len({r.new for r in out}) == len(forms) and not {r.new for r in out} & {f for _, f in forms}
+    assert P.render("phone", "+1 234", "+98765") == "+9 8765"

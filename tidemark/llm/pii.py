@@ -25,7 +25,7 @@ from tidemark.llm.common import checkpoint, materialize, text_hash
 
 KEY = b"tidemark-demo-key"
 
-_WORD = r"[^\W\d_][^\W\d_'’\-]{0,40}"
+_WORD = r"[^\W\d_][^\W\d_'’\-]*"
 _MALE = ("mr", "sir", "herr", "monsieur", "señor", "sr", "don", "г-н", "господин", "κύριος")
 _FEMALE = ("mrs", "ms", "miss", "madam", "lady", "frau", "madame", "mme", "mlle", "señora", "señorita", "sra", "srta", "doña", "г-жа", "госпожа", "κυρία")
 _OTHER = ("dr", "prof")
@@ -33,16 +33,18 @@ _TITLE = "|".join(t[0].upper() + t[1:] for t in sorted((*_MALE, *_FEMALE, *_OTHE
 
 #: In order of precedence; `v` is what is replaced.
 PATTERNS = {
-    "secret": r"""(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key|auth)\b)["']?\s*[=:]\s*["']?(?P<v>[\w+/\-.]{8,512}=*)""",
-    "email": r"(?P<v>[\w.%+\-]{1,128}@[\w\-]{1,63}(?:\.[\w\-]{1,63}){0,8}\.[^\W\d_]{2,24})",
+    "secret": r"""(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key|auth)\b)["']?\s*[=:]\s*["']?(?P<v>[\w+/\-.]{8,}=*)""",
+    "email": r"(?P<v>[\w.%+\-]++@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,})",
     "iban": r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)",
     "phone": r"(?<![\d+])(?P<v>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
     "ssn": r"(?<![\d\-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d\-])",
     "number": r"(?<!\d)(?P<v>(?:\d[ \-]?){12,18}\d)(?!\d)",
-    "hex": r"\b(?P<v>[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,64}|sk-[A-Za-z0-9]{20,64})\b",
+    "hex": r"\b(?P<v>[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})\b",
 }
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
+#: An e-mail at the start of its run of characters: other starts in a long run would be tried in vain.
+_EMAIL = re.compile(r"(?<![\w.%+\-])" + PATTERNS["email"])
 _PERSON = re.compile(rf"(?<!\w)(?P<title>{_TITLE})(?P<dot>\.?) (?P<name>{_WORD}(?: {_WORD}){{0,2}})")
 _DIGIT, _HINT = re.compile(r"\d"), re.compile(r"(?i)token|key|secret|passw|auth")
 _TOKENS = re.compile(_WORD)
@@ -89,6 +91,16 @@ def _names(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _emails(text: str) -> Iterator[re.Match]:
+    """The matches of the e-mail pattern: at starts of runs, and where another match ends."""
+    at = 0
+    while m := _EMAIL.search(text, at):
+        while m:
+            yield m
+            at = m.end()
+            m = _COMPILED["email"].match(text, at)
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, canonical form) of the entities in text, in order and without overlaps."""
     if not text:
@@ -98,7 +110,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     for kind, pattern in _COMPILED.items():
         if kind == "email" and not at or kind == "secret" and not _HINT.search(text) or kind not in ("email", "secret") and not digits:
             continue
-        found += [(*m.span("v"), kind) for m in pattern.finditer(text)]
+        found += [(*m.span("v"), kind) for m in (_emails(text) if kind == "email" else pattern.finditer(text))]
     found += _names(text)
     rank = {k: i for i, k in enumerate(PATTERNS)}
     kept: list[tuple[int, int, str]] = []
@@ -174,33 +186,37 @@ def _iban_check(country: str, rest: str) -> str:
 def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
     """The canonical form that replaces `form`; other attempts give other draws."""
     draw = _Stream(key, kind, form, attempt)
-    pad = draw.pick(string.ascii_lowercase) * (attempt // 8)  # tiny formats run out of forms
+    more = attempt // 8  # tiny formats run out of forms: later draws are longer
+    pad = "".join(draw.pick(string.ascii_lowercase) for _ in range(max(1, more)))[:more]
+    extra = "".join(draw.pick(string.digits) for _ in range(more - 1))  # of digits, only after the leading ones are drawn too
     if kind == "email":
         local, _, domain = form.rpartition("@")
         return f"{_shape(local, draw)}{pad}@{_shape(domain.split('.')[0], draw)}.example.net"
     if kind == "ip":
         a = int(form.split(".")[0])
-        return ".".join(str(x) for x in (10 if a in (10, 127, 172, 192) else 240 + draw.below(15), draw.below(256), draw.below(256), 1 + draw.below(254)))
+        return ".".join(str(x) for x in (10 if a in (10, 127, 172, 192) and not more else 240 + draw.below(15), draw.below(256), draw.below(256), 1 + draw.below(254)))
     if kind in ("phone", "ssn"):
         plus, digits = form.startswith("+"), form.removeprefix("+")
         lead = "9" if kind == "ssn" else digits[: len(digits) - 10] if len(digits) > 10 else digits[:1] if plus else ""
+        if more:
+            lead = ""
         body = digits[len(lead) :]
         new = _shape(body, draw)
         if kind == "phone" and len(body) == 10:  # the exchange 555 is never given out
             new = new[:3] + "555" + new[6:]
-        return "+" * plus + lead + new
+        return "+" * plus + lead + new + extra
     if kind == "number":
-        new = form[0] + _shape(form[1:], draw)
+        new = form[0] + _shape(form[1:], draw) + extra
         want = luhn(form)
         return next(x for x in (new[:-1] + str((int(new[-1]) + d) % 10) for d in range(10)) if luhn(x) == want)
     if kind == "iban":
-        rest = _shape(form[4:], draw)
+        rest = _shape(form[4:], draw) + extra
         return form[:2] + _iban_check(form[:2], rest) + rest
     if kind == "family" or kind.startswith("given"):
         of = script(form)
         consonants = [c for c in _SCRIPTS[of] if c not in _VOWELS[of] and c not in "qxwyъь"]
         gender = kind[-1] if kind.startswith("given") else ""
-        stem = "".join(draw.pick(consonants) + draw.pick(_VOWELS[of]) for _ in range(max(2, min(5, len(form) // 2))))
+        stem = "".join(draw.pick(consonants) + draw.pick(_VOWELS[of]) for _ in range(max(2, min(5, len(form) // 2)) + more))
         if gender in ("m", "f"):
             return stem + draw.pick(consonants) + draw.pick(_ENDINGS[of, gender]) if gender == "f" else stem + draw.pick(_ENDINGS[of, gender])
         return stem + draw.pick(consonants)
@@ -214,10 +230,10 @@ def render(kind: str, mention: str, new: str) -> str:
     """The surrogate in the format of the mention: its separators, its case."""
     if kind in ("phone", "number", "ssn"):
         digits = iter(_digits(new))
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "iban":
         chars = iter(new)
-        return "".join(c if c == " " else next(chars, "") for c in mention)
+        return "".join(c if c == " " else next(chars, "") for c in mention) + "".join(chars)
     if kind == "email" or kind == "family" or kind.startswith("given"):
         if len(mention) > 1 and mention.isupper():
             return new.upper()
