@@ -148,3 +148,27 @@ def test_npy_and_channel_checks(spark, tmp_path):
     assert rows == {0: [0.0, 1.0, 2.0], 1: [3.0, 4.0, 5.0]}
     df = spark.createDataFrame([(1, 0, [1.0]), (1, 1, [1.0, 2.0]), (2, 0, [1.0])], "sample_id long, channel int, x array<double>")
     assert not any(r.valid for r in G.validate_channels(df).collect())
+
+
+def test_registered_with_the_references_sizes(monkeypatch):
+    import inspect
+
+    from tidemark.plans import measures, spectral_pairs
+
+    seen = {}
+
+    def spy(name, operator):
+        def call(*args, **kwargs):
+            bound = inspect.signature(operator).bind(*args, **kwargs)
+            bound.apply_defaults()
+            seen.update({name: bound.arguments})
+            raise StopIteration
+
+        return call
+
+    for module, operators, name, query in ((measures, measures.M, "membership", measures.ag39), (spectral_pairs, spectral_pairs.X, "surrogate_z", spectral_pairs.fe22)):
+        monkeypatch.setattr(operators, name, spy(name, getattr(operators, name)))
+        monkeypatch.setattr(module.G, "short", lambda spark, d: None)
+        with pytest.raises(StopIteration):
+            query(None, "")
+    assert seen["membership"]["trees"] == 100 and seen["surrogate_z"]["n"] >= 10

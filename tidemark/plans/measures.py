@@ -109,7 +109,7 @@ def sc11(spark, d):
 
 
 def ag39(spark, d):
-    return _round(M.membership(G.short(spark, d), trees=20))
+    return _round(M.membership(G.short(spark, d)))
 
 
 def pm12(spark, d):

@@ -112,7 +112,7 @@ def pm13(spark, d):
 
 
 def fe22(spark, d):
-    return _round(X.surrogate_z(G.short(spark, d), 5), "statistic")
+    return _round(X.surrogate_z(G.short(spark, d)), "statistic")
 
 
 def sc08(spark, d):
