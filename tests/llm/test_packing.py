@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packing as P
@@ -11,9 +12,11 @@ def test_encoder_equals_whole_texts(spark, sf_dir):
     t = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     texts += ["", " ", "it's we'll DON'T", "a<|endoftext|>b c", "e\u0301 \u0301x", "Ça\u2003va\u3000!?", "x\x1fy \x85z\u200bq", "İstanbul ΣΑΣ", "a\u00a0b", "3.14%%% *** ###", "漢字かな 한국어"]
-    encoder = P.Encoder.of(public_tokenizers.path(P.TOKENIZER))
-    for text in texts:
-        assert encoder.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids
+    encoder = P.Encoder(public_tokenizers.path(P.TOKENIZER))
+    want = [t.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want  # one call
+    assert [encoder.encode([text])[0].tolist() for text in texts] == want  # many calls, all remembered
+    assert encoder.encode([None, ''])[1].tolist() == []
 
 
 def test_pack(spark, sf_dir):
@@ -51,3 +54,40 @@ def test_neighbours_share_terms():
     rows = P.pack_shard(lengths, terms, tfs, np.log(1 + (120 - df + 0.5) / (df + 0.5)), 400.0, 4096)
     assert sorted(i for row in rows for i in row) == list(range(120))
     assert np.mean([len({i % 6 for i in row}) == 1 for row in rows]) > 0.5
+
+
+def plain_packing(lengths, terms, tfs, idf, mean, window):
+    """The definition: BM25 for all terms of the seed, against every unused piece that fits."""
+    unused, rows = sorted(range(len(lengths)), key=lambda i: (lengths[i], i)), []
+    while unused:
+        seed = unused.pop()
+        row, left, own = [seed], window - lengths[seed], set(terms[seed].tolist())
+        score = {}
+        for i in unused:
+            norm = P.K1 * (1 - P.B + P.B * lengths[i] / mean)
+            score[i] = sum(idf[t] * f * (P.K1 + 1) / (f + norm) for t, f in zip(terms[i].tolist(), tfs[i].tolist(), strict=True) if t in own)
+        near = [i for i in sorted(unused, key=lambda i: (-score[i], lengths[i], i)) if score[i] > 0]
+        for i in near:
+            if lengths[i] <= left:
+                row.append(i)
+                unused.remove(i)
+                left -= lengths[i]
+        while fits := [i for i in unused if lengths[i] <= left]:
+            row.append(fits[-1])
+            unused.remove(fits[-1])
+            left -= lengths[fits[-1]]
+        rows.append(row)
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_is_the_definition(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 90))
+    lengths = rng.integers(1, rng.choice([60, 4096]), n)
+    terms = [np.unique(rng.integers(0, 300, min(int(x), int(rng.integers(1, 60))))).astype(np.uint16) for x in lengths]
+    tfs = [rng.integers(1, 5, len(t)).astype(np.uint16) for t in terms]
+    df = np.bincount(np.concatenate(terms), minlength=300)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) * rng.uniform(0.99, 1.01, 300)  # hardly any ties
+    args = (lengths, terms, tfs, idf, float(lengths.mean()), 4096)
+    assert P.pack_shard(*args) == plain_packing(*args)

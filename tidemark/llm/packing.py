@@ -4,13 +4,14 @@ Documents are cut at multiples of the window; whole windows are sequences of the
 Terms are token ids, so document frequencies are at most a vocabulary long and are the only thing that every task gets.
 Pieces are dealt to shards of bounded size by their rarest term (a term with more pieces than a shard holds is
 spread evenly over several), each shard has its own inverted index with BM25 weights from the statistics of all
-pieces, and packs its pieces: the longest unused piece is the seed, its best unused neighbours that still fit
-are added, and what they leave is filled with the longest unused piece that fits.
+pieces, and packs its pieces: the longest unused piece is the seed, all of its terms are looked up, its best unused
+neighbours that still fit are added, and what they leave is filled with the longest unused piece that fits.
 """
 
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
 import zlib
 from array import array
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,66 +28,70 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialize
 
 WINDOW, END_ID = 4096, 2
-#: Pieces aimed at in one shard; BM25's constants; terms of a seed that are looked up, by weight; runs a worker remembers.
-SHARD, K1, B, QUERY_TERMS, CACHE = 4096, 1.2, 0.75, 16, 600_000
+#: Pieces aimed at in one shard; BM25's constants; runs that a task remembers; characters of text looked up at once.
+SHARD, K1, B, CACHE, SLICE = 4096, 1.2, 0.75, 400_000, 1 << 22
 TOKENIZER = "word_bpe_49k.json"
 
 #: White space as the tokenizer has it (Unicode White_Space); no token crosses it. str.split() takes four more characters for it.
 _CHUNKS, _NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split of a chunk, and the chunks that its normalizer only lower-cases.
 _RUNS, _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), re.compile("[\0-\u024f]+")
-_STATE: dict = {}
 
-
-class _Known(dict):
-    """What has been made of a key, making it where it is new."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        out = self[key] = self.make(key)
-        return out
+#: Byte-level models write a byte without a visible character of its own as one from 256 on, in the order of the bytes.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class Encoder:
-    """Token ids of texts. Chunks between white space, and the runs of letters or signs in them, are remembered within a Python
-    worker, so the tokenizer's model sees each distinct run once; both memories are bounded."""
+    """Token ids of texts. The runs of letters or signs in the chunks between white space are remembered, so the tokenizer's
+    model sees each distinct run once; the memory is bounded and ends with the encoder."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.bytes = self.tokenizer.model, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks = _Known(self._chunk)
+        self.model = self.tokenizer.model
         self.runs: dict[str, bytes] = {}
 
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in _STATE:
-            _STATE[path] = cls(path)
-        return _STATE[path]
-
     def _run(self, run: str) -> bytes:
         if len(self.runs) >= CACHE:
             self.runs.clear()
-        form = run if run.isascii() and run.isalnum() else self.bytes.pre_tokenize_str(run)[0][0]
+        form = run if run.isascii() and run.isprintable() else run.encode("utf-8").decode("latin-1").translate(_BYTES)
         out = self.runs[run] = array("H", [t.id for t in self.model.tokenize(form)]).tobytes()
         return out
 
     def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not _PLAIN.fullmatch(chunk):
+        if "<|" in chunk or not (chunk.isascii() or _PLAIN.fullmatch(chunk)):
             return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        runs = self.runs
-        return b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(chunk.lower())])
-
-    def encode(self, text: str | None) -> np.ndarray:
-        text = text or ""
-        chunks = _CHUNKS.findall(text) if _NOT_SPACE.search(text) else text.split()
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, chunks)), np.uint16)
+        runs, low = self.runs, chunk.lower()
+        if low.isalpha():
+            return runs.get(low) or self._run(low)
+        if low[-1] in ".,;:!?" and low[:-1].isalpha():
+            return (runs.get(low[:-1]) or self._run(low[:-1])) + (runs.get(low[-1]) or self._run(low[-1]))
+        return b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(low)])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text; the distinct chunks of all of them are looked up once."""
+        split = [(_CHUNKS.findall(t) if _NOT_SPACE.search(t) else t.split()) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        coded = pa.array(list(itertools.chain.from_iterable(split)), pa.string()).dictionary_encode()
+        found = list(map(self._chunk, coded.dictionary.to_pylist()))
+        every, lengths = np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) >> 1
+        code = coded.indices.to_numpy()
+        own, begin = lengths[code], (np.cumsum(lengths) - lengths)[code]
+        ends = np.cumsum(own)
+        ids = every[np.repeat(begin - (ends - own), own) + np.arange(int(own.sum()))]
+        cuts = np.r_[0, ends][np.cumsum(sizes)[:-1]]
+        return np.split(ids, cuts)
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first, texts) of a batch, SLICE characters at a time (or one text)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+        yield at, texts.slice(at, to - at).to_pylist()
+        at = to
 
 
 def crc(ids: np.ndarray) -> int:
@@ -99,20 +105,21 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, window: int)
     """Every document's pieces. Rests (under a window) carry their distinct ids and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(path)
+        encoder = Encoder(path)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("terms", pa.binary()), ("tfs", pa.binary())])
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py()), np.uint16(END_ID))
-                for at in range(0, len(ids), window):
-                    own = ids[at : at + window]
-                    terms = tfs = None
-                    if len(own) < window:
-                        found, counts = np.unique(own, return_counts=True)
-                        terms, tfs = found.tobytes(), counts.astype(np.uint16).tobytes()
-                    rows.append((doc, at, len(own), crc(own), len(ids), terms, tfs))
-            if rows:
+            docs = batch.column(0).to_pylist()
+            for first, texts in slices(batch.column(1)):
+                rows = []
+                for doc, ids in zip(docs[first:], encoder.encode(texts), strict=False):
+                    ids = np.append(ids, np.uint16(END_ID))
+                    for at in range(0, len(ids), window):
+                        own = ids[at : at + window]
+                        terms = tfs = None
+                        if len(own) < window:
+                            found, counts = np.unique(own, return_counts=True)
+                            terms, tfs = found.tobytes(), counts.astype(np.uint16).tobytes()
+                        rows.append((doc, at, len(own), crc(own), len(ids), terms, tfs))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -136,51 +143,61 @@ def document_frequencies(cut: DataFrame, vocabulary: int) -> np.ndarray:
     return out
 
 
+class Shard:
+    """The inverted index of some pieces, which are numbered by length: only those that still fit a window are scored."""
+
+    def __init__(self, lengths: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean_length: float):
+        self.n = n = len(lengths)
+        self.lengths = lengths
+        sizes = np.fromiter(map(len, terms), np.int64, n)
+        self.every, tf = np.concatenate([np.empty(0, np.uint16), *terms]), np.concatenate([np.empty(0, np.uint16), *tfs]).astype(np.float64)
+        self.end = np.cumsum(sizes)
+        self.begin = self.end - sizes
+        owner = np.repeat(np.arange(n), sizes)
+        weight = idf[self.every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
+        order = np.argsort(self.every, kind="stable")  # by term, then by piece
+        self.owner, self.weight = owner[order].astype(np.int32), weight[order]
+        self.place = self.every[order].astype(np.int64) * n + self.owner
+
+    def scores(self, seed: int, below: int) -> np.ndarray:
+        """BM25 of the pieces 0 to below - 1 for all terms of the seed."""
+        base = self.every[self.begin[seed] : self.end[seed]].astype(np.int64) * self.n
+        first, last = np.searchsorted(self.place, base), np.searchsorted(self.place, base + below)
+        count = last - first
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        return np.bincount(self.owner[at], self.weight[at], minlength=below)
+
+
 def pack_shard(lengths: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[list[int]]:
     """Sequences of piece numbers. Every piece lies in exactly one."""
-    n = len(lengths)
-    sizes = np.fromiter(map(len, terms), np.int64, n)
-    every, tf = np.concatenate([np.empty(0, np.uint16), *terms]), np.concatenate([np.empty(0, np.uint16), *tfs]).astype(np.float64)
-    owner = np.repeat(np.arange(n), sizes)
-    weight = idf[every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
-    order = np.argsort(every, kind="stable")
-    posted, post_weight = owner[order], weight[order]
-    used_terms, first, count = np.unique(every[order], return_index=True, return_counts=True)
-    begin = np.cumsum(sizes) - sizes
-    unused = np.ones(n, bool)
-    by_length = np.lexsort((np.arange(n), lengths)).tolist()  # ascending
-    keys = [int(lengths[i]) for i in by_length]
-
-    def take(i: int) -> None:
-        unused[i] = False
-        at = bisect.bisect_left(keys, int(lengths[i]))
-        at = by_length.index(i, at)
-        del by_length[at], keys[at]
-
+    by_length = np.argsort(lengths, kind="stable")
+    lengths = lengths[by_length]
+    index = Shard(lengths, [terms[i] for i in by_length], [tfs[i] for i in by_length], idf, mean_length)
+    unused = np.ones(len(lengths), bool)
+    rest = list(range(len(lengths)))  # the unused ones, shortest first
     out = []
-    while by_length:
-        seed = by_length[-1]
-        take(seed)
-        row, left = [seed], window - int(lengths[seed])
-        if keys and keys[0] <= left:
-            own = slice(begin[seed], begin[seed] + sizes[seed])
-            best = np.argsort(-weight[own], kind="stable")[:QUERY_TERMS]
-            at = np.searchsorted(used_terms, every[own][best])
-            spans = [slice(first[a], first[a] + count[a]) for a in at]
-            scores = np.bincount(np.concatenate([posted[s] for s in spans]), np.concatenate([post_weight[s] for s in spans]), minlength=n)
-            near = np.flatnonzero((scores > 0) & unused)
+
+    def take(i: int) -> int:
+        unused[i] = False
+        del rest[bisect.bisect_left(rest, i)]
+        return int(lengths[i])
+
+    while rest:
+        seed = rest[-1]
+        row, left = [seed], window - take(seed)
+        below = int(np.searchsorted(lengths, left, "right"))
+        if rest and rest[0] < below:
+            scores = index.scores(seed, below)
+            near = np.flatnonzero((scores > 0) & unused[:below])
             near = near[np.argsort(-scores[near], kind="stable")]
             while len(near := near[lengths[near] <= left]):
                 row.append(int(near[0]))
-                take(int(near[0]))
-                left -= int(lengths[near[0]])
+                left -= take(row[-1])
                 near = near[1:]
-            while keys and keys[0] <= left:
-                i = by_length[bisect.bisect_right(keys, left) - 1]
-                row.append(i)
-                take(i)
-                left -= int(lengths[i])
-        out.append(row)
+            while rest and (at := bisect.bisect_left(rest, int(np.searchsorted(lengths, left, "right")))):
+                row.append(rest[at - 1])
+                left -= take(row[-1])
+        out.append(by_length[row].tolist())
     return out
 
 
@@ -194,7 +211,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     others. An empty table gives an empty result. tokenizer: the path of a tokenizer file, on every machine.
     """
     path = tokenizer or public_tokenizers.path(TOKENIZER)
-    vocabulary = Encoder.of(path).tokenizer.get_vocab_size()
+    vocabulary = Encoder(path).tokenizer.get_vocab_size()
     if vocabulary > 1 << 16:
         raise ValueError("ids of more than 16 bits")
     spark = docs.sparkSession
