@@ -11,7 +11,6 @@ neighbours that still fit are added, and what they leave is filled with the long
 from __future__ import annotations
 
 import bisect
-import itertools
 import re
 import zlib
 from array import array
@@ -29,14 +28,16 @@ from tidemark.llm.common import materialize
 
 WINDOW, END_ID = 4096, 2
 #: Pieces aimed at in one shard; BM25's constants; runs that a task remembers; characters of text looked up at once.
-SHARD, K1, B, CACHE, SLICE = 4096, 1.2, 0.75, 400_000, 1 << 22
+SHARD, K1, B, CACHE, SLICE = 4096, 1.2, 0.75, 400_000, 1 << 23
+#: Terms of a shard that are held as columns of a matrix.
+COLUMNS = 384
 TOKENIZER = "word_bpe_49k.json"
 
-#: White space as the tokenizer has it (Unicode White_Space); no token crosses it. str.split() takes four more characters for it.
-_CHUNKS, _NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"), re.compile("[\x1c-\x1f]")
-#: The tokenizer's own split of a chunk, and the chunks that its normalizer only lower-cases.
-_RUNS, _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), re.compile("[\0-\u024f]+")
-
+#: White space beyond \t-\r and the space, as the tokenizer has it (Unicode White_Space); no token crosses it.
+_SPACES = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: The tokenizer's own split of a chunk, and the texts that its normalizer only lower-cases.
+_RUNS, _PLAIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), re.compile("[\0-\u024f\u2010-\u2027\u2030-\u205e]*")
 #: Byte-level models write a byte without a visible character of its own as one from 256 on, in the order of the bytes.
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
@@ -59,10 +60,8 @@ class Encoder:
         out = self.runs[run] = array("H", [t.id for t in self.model.tokenize(form)]).tobytes()
         return out
 
-    def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not (chunk.isascii() or _PLAIN.fullmatch(chunk)):
-            return array("H", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        runs, low = self.runs, chunk.lower()
+    def _chunk(self, low: str) -> bytes:
+        runs = self.runs
         if low.isalpha():
             return runs.get(low) or self._run(low)
         if low[-1] in ".,;:!?" and low[:-1].isalpha():
@@ -70,18 +69,35 @@ class Encoder:
         return b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(low)])
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of every text; the distinct chunks of all of them are looked up once."""
-        split = [(_CHUNKS.findall(t) if _NOT_SPACE.search(t) else t.split()) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        coded = pa.array(list(itertools.chain.from_iterable(split)), pa.string()).dictionary_encode()
+        """The ids of every text; the distinct chunks of all plain ones are looked up once."""
+        plain, whole = [], {}
+        for i, text in enumerate(texts):
+            if text and ("<|" in text or not (text.isascii() or _PLAIN.fullmatch(text))):
+                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
+                text = None
+            plain.append(_SPACES.sub(" ", (text or "").lower()).encode("utf-8", "surrogatepass"))
+        sizes, coded = _words(plain)
         found = list(map(self._chunk, coded.dictionary.to_pylist()))
         every, lengths = np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) >> 1
         code = coded.indices.to_numpy()
         own, begin = lengths[code], (np.cumsum(lengths) - lengths)[code]
         ends = np.cumsum(own)
         ids = every[np.repeat(begin - (ends - own), own) + np.arange(int(own.sum()))]
-        cuts = np.r_[0, ends][np.cumsum(sizes)[:-1]]
-        return np.split(ids, cuts)
+        out = np.split(ids, np.r_[0, ends][np.cumsum(sizes)[:-1]])
+        return [whole.get(i, own) for i, own in enumerate(out)] if whole else out
+
+
+def _words(texts: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The number of words between white space in each text, and all words in order."""
+    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    space = _IS_SPACE[data]
+    first = np.flatnonzero(~space & np.r_[True, space[:-1]])
+    last = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    sizes = np.diff(np.searchsorted(first, ends), prepend=0)
+    offsets = np.r_[0, np.cumsum(last - first)].astype(np.int32)
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(data[~space]))
+    return sizes, words.dictionary_encode()
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
@@ -155,17 +171,30 @@ class Shard:
         self.begin = self.end - sizes
         owner = np.repeat(np.arange(n), sizes)
         weight = idf[self.every] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
+        # terms of many pieces are columns of a matrix, others have posting lists
+        found, count = np.unique(self.every, return_counts=True)
+        common = found[np.argsort(-count, kind="stable")[:COLUMNS]]
+        self.column = np.full(1 << 16, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        at = self.column[self.every]
+        self.matrix = np.zeros((n, len(common)), np.float32)
+        self.matrix[owner[at >= 0], at[at >= 0]] = weight[at >= 0]
         order = np.argsort(self.every, kind="stable")  # by term, then by piece
+        order = order[at[order] < 0]
         self.owner, self.weight = owner[order].astype(np.int32), weight[order]
         self.place = self.every[order].astype(np.int64) * n + self.owner
 
     def scores(self, seed: int, below: int) -> np.ndarray:
         """BM25 of the pieces 0 to below - 1 for all terms of the seed."""
-        base = self.every[self.begin[seed] : self.end[seed]].astype(np.int64) * self.n
+        own = self.every[self.begin[seed] : self.end[seed]]
+        column = self.column[own]
+        asked = np.zeros(self.matrix.shape[1], np.float32)
+        asked[column[column >= 0]] = 1
+        base = own[column < 0].astype(np.int64) * self.n
         first, last = np.searchsorted(self.place, base), np.searchsorted(self.place, base + below)
         count = last - first
         at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        return np.bincount(self.owner[at], self.weight[at], minlength=below)
+        return np.bincount(self.owner[at], self.weight[at], minlength=below) + self.matrix[:below] @ asked
 
 
 def pack_shard(lengths: np.ndarray, terms: list[np.ndarray], tfs: list[np.ndarray], idf: np.ndarray, mean_length: float, window: int) -> list[list[int]]:
