@@ -17,13 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
+    """The folder named by spark.checkpoint.dir or set as the context's checkpoint folder; without one there is no folder that all
+    machines share, and nothing is written."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if spark.sparkContext.master.startswith("local"):  # one machine: its own folder is shared
         path = tempfile.mkdtemp(prefix="spark-tidemark-")
-        sc.setCheckpointDir(path)
-    return path
+        spark.sparkContext.setCheckpointDir(path)
+        return path
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -43,3 +46,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def text_hash(column: str = "text"):
     """128 bits that stand for a text (null: its own value)."""
     return F.coalesce(F.md5(F.col(column)), F.lit("null"))
+
+
+#: Rows that a table may have to be sent whole to every task.
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df, computed once; marked for broadcast if its count is small, joined by shuffle if not."""
+    out = materialize(df, name)
+    return F.broadcast(out) if out.count() <= SMALL_ROWS else out

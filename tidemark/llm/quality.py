@@ -1,11 +1,11 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over character 4-grams of normalised text, one model per language, trained on every trusted
-document. Counts, discounts, contexts and continuation counts are tables, joined by n-gram; no process ever
-holds the model. Documents are packed into blocks of some megabytes of text. A block asks for the log
+The model is over character 4-grams of normalised text, one model per language, trained on trusted documents but for one in
+CALIBRATE, which set the thresholds. Counts, discounts, contexts and continuation counts are tables, joined by n-gram; no
+process ever holds the model. Documents are packed into blocks of some megabytes of text. A block asks for the log
 probability of each distinct n-gram in it once (a row per n-gram and block instead of one per occurrence), the
 requests are joined to the model, and the answers go back to the block, which sums them by document.
-Thresholds are quantiles of the trusted documents' perplexities, by language.
+The threshold of a language is a quantile of its held-out trusted documents' scores (perplexities allowed for length) and a margin.
 """
 
 from __future__ import annotations
@@ -20,11 +20,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_dir
+from tidemark.llm.common import materialize, shared_dir, small
 
-#: Characters in one block; the quantile of trusted scores, and how far over it (as a factor) a document may lie; the
-#: allowance for the scatter of short texts: a score is the perplexity divided by exp(SHORT / sqrt(symbols)).
-BLOCK_CHARS, QUANTILE, MARGIN, SHORT = 16_000_000, 0.995, 1.1, 3.0
+#: Characters in one block; rows of requests sent at once; the quantile of held-out scores and how far over it, as a factor, a
+#: document may lie (for good text of kinds that are rare among the trusted); the allowance for the scatter of short texts: a
+#: score is the perplexity divided by exp(SHORT / sqrt(symbols)).
+BLOCK_CHARS, ROWS, QUANTILE, MARGIN, SHORT = 16_000_000, 1 << 16, 0.995, 1.1, 3.0
 #: Symbols of a block that are worked on at once (or one document).
 CHUNK = 1 << 18
 #: One trusted document in so many is kept out of the model and sets the threshold: text that a model has seen scores too well.
@@ -85,7 +86,7 @@ def pack(docs: DataFrame) -> DataFrame:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, whole.schema, options=options) as w:
                 w.write_table(whole)
-            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([lang]), pa.array([whole.column("doc_id").to_pylist()], pa.list_(whole.schema.field("doc_id").type)), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "lang", "ids", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([lang]), pa.array([whole.column("doc_id").to_pylist()], pa.list_(whole.schema.field("doc_id").type)), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "lang", "ids", "content"])
 
         for batch in batches:
             langs = batch.column("lang")
@@ -107,7 +108,7 @@ def pack(docs: DataFrame) -> DataFrame:
             yield out(lang, parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block string, lang string, ids array<{kind}>, content binary")
+    return docs.mapInArrow(run, f"block long, lang string, ids array<{kind}>, content binary")
 
 
 def store(blocks: DataFrame) -> str:
@@ -158,12 +159,15 @@ def requests(blocks: DataFrame) -> DataFrame:
                     continue
                 grams, index = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
                 counts = np.bincount(index, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([block.as_py()] * len(grams), pa.string()), pa.array([lang.as_py()] * len(grams), pa.string()), pa.array(grams), pa.array(counts)], names=["block", "lang", "gram", "trusted"])
+                del parts, index
+                for at in range(0, len(grams), ROWS):
+                    own = grams[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(block, len(own)), pa.repeat(lang, len(own)), pa.array(own), pa.array(counts[at : at + ROWS])], names=["block", "lang", "gram", "trusted"])
 
-    return blocks.mapInArrow(run, "block string, lang string, gram long, trusted long")
+    return blocks.mapInArrow(run, "block long, lang string, gram long, trusted long")
 
 
-def _discounts(counts: DataFrame, order: int) -> DataFrame:
+def _discounts(counts: DataFrame) -> DataFrame:
     """(lang, d1, d2, d3) of one order from its counts (lang, n): the modified Kneser-Ney discounts."""
     n = [F.count_if(F.col("n") == k).cast("double") for k in (1, 2, 3, 4)]
     by = counts.groupBy("lang").agg(*(c.alias(f"n{k}") for k, c in zip((1, 2, 3, 4), n, strict=True)))
@@ -181,9 +185,9 @@ def model(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
     out = {}
     for k in range(ORDER, 0, -1):
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1))
-        small = _discounts(counts, k)
+        discounts = small(_discounts(counts), f"kn-discounts-{k}")
         # a gram's context is all but its last symbol; the discounts are one row a language
-        c = counts.join(small, "lang").withColumn("context", F.shiftrightunsigned("gram", 16))
+        c = counts.join(discounts, "lang").withColumn("context", F.shiftrightunsigned("gram", 16))
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         contexts = c.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum(d).alias("held"))
         probs = c.withColumn("d", d).join(contexts.select("lang", "context", "total"), ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("p"))
@@ -205,7 +209,7 @@ def log_probabilities(asked: DataFrame, tables: dict[int, tuple[DataFrame, DataF
         step = cur.withColumns({"g": low, "c": F.shiftrightunsigned(low, 16)})
         step = step.join(probs.select("lang", F.col("gram").alias("g"), "p"), ["lang", "g"], "left").join(contexts.select("lang", F.col("context").alias("c"), "gamma"), ["lang", "c"], "left")
         cur = step.select("lang", "gram", (F.coalesce("p", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("q"))
-    known = tables[1][1].select("lang").distinct()
+    known = small(tables[1][1].select("lang").distinct(), "kn-langs")
     return cur.join(known, "lang", "left_semi").select("lang", "gram", F.log("q").alias("logp"))
 
 
@@ -230,9 +234,9 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     def collect(key: tuple, group: pa.Table) -> pa.Table:
         grams = group.column("gram").to_numpy()
         order = np.argsort(grams)
-        return pa.table({"block": [key[0].as_py()], "grams": pa.array([grams[order].tobytes()], pa.binary()), "logps": pa.array([group.column("logp").to_numpy()[order].tobytes()], pa.binary())})
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "grams": pa.array([grams[order].tobytes()], pa.binary()), "logps": pa.array([group.column("logp").to_numpy()[order].tobytes()], pa.binary())})
 
-    answered = answers.select("block", "gram", "logp").groupBy("block").applyInArrow(collect, "block string, grams binary, logps binary")
+    answered = answers.select("block", "gram", "logp").groupBy("block").applyInArrow(collect, "block long, grams binary, logps binary")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,20 +264,26 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
 
     kind = docs.schema[id_col].dataType.simpleString()
     joined = marked.join(answered, "block", "left").select("lang", "content", "places", "grams", "logps")
-    out = materialize(joined.mapInArrow(score, f"doc_id {kind}, text_key string, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double"), "kn-perplexities")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    try:
+        out = materialize(joined.mapInArrow(score, f"doc_id {kind}, text_key string, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double"), "kn-perplexities")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     return out
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE, margin: float = MARGIN, calibrate: int = CALIBRATE) -> DataFrame:
-    """perplexities() with `score`, `threshold` and `kept`. The threshold is that of held-out
-    trusted documents, or of all trusted ones in a language without. Rows without a perplexity or threshold are kept: nothing
-    speaks against them."""
+    """perplexities() with `score`, `threshold` and `kept`.
+
+    The threshold is the quantile, times the margin, of the scores of the language's held-out trusted documents, or of all trusted ones where none is
+    held out. Rows without a perplexity or threshold are kept: nothing speaks against them. Null and empty texts score as their
+    end symbol, very long ones are read whole, repeated rows get equal results. An empty table, or one without trusted
+    documents, gives no thresholds. Columns of docs other than the three named are not read and may have any name.
+    """
     scored = perplexities(docs, trusted_ids, id_col, text_col, lang_col, calibrate)
     scored = scored.withColumn("score", F.col("perplexity") * F.exp(-SHORT / F.sqrt(F.col("n_symbols") + 1)))
     at = lambda rows: F.percentile_approx(F.when(rows, F.col("score")), quantile, 10000)
     limits = scored.where("trusted").groupBy("lang").agg((F.coalesce(at(F.col("held_out")), at(F.lit(True))) * margin).alias("threshold"))
-    return scored.join(limits, "lang", "left").withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
+    return scored.join(small(limits, "kn-thresholds"), "lang", "left").withColumn("kept", F.coalesce(F.col("score") <= F.col("threshold"), F.lit(True)))
 
 
 def filter_documents(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
