@@ -96,3 +96,26 @@ def test_blocks_agree(spark):
     items = [(i, "".join(rng.choice("abcdefgh ") for _ in range(60))) for i in range(9)]
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert [len(b) for b in D.blocks(bench, "item_id", "text", 130)] == [2, 2, 2, 2, 1]
+
+
+def test_a_passage_that_is_repeated_without_a_gap_gives_every_region():
+    rng = random.Random(9)
+    for m in (12, 40, 100, 333):
+        passage = "".join(rng.choice("abcdefghijklmnop") for _ in range(m))
+        index = D.Index.of([(7, passage)])
+        for times in (1, 2, 3, 5):
+            for gap in ("", " x ", "qr" * 20):
+                text = "zz" + gap.join([passage] * times) + "yy"
+                assert [(r[0], r[3]) for r in index.find(text)] == [(7, 0)] * times
+                assert [text[s:e] for _, s, e, _ in index.find(text)] == [passage] * times
+    passage = "".join(rng.choice("abcdefghijklmnop") for _ in range(200))
+    changed = passage[:50] + "#" + passage[51:120] + passage[122:]
+    found = D.Index.of([(1, passage)]).find(changed + passage + changed)
+    assert [f[3] for f in found] == [3, 0, 3]
+
+
+def test_common_grams_do_not_pile_up(monkeypatch):
+    monkeypatch.setattr(D, "HITS", 1000)
+    passages = [(i, "a" * (60 + i)) for i in range(40)] + [(99, "the quick brown fox jumps over the lazy dog tonight")]
+    found = D.Index.of(passages).find("a" * 3000 + " the quick brown fox jumps over the lazy dog tonight " + "a" * 500)
+    assert {f[0] for f in found} == {*range(40), 99}

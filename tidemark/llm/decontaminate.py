@@ -11,6 +11,7 @@ all documents pass it, so one text is never joined to another and a benchmark of
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: q, edits allowed per character of the passage, characters of benchmark text in one block.
 Q, RATE, BLOCK_CHARS = 8, 0.1, 1 << 21
+#: Hits of q-grams that are listed at once.
+HITS = 1 << 21
 
 
 _SPACE = np.zeros(12290, bool)
@@ -118,6 +121,7 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     seen: np.ndarray
+    hashed: list[np.ndarray]
     sizes: np.ndarray
     most: np.ndarray
     bound: np.ndarray
@@ -136,7 +140,7 @@ class Index:
         seen[(hashes >> np.uint64(42)).astype(np.int64)] = True
         sizes = np.array([len(c) for _, c in kept], np.int64)
         most = np.array([budget(m, q, rate) for m in sizes.tolist()], np.int64)
-        return cls([k for k, _ in kept], [c for _, c in kept], hashes, first, count, item[order], place[order].astype(np.int64), seen, sizes, most, sizes + 1 - q * (most + 1), q)
+        return cls([k for k, _ in kept], [c for _, c in kept], hashes, first, count, item[order], place[order].astype(np.int64), seen, hashed, sizes, most, sizes + 1 - q * (most + 1), q)
 
     def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits), places in the text, one for every passage and band that is within the budget."""
@@ -147,45 +151,77 @@ class Index:
         at = np.flatnonzero(self.seen[(hashes >> np.uint64(42)).astype(np.int64)])
         index = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
         hit = self.hashes[index] == hashes[at]
-        at, index = at[hit], index[hit]
-        if not len(at):
-            return []
-        counts = self.count[index]
-        slot = np.repeat(self.first[index] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-        item, diagonal = self.item[slot], np.repeat(at, counts) - self.place[slot]
-        # bands of width 2w at steps of w = e + 1: any e + 1 neighbouring diagonals lie in one of them
-        band = np.floor_divide(diagonal, (self.most + 1)[item])
-        low = int(band.min()) - 1
-        width = int(band.max()) - low + 1
-        key = item * width + (band - low)
-        key, n = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-        passed = n >= self.bound[key // width]
-        out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for k, b in zip((key[passed] // width).tolist(), (key[passed] % width + low).tolist(), strict=True):
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        for k, band in self._bands(at[hit], index[hit]):
             e, m, passage = int(self.most[k]), int(self.sizes[k]), self.codes[k]
-            lo = b * (e + 1)
-            inside = diagonal[(item == k) & (diagonal >= lo) & (diagonal < lo + 2 * (e + 1))]
-            values, votes = np.unique(inside, return_counts=True)
-            at = int(values[votes.argmax()])
-            if at >= 0 and np.array_equal(codes[at : at + m], passage):
-                edits, start, end = 0, at, at + m
-            else:
-                left = max(0, lo - e)
-                found = within(codes[left : max(left, lo + 2 * (e + 1) + m + e)], passage, lo - left - e, lo - left + 2 * (e + 1) + e, e)
-                if not found:
-                    continue
-                edits, start, end = found[0], left + found[1], left + found[2]
-            known = out.get((k, start // (m + 1)))
-            if not known or edits < known[0]:
-                out[k, start // (m + 1)] = (edits, start, end)
-        best = {}
-        for (k, _), (edits, start, end) in sorted(out.items()):
-            if (last := best.get(k)) and last[-1][1] < end and start < last[-1][2]:  # the same region seen twice
-                if edits < last[-1][0]:
-                    last[-1] = (edits, start, end)
-            else:
-                best.setdefault(k, []).append((edits, start, end))
-        return [(self.items[k], int(where[s]), int(where[e - 1]) + 1 if e > s else int(where[s]), edits) for k, all_of in best.items() for edits, s, e in all_of]
+            lo = band * (e + 1)
+            places, diagonal = self._shared(hashes, k, lo, 2 * (e + 1))
+            if places < self.bound[k]:
+                continue
+            if diagonal >= 0 and np.array_equal(codes[diagonal : diagonal + m], passage):
+                out.setdefault(k, []).append((0, diagonal, diagonal + m))
+                continue
+            left = max(0, lo - e)
+            if found := within(codes[left : max(left, lo + 2 * (e + 1) + m + e)], passage, lo - left - e, lo - left + 2 * (e + 1) + e, e):
+                out.setdefault(k, []).append((found[0], left + found[1], left + found[2]))
+        return [(self.items[k], int(where[s]), int(where[e - 1]) + 1 if e > s else int(where[s]), edits) for k, of in sorted(out.items()) for edits, s, e in _apart(of)]
+
+    def _bands(self, at: np.ndarray, index: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(passage, band) of the bands with as many hits as the bound; bands are 2 (e + 1) diagonals wide at steps of e + 1, so any
+        e + 1 neighbouring diagonals lie in one. Hits are listed HITS at a time: a text that repeats a common q-gram has many."""
+        counts = self.count[index]
+        ends = np.cumsum(counts)
+        first, keys, votes = 0, [], []
+        while first < len(at):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + HITS, "right")))
+            own = counts[first:last]
+            slot = np.repeat(self.first[index[first:last]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            item = self.item[slot]
+            band = np.floor_divide(np.repeat(at[first:last], own) - self.place[slot], (self.most + 1)[item]) + (1 << 31)
+            key, n = np.unique(np.concatenate([item << 32 | band, item << 32 | (band - 1)]), return_counts=True)
+            keys.append(key)
+            votes.append(n)
+            first = last
+        if not keys:
+            return
+        key, n = keys[0], votes[0]
+        if len(keys) > 1:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            n = np.bincount(back, np.concatenate(votes))
+        for x in key[n >= self.bound[key >> 32]].tolist():
+            yield x >> 32, (x & 0xFFFFFFFF) - (1 << 31)
+
+    def _shared(self, hashes: np.ndarray, k: int, low: int, width: int) -> tuple[int, int]:
+        """How many q-grams of passage k the text has on these diagonals, each counted once, and the diagonal that has the most."""
+        own = self.hashed[k]
+        size = len(own)
+        found, best, most = np.zeros(size, bool), low, -1
+        step = max(1, (1 << 20) // size)
+        for d in range(low, low + width, step):
+            rows = min(step, low + width - d)
+            part = np.zeros(size + rows - 1, np.uint64)
+            lo, hi = max(0, d), min(len(hashes), d + len(part))
+            if lo >= hi:
+                continue
+            inside = np.zeros(len(part), bool)
+            part[lo - d : hi - d], inside[lo - d : hi - d] = hashes[lo:hi], True
+            same = (np.lib.stride_tricks.sliding_window_view(part, size) == own) & np.lib.stride_tricks.sliding_window_view(inside, size)
+            found |= same.any(axis=0)
+            votes = same.sum(axis=1)
+            if votes.max() > most:
+                best, most = d + int(votes.argmax()), int(votes.max())
+        return int(found.sum()), best
+
+
+def _apart(regions: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of regions (edits, start, end) of which one covers more than half of another, that with the fewest edits; in order."""
+    longest = max(e - s for _, s, e in regions)
+    kept: list[tuple[int, int, int]] = []  # (start, end, edits), by start; few of them overlap
+    for edits, s, e in sorted(set(regions)):
+        near = kept[bisect.bisect_left(kept, (s - longest,)) : bisect.bisect_left(kept, (e,))]
+        if all(2 * (min(e, t) - max(s, r)) <= min(e - s, t - r) for r, t, _ in near):
+            bisect.insort(kept, (s, e, edits))
+    return [(edits, s, e) for s, e, edits in kept]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, size: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -205,8 +241,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, start, end, edits) for every region of a document within the edit budget of a passage.
 
     Whole texts are searched. Null and empty texts have no regions; passages under q characters are not searched
-    for; repeated rows each give their regions. No documents or no benchmark: an empty result. If key_col is
-    given, that column is carried instead of the id.
+    for; repeated rows each give their regions. A passage that stands in a text several times gives a region each time. No
+    documents or no benchmark: an empty result. If key_col is given, that column is carried instead of the id. Other columns
+    are not read and may have any name.
     """
     spark = docs.sparkSession
     kind = docs.schema[key_col or id_col].dataType.simpleString()
