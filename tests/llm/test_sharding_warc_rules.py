@@ -76,7 +76,7 @@ def slow_measures(text):
 
 
 def _measured(spark, texts):
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, measured int, failed string").select("doc_id", "text")
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, measured int, failed string").selectExpr("*", "1 AS __words", "2 AS kept")
     out = R.ledger(df).orderBy("doc_id").collect()
     return [tuple(getattr(r.measured, c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) for r in out], out
 
@@ -96,10 +96,14 @@ def test_measures_of_random_texts(spark, texts):
 
 def test_policies_and_ablation(spark):
     texts = ["w" + str(i) + " " + " ".join(f"x{k}" for k in range(30)) for i in range(4)] + ["few words", "*** " * 40, None]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    entries = R.ledger(df)
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in enumerate(texts)], "id long, content string, measured int, failed int")
+    entries = R.ledger(df, "id", "content")
+    for policy, mask in R.POLICIES.items():
+        rows = entries.collect()
+        assert {(r.doc_id, r.kept, r.policy) for r in R.apply_policy(entries, policy).collect()} == {(r.doc_id, not r.failed & mask, policy) for r in rows}
+        want = {n: (sum(bool(r.failed & R.BIT[n]) for r in rows), sum(r.failed & mask == R.BIT[n] for r in rows)) for n in R.BIT if R.BIT[n] & mask}
+        assert {r.rule: (r.n_failed, r.n_only) for r in R.ablate(entries, policy).collect()} == want
     kept = {r.doc_id: r.kept for r in R.apply_policy(entries).collect()}
     assert kept == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
-    found = {r.rule: (r.n_failed, r.n_only) for r in R.ablate(entries).collect()}
-    assert found["few_words"][0] == 2 and found["symbols"][0] == 1
-    assert R.ledger(df.limit(0)).count() == 0
+    assert R.ledger(df.limit(0), "id", "content").count() == 0
+    assert {r.n_failed for r in R.ablate(R.ledger(df.limit(0), "id", "content")).collect()} == {0}

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 SPACE_CLASS = r"[ \t\n\x0B\f\r]"
 WINDOW = 8
 
@@ -32,7 +34,14 @@ def _repeated(words: Column, size: int = WINDOW) -> Column:
     Window hashes are sorted, so equal ones are neighbours; only for a text that has any are they sorted again
     with their positions. Covered words are counted as steps from each such window to the next, `size` at most.
     """
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+
+    def doubled(h: Column, by: int) -> Column:
+        """Hashes of stretches from those of half the length, `by` words."""
+        return _let(h, lambda x: F.zip_with(F.slice(x, 1, F.size(x) - by), F.slice(x, 1 + by, F.size(x) - by), lambda a, b: F.xxhash64(a, b)))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    for by in (1, 2, 4):
+        hashes = doubled(hashes, by)
 
     def covered(h: Column) -> Column:
         placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -53,9 +62,10 @@ def _repeated(words: Column, size: int = WINDOW) -> Column:
     return F.when(F.size(words) <= size, 0).otherwise(_let(hashes, gathered))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with the measurements in a struct column `measured`. A null text has none of anything."""
-    staged = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, measured: a struct of the measurements) for every row of docs. A null text has none of anything; very long texts
+    are measured whole. Other columns are not read and may have any name."""
+    staged = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__text"))
     staged = staged.withColumns({"__words": _words(F.col("__text")), "__lines": F.filter(F.split(F.col("__text"), "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r]"))})
     n_chars = F.char_length("__text")
     count = lambda pattern: n_chars - F.char_length(F.regexp_replace("__text", pattern, ""))
@@ -69,7 +79,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_exclaim": count(r"!+"),
         "n_distinct_words": F.size(F.array_distinct("__words")),
     }
-    return staged.select(*docs.columns, F.struct(*(c.cast("long").alias(k) for k, c in fields.items())).alias("measured"))
+    return staged.select("doc_id", F.struct(*(c.cast("long").alias(k) for k, c in fields.items())).alias("measured"))
 
 
 #: Rules by bit: (name, true where the rule fails, given the measurements). Bits are never used again for another rule.
@@ -95,11 +105,16 @@ POLICIES = {
 }
 
 
-def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with `measured` and `failed`, a long with one bit per rule."""
-    measured = measure(docs, text_col)
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, measured, failed: a long with one bit per rule), stored once in the shared folder: policies and ablations read it
+    and never the texts.
+
+    Null texts and texts without words fail `few_words`; repeated rows and rows with null ids have an entry each; ties do not
+    arise; an empty table gives an empty ledger.
+    """
+    measured = measure(docs, id_col, text_col)
     bits = [F.when(fails(F.col("measured")), F.lit(1 << i)).otherwise(F.lit(0)) for i, (_, fails) in enumerate(RULES)]
-    return measured.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long"))
+    return materialize(measured.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits).cast("long")), "rule-ledger")
 
 
 def apply_policy(entries: DataFrame, policy: str = "standard-1") -> DataFrame:
@@ -121,10 +136,10 @@ def ablate(entries: DataFrame, policy: str = "standard-1") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: the base measurements of every document and the verdict of the policy standard-1."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = apply_policy(ledger(docs))
-    return out.select("doc_id", *(f"measured.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept")
+    """op7: the base measurements of every document, its failed rules and the verdict of the policy standard-1."""
+    out = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    columns = (f"measured.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    return out.select("doc_id", *columns, (F.col("failed").bitwiseAND(F.lit(BASE)) != 0).alias("base_failed"), "kept", "failed", "policy")
 
 
 ORACLE_SQL = r"""
@@ -144,11 +159,16 @@ m AS (
   SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
          (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words,
-         len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_exclaim
+         len(lines) AS n_lines, length(text) - length(replace(text, '!', '')) AS n_exclaim, len(list_distinct(words)) AS n_distinct
   FROM w LEFT JOIN n USING (r)
-), f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars > 20 * n_words
-            OR word_chars < 2 * n_words OR 100 * n_exclaim > 30 * n_words) AS kept
+), f AS (
+  SELECT *, n_words < 20 AS r0, 100 * n_repeat_words > 30 * n_words AS r1, 100 * n_symbols > 30 * n_words AS r2, 100 * n_dup_lines > 30 * n_lines AS r3,
+         word_chars > 20 * n_words AS r4, word_chars < 2 * n_words AS r5, 100 * n_exclaim > 30 * n_words AS r6, n_words > 1000000 AS r7,
+         n_words >= 100 AND 100 * n_distinct < 10 * n_words AS r8
+  FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 OR r1 AS base_failed, NOT (r0 OR r1 OR r2 OR r3 OR r4 OR r5 OR r6) AS kept,
+       (r0::BIGINT + 2 * r1::BIGINT + 4 * r2::BIGINT + 8 * r3::BIGINT + 16 * r4::BIGINT + 32 * r5::BIGINT + 64 * r6::BIGINT + 128 * r7::BIGINT + 256 * r8::BIGINT)::BIGINT AS failed,
+       'standard-1' AS policy
 FROM f
 """
