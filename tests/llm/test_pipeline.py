@@ -15,7 +15,7 @@ def test_stages(spark, sf_dir):
         assert 0 < after.count() <= before.count()
         before = after
     rows = before.collect()
-    assert all(not {f for _, _, _, f in pii.detect(r.text)} & {f for _, _, _, f in pii.detect(o.text)} for r in rows for o in [docs.where(f"doc_id = {r.doc_id}").first()] if r.doc_id % 20 == 0)
+    assert all(not {f for _, _, _, f, _ in pii.detect(r.text)} & {f for _, _, _, f, _ in pii.detect(o.text)} for r in rows for o in [docs.where(f"doc_id = {r.doc_id}").first()] if r.doc_id % 20 == 0)
     index = decontaminate.Index.of([(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()])
     assert not any(index.find(r.text) for r in rows)
     assert simhash.near_duplicates(docs.join(before.select("doc_id"), "doc_id", "left_semi")).groupBy("component_id").count().where("count > 1").count() == 0

@@ -2,9 +2,10 @@
 
 Every entity (type and canonical form) of the corpus gets one surrogate, drawn from a keyed stream, of the same
 type, script, gender, length and format. The dictionary of entities is a distributed table: draws that equal
-another entity's surrogate or any real entity of the type are drawn again until none do, so distinct entities
-stay distinct and all mentions of one get the same surrogate. Names are mapped word by word (given name by
-gender, family name), so that a full name and a family name alone agree.
+another entity's surrogate or any real entity are drawn again until none do, so distinct entities
+stay distinct and all mentions of one get the same surrogate; names share one space, and so do numbers. Names are mapped word
+by word, so that a full name and a part of it agree; a word's gender is that of most of its titles in the corpus.
+A format that runs out of forms is widened, by a letter or digit every eight rounds.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, materialize, text_hash
 
-KEY = b"tidemark-demo-key"
-
 _WORD = r"[^\W\d_][^\W\d_'’\-]*"
 _MALE = ("mr", "sir", "herr", "monsieur", "señor", "sr", "don", "г-н", "господин", "κύριος")
 _FEMALE = ("mrs", "ms", "miss", "madam", "lady", "frau", "madame", "mme", "mlle", "señora", "señorita", "sra", "srta", "doña", "г-жа", "госпожа", "κυρία")
@@ -33,7 +32,7 @@ _TITLE = "|".join(t[0].upper() + t[1:] for t in sorted((*_MALE, *_FEMALE, *_OTHE
 
 #: In order of precedence; `v` is what is replaced.
 PATTERNS = {
-    "secret": r"""(?i:\b(?:token|api[_-]?key|secret|password|passwd|access[_-]?key|auth)\b)["']?\s*[=:]\s*["']?(?P<v>[\w+/\-.]{8,}=*)""",
+    "secret": r"""(?i:\b(?P<hint>token|api[_-]?key|secret|password|passwd|access[_-]?key|auth)\b)["']?\s*[=:]\s*["']?(?P<v>[\w+/\-.]{8,}=*)""",
     "email": r"(?P<v>[\w.%+\-]++@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,})",
     "iban": r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)",
@@ -62,35 +61,51 @@ def canonical(kind: str, value: str) -> str:
         return ("+" if value.startswith("+") else "") + _digits(value)
     if kind == "iban":
         return value.replace(" ", "")
-    if kind.startswith("given") or kind == "family":
+    if kind == "name":
         return value.casefold()
     return value
 
 
-def _names(text: str) -> list[tuple[int, int, str]]:
-    out, known = [], {}
+def space(kind: str) -> str:
+    """What a surrogate must be distinct in."""
+    return "digits" if kind in ("phone", "ssn", "number") else kind
+
+
+def _base(word: re.Match) -> tuple[int, int]:
+    """The span of a word without a possessive s."""
+    return word.start(), word.end() - 2 * word[0].endswith(("'s", "\u2019s"))
+
+
+def _names(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, "name", gender by title) of the words of titled names, and of the same words elsewhere in the text."""
+    out, known = [], set()
     for m in _PERSON.finditer(text):
         title = m["title"].lower()
-        gender = "m" if title in _MALE else "f" if title in _FEMALE else "x"
-        words = [w for w in _TOKENS.finditer(text, m.start("name"), m.end("name"))]
+        gender = "m" if title in _MALE else "f" if title in _FEMALE else ""
+        words = list(_TOKENS.finditer(text, m.start("name"), m.end("name")))
         while words and not words[-1][0][0].isupper():
             words.pop()
         if not words or not all(w[0][0].isupper() for w in words):
             continue
-        for i, w in enumerate(words):
-            kind = "family" if i == len(words) - 1 else f"given-{gender}"
-            out.append((*w.span(), kind))
-            known.setdefault(w[0], kind)
-        if len(words) > 1:
-            known.setdefault(text[words[0].start() : words[-1].end()], "")
-    full = [k for k, kind in known.items() if not kind]
-    if full:  # the same person again, without a title
-        taken = {s for s, _, _ in out}
-        for m in re.finditer("|".join(rf"(?<!\w){re.escape(k)}(?!\w)" for k in sorted(full, key=len, reverse=True)), text):
-            out += [(*w.span(), known[w[0]]) for w in _TOKENS.finditer(text, *m.span()) if w.start() not in taken and w[0] in known]
+        for w in words:
+            s, e = _base(w)
+            out.append((s, e, "name", gender if w is not words[-1] else ""))
+            known.add(text[s:e])
+    if known:
+        taken = {s for s, _, _, _ in out}
+        for w in _TOKENS.finditer(text):
+            s, e = _base(w)
+            if e - s > 2 and s not in taken and text[s:e] in known:
+                out.append((s, e, "name", ""))
     return out
 
 
+def _is_secret(m: re.Match) -> bool:
+    """Not a plain word: "token = javascript" is none."""
+    value = m["v"]
+    return m["hint"].lower() in ("password", "passwd") or bool(_DIGIT.search(value)) or not (value.islower() or value.isupper() or value.istitle())
+
+
 def _emails(text: str) -> Iterator[re.Match]:
     """The matches of the e-mail pattern: at starts of runs, and where another match ends."""
     at = 0
@@ -101,27 +116,30 @@ def _emails(text: str) -> Iterator[re.Match]:
             m = _COMPILED["email"].match(text, at)
 
 
-def detect(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, canonical form) of the entities in text, in order and without overlaps."""
+def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
+    """(start, end, type, canonical form, gender: m, f or nothing) of the entities in text, in order and without overlaps.
+
+    Of entities that overlap the first type of PATTERNS counts. Texts are read whole; null and empty ones have none.
+    """
     if not text:
         return []
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple[int, int, str, str]] = []
     digits, at = bool(_DIGIT.search(text)), "@" in text
     for kind, pattern in _COMPILED.items():
         if kind == "email" and not at or kind == "secret" and not _HINT.search(text) or kind not in ("email", "secret") and not digits:
             continue
-        found += [(*m.span("v"), kind) for m in (_emails(text) if kind == "email" else pattern.finditer(text))]
+        found += [(*m.span("v"), kind, "") for m in (_emails(text) if kind == "email" else pattern.finditer(text)) if kind != "secret" or _is_secret(m)]
     found += _names(text)
     rank = {k: i for i, k in enumerate(PATTERNS)}
-    kept: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str, str]] = []
     claimed = bytearray(len(text)) if len(found) > 1 else None
-    for s, e, kind in sorted(found, key=lambda x: (rank.get(x[2], 99), x[0])):
+    for s, e, kind, gender in sorted(found, key=lambda x: (rank.get(x[2], 99), x[0])):
         if claimed is not None:
             if any(claimed[s:e]):
                 continue
             claimed[s:e] = b"\1" * (e - s)
-        kept.append((s, e, kind))
-    return [(s, e, kind, canonical(kind, text[s:e])) for s, e, kind in sorted(kept)]
+        kept.append((s, e, kind, gender))
+    return [(s, e, kind, canonical(kind, text[s:e]), gender) for s, e, kind, gender in sorted(kept)]
 
 
 class _Stream:
@@ -183,7 +201,7 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(value) % 97:02d}"
 
 
-def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
+def surrogate(kind: str, form: str, key: bytes, gender: str = "", attempt: int = 0) -> str:
     """The canonical form that replaces `form`; other attempts give other draws."""
     draw = _Stream(key, kind, form, attempt)
     more = attempt // 8  # tiny formats run out of forms: later draws are longer
@@ -194,6 +212,8 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
         return f"{_shape(local, draw)}{pad}@{_shape(domain.split('.')[0], draw)}.example.net"
     if kind == "ip":
         a = int(form.split(".")[0])
+        if more > 3:  # there are no more addresses of four parts: one of the range that is kept for documents
+            return "2001:db8:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(6))
         return ".".join(str(x) for x in (10 if a in (10, 127, 172, 192) and not more else 240 + draw.below(15), draw.below(256), draw.below(256), 1 + draw.below(254)))
     if kind in ("phone", "ssn"):
         plus, digits = form.startswith("+"), form.removeprefix("+")
@@ -212,10 +232,9 @@ def surrogate(kind: str, form: str, attempt: int = 0, key: bytes = KEY) -> str:
     if kind == "iban":
         rest = _shape(form[4:], draw) + extra
         return form[:2] + _iban_check(form[:2], rest) + rest
-    if kind == "family" or kind.startswith("given"):
+    if kind == "name":
         of = script(form)
         consonants = [c for c in _SCRIPTS[of] if c not in _VOWELS[of] and c not in "qxwyъь"]
-        gender = kind[-1] if kind.startswith("given") else ""
         stem = "".join(draw.pick(consonants) + draw.pick(_VOWELS[of]) for _ in range(max(2, min(5, len(form) // 2)) + more))
         if gender in ("m", "f"):
             return stem + draw.pick(consonants) + draw.pick(_ENDINGS[of, gender]) if gender == "f" else stem + draw.pick(_ENDINGS[of, gender])
@@ -234,15 +253,18 @@ def render(kind: str, mention: str, new: str) -> str:
     if kind == "iban":
         chars = iter(new)
         return "".join(c if c == " " else next(chars, "") for c in mention) + "".join(chars)
-    if kind == "email" or kind == "family" or kind.startswith("given"):
+    if kind in ("email", "name"):
         if len(mention) > 1 and mention.isupper():
             return new.upper()
         return new[:1].upper() + new[1:] if mention[:1].isupper() else new
     return new
 
 
+FOUND = "start int, end int, kind string, form string, gender string"
+
+
 def mentions(keyed: DataFrame, key_col: str, text_col: str) -> DataFrame:
-    """(text_key, start, end, kind, form), once for each distinct text."""
+    """(text_key, start, end, kind, form, gender), once for each text_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,54 +274,75 @@ def mentions(keyed: DataFrame, key_col: str, text_col: str) -> DataFrame:
                     keys.append(i)
                     rows.append(found)
             if rows:
-                s, e, kind, form = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(kind), pa.array(form)], names=["text_key", "start", "end", "kind", "form"])
+                s, e, kind, form, gender = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keys)), pa.array(s, pa.int32()), pa.array(e, pa.int32()), pa.array(kind), pa.array(form), pa.array(gender)], names=["text_key", "start", "end", "kind", "form", "gender"])
 
     slim = keyed.select(F.col(key_col).alias("text_key"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return slim.mapInArrow(run, "text_key string, start int, end int, kind string, form string").distinct()
+    return slim.mapInArrow(run, f"text_key string, {FOUND}").distinct()
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """(kind, form, gender) of all mentions: a form is one entity, of the gender that most of its mentions give (none if equal)."""
+    m, f = (F.count_if(F.col("gender") == g) for g in "mf")
+    return found.groupBy("kind", "form").agg(F.when(m > f, "m").when(f > m, "f").otherwise("").alias("gender"))
 
 
-def assign(entities: DataFrame, key: bytes = KEY, max_rounds: int = 60) -> DataFrame:
-    """(kind, form, new) for distinct entities (kind, form); new is distinct within a kind and no real form of it.
+def assign(known: DataFrame, key: bytes) -> DataFrame:
+    """(kind, form, new) for distinct entities (kind, form, gender); new is distinct within a space() and no real form of it.
 
     Each round draws for the entities still without a surrogate, all at once; of those that draw the same the
-    smallest keeps it. Rounds go on until nothing is left; only counts reach the driver.
+    smallest keeps it. Rounds go on until nothing is left, and end because formats get wider; only counts reach the driver.
     """
 
     def drawing(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                new = [surrogate(k, f, attempt, key) for k, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new, pa.string())], names=["kind", "form", "new"])
+                kinds, forms, genders = (batch.column(c).to_pylist() for c in range(3))
+                new = [surrogate(k, f, key, g, attempt) for k, f, g in zip(kinds, forms, genders, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(space, kinds), pa.string()), pa.array(new, pa.string())], names=["kind", "form", "space", "new"])
 
         return run
 
-    real = entities.select("kind", F.col("form").alias("new"))
-    pending, done = entities.select("kind", "form"), None
-    for attempt in range(max_rounds):
-        drawn = pending.mapInArrow(drawing(attempt), "kind string, form string, new string")
-        fit = drawn.join(real, ["kind", "new"], "left_anti")
+    of = F.when(F.col("kind").isin("phone", "ssn", "number"), "digits").otherwise(F.col("kind"))
+    real = known.select(of.alias("space"), F.col("form").alias("new")).distinct()
+    pending, done, attempt = known.select("kind", "form", "gender"), None, 0
+    while done is None or not pending.isEmpty():
+        drawn = pending.mapInArrow(drawing(attempt), "kind string, form string, space string, new string")
+        fit = drawn.join(real, ["space", "new"], "left_anti")
         if done is not None:
-            fit = fit.join(done, ["kind", "new"], "left_anti")
-        won = checkpoint(fit.groupBy("kind", "new").agg(F.min("form").alias("form")).select("kind", "form", "new"))
+            fit = fit.join(done, ["space", "new"], "left_anti")
+        won = checkpoint(fit.groupBy("space", "new").agg(F.min(F.struct("kind", "form")).alias("e")).select("e.kind", "e.form", "space", "new"))
         done = won if done is None else done.unionByName(won)
         pending = checkpoint(pending.join(won, ["kind", "form"], "left_anti"))
-        if pending.isEmpty():
-            return done
-    raise RuntimeError(f"some formats have fewer forms than the corpus has entities: {pending.first()}")
+        attempt += 1
+    return done.select("kind", "form", "new")
+
+
+#: Copies of a text are looked up in so many groups, so that none of them holds all.
+SALTS = 16
 
 
-def replace(docs: DataFrame, text_col: str = "text", key: bytes = KEY, count_col: str | None = None) -> DataFrame:
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with every entity in text_col replaced; other columns and rows unchanged. count_col: adds the number of mentions.
 
-    Texts without entities, null and empty ones included, come back as they are. Repeated texts are looked up
-    once and get the same surrogates. An empty table gives an empty result.
+    key: the secret of the draws; the same key and corpus give the same surrogates. Texts without entities, null and empty ones
+    included, come back as they are; long texts are read whole. Repeated texts get the same surrogates. Columns may have
+    any name but count_col's. An empty table gives an empty result.
     """
-    keyed = docs.withColumn("__tm_key", text_hash(text_col))
-    found = materialize(mentions(keyed, "__tm_key", text_col), "pii")
-    chosen = assign(found.select("kind", "form").distinct(), key)
-    listed = found.join(chosen, ["kind", "form"]).groupBy("text_key").agg(F.collect_list(F.struct("start", "end", "kind", "new")).alias("__tm_found"))
-    joined = keyed.join(listed.withColumnRenamed("text_key", "__tm_key"), "__tm_key", "left")
+    mark, spans = _unused("__tm_key", docs.columns), _unused("__tm_found", docs.columns)
+    others = [F.col(c) for c, t in docs.dtypes if c != text_col and "map<" not in t and "variant" not in t]
+    salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("string") if others else F.lit("")
+    keyed = docs.withColumn(mark, F.concat_ws(":", text_hash(text_col), salt))
+    found = materialize(mentions(keyed, mark, text_col), "pii")
+    chosen = assign(entities(found), key)
+    listed = found.join(chosen, ["kind", "form"]).groupBy(F.col("text_key").alias(mark)).agg(F.collect_list(F.struct("start", "end", "kind", "new")).alias(spans))
+    joined = keyed.join(listed, mark, "left")
 
     @F.pandas_udf("string")
     def rewritten(texts, spans):
@@ -314,15 +357,20 @@ def replace(docs: DataFrame, text_col: str = "text", key: bytes = KEY, count_col
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    touched = F.col("__tm_found").isNotNull()  # only these texts go to Python
-    new = F.when(touched, rewritten(F.when(touched, F.col(text_col)), F.col("__tm_found"))).otherwise(F.col(text_col))
+    touched = F.col(spans).isNotNull()  # only these texts go to Python
+    new = F.when(touched, rewritten(F.when(touched, F.col(text_col)), F.col(spans))).otherwise(F.col(text_col))
     out = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if count_col:
-        out.append(F.when(touched, F.size("__tm_found")).otherwise(0).alias(count_col))
+        out.append(F.when(touched, F.size(spans)).otherwise(0).alias(count_col))
     return joined.select(*out)
 
 
+def session_key(spark) -> bytes:
+    """The key of a run: the setting spark.tidemark.pii.key; where it is unset, a key for demonstrations, which keeps nothing secret."""
+    return (spark.conf.get("spark.tidemark.pii.key", None) or "demonstration").encode()
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op1: doc_id, the number of entities replaced, and the text with surrogates, for every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return replace(docs, count_col="n_entities").select("doc_id", "n_entities", "text")
+    return replace(docs, session_key(spark), count_col="n_entities").select("doc_id", "n_entities", "text")
