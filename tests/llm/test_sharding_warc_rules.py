@@ -42,10 +42,10 @@ def test_interleave_few_and_none(spark):
 def test_warc_round_trip(spark):
     same = "<p>" + "é" * 60
     tricky = "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nb" * 3
-    pages = [(1, "http://a/", same), (2, "http://b/", same), (3, None, None), (4, "u\r\nX: y", ""), (5, "v", "short"), (6, "v", "short"), (7, "w", tricky), (8, "w", tricky), (9, "z", "x" * 300_000), (None, "n", same), (2, "http://b/", same)]
+    pages = [(1, "http://a/", same), (2, "http://b/", same), (3, None, None), (4, "u\r\nX: y", ""), (5, "v", "short"), (6, "v", "short"), (7, "w", tricky), (8, "w", tricky), (9, "z", "x" * 300_000), (11, "z2", "x" * 300_000), (10, "z3", "y" * 66_000), (None, "n", same), (None, "n", same), (2, "http://b/", same)]
     df = spark.createDataFrame([(i, u, "2024-01-01T00:00:00Z", h, "clash") for i, u, h in pages], "record_id long, target_uri string, date string, payload string, copies string")
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    W.write_archives(W.resolve(df), path)
+    W.archive(df, path)
     back = W.read_archives(spark, path).collect()
     assert len(back) == len(pages)
     first = {}
@@ -60,6 +60,13 @@ def test_warc_round_trip(spark):
         assert r.payload is None if revisit else bytes(r.payload) == data
 
 
+def test_warc_of_nothing(spark):
+    df = spark.createDataFrame([], "record_id long, target_uri string, date string, payload string")
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    W.archive(df, path)
+    assert W.resolve(df).count() == 0 and W.read_archives(spark, path).count() == 0
+
+
 def test_warc_parse_rejects_damage():
     with pytest.raises(ValueError):
         list(W.parse(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n"))

@@ -1,9 +1,10 @@
 """WARC archives whose repeated payloads are revisit records.
 
-Headers (digest, length, id) are shuffled by payload digest to find the first record of every payload; the
-records are then joined to that result and written once, as response or as revisit with fresh headers. The
-archives go out through Spark's text sink, one record a row with the record end as line separator, so that they
-land wherever spark.checkpoint.dir points; they come back as binary files that are parsed by Content-Length.
+Headers (digest, id, uri, date) without payloads are shuffled by payload digest to find the first record of every payload and
+who repeats it. Records then meet their own verdict by id and digest, a key that no two pages share, and are written once,
+as response or as revisit with fresh headers. The archives go out through Spark's text sink, one record a row with the
+record end as line separator, so that they land wherever spark.checkpoint.dir points, small and large payloads apart, so that a
+file is bounded in bytes; they come back as binary files that are parsed by Content-Length.
 """
 
 from __future__ import annotations
@@ -22,28 +23,26 @@ from tidemark.llm.common import shared_dir
 
 VERSION, END = "WARC/1.1", "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payloads under this many bytes are always stored whole. Records in one archive file.
-LEAST_BYTES, FILE_RECORDS = 100, 2000
+#: Payloads under this many bytes are always stored whole.
+LEAST_BYTES = 100
+#: Payloads from this size on are large; records in one archive file of small and of large payloads.
+LARGE_BYTES, SMALL_RECORDS, LARGE_RECORDS = 1 << 16, 1000, 16
 
 
 def resolve(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """records (record_id, target_uri, date, payload) with payload_bytes, payload_digest, record_type, refers_to,
+    """(record_id, target_uri, date, payload) of records with payload_bytes, payload_digest, record_type, refers_to,
     refers_to_uri and refers_to_date. Of equal payloads of at least least_bytes the smallest record_id is the response.
 
-    A null payload is empty. Records without an id never refer and are never referred to. If several rows
-    share the smallest id, all of them are responses.
+    A null payload is empty, long ones are digested whole. Records without an id never refer and are never referred to. If
+    several rows share the smallest id, all of them are responses. Other columns are left out. An empty table gives an empty result.
     """
     payload = F.encode(F.coalesce(F.col("payload"), F.lit("")), "UTF-8")
-    headed = records.withColumns({"payload_bytes": F.octet_length(payload).cast("long"), "payload_digest": F.sha2(payload, 256)})
-    first = (
-        headed.where((F.col("payload_bytes") >= least_bytes) & F.col("record_id").isNotNull())
-        .groupBy("payload_digest")
-        .agg(F.min(F.struct("record_id", "target_uri", "date")).alias("first"), F.count(F.lit(1)).alias("copies"))
-        .where("copies > 1")
-        .drop("copies")
-    )
-    joined = headed.join(first, "payload_digest", "left")
-    revisit = F.col("first.record_id") < F.col("record_id")
+    headed = records.select("record_id", "target_uri", "date", "payload", F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha2(payload, 256).alias("payload_digest"))
+    headers = headed.where((F.col("payload_bytes") >= least_bytes) & F.col("record_id").isNotNull()).drop("payload", "payload_bytes")
+    first = headers.groupBy("payload_digest").agg(F.min(F.struct("record_id", "target_uri", "date")).alias("first"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+    revisits = headers.select("record_id", "payload_digest").join(first, "payload_digest").where("record_id > first.record_id").distinct()
+    joined = headed.join(revisits, ["record_id", "payload_digest"], "left")
+    revisit = F.col("first").isNotNull()
     return joined.select(
         "record_id", "target_uri", "date", "payload", "payload_bytes", "payload_digest",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
@@ -51,8 +50,16 @@ def resolve(records: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     )
 
 
+def archive(records: DataFrame, path: str, least_bytes: int = LEAST_BYTES) -> None:
+    """Resolves and writes records under path. Equal payloads are equally long, so small and large ones are two jobs."""
+    large = F.coalesce(F.octet_length("payload"), F.lit(0)) >= LARGE_BYTES
+    write_archives(resolve(records.where(~large), least_bytes), f"{path}/small", SMALL_RECORDS)
+    write_archives(resolve(records.where(large), least_bytes), f"{path}/large", LARGE_RECORDS)
+
+
 def _urn(column: str):
-    return F.concat(F.lit("<urn:page:"), F.coalesce(F.col(column).cast("string"), F.lit("none")), F.lit(">"))
+    """A record's name: its id; without one, a random name."""
+    return F.coalesce(F.concat(F.lit("<urn:page:"), F.col(column).cast("string"), F.lit(">")), F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">")))
 
 
 def _plain(column: str):
@@ -60,8 +67,8 @@ def _plain(column: str):
     return F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[\r\n]+", " ")
 
 
-def write_archives(resolved: DataFrame, path: str) -> None:
-    """Writes gzipped WARC files under path. A revisit keeps the HTTP head, and drops the payload."""
+def write_archives(resolved: DataFrame, path: str, file_records: int = SMALL_RECORDS) -> None:
+    """Writes gzipped WARC files under path, one gzip member a file. A revisit keeps the HTTP head, and drops the payload."""
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
     block = F.when(F.col("record_type") == "revisit", http).otherwise(F.concat(http, F.coalesce(F.col("payload"), F.lit(""))))
     head = F.concat(
@@ -78,7 +85,7 @@ def write_archives(resolved: DataFrame, path: str) -> None:
         F.lit(END),
     )
     records = resolved.select(F.concat(head, block).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -126,7 +133,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FIELDS)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.gz").load(path).select("content").mapInArrow(run, FIELDS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +141,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     records = pages.select(F.col("page_id").alias("record_id"), F.col("url").alias("target_uri"), F.lit("2024-01-01T00:00:00Z").alias("date"), F.col("html").alias("payload"))
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archives(resolve(records), path)
+    archive(records, path)
     back = read_archives(spark, path, payloads=False)
     return back.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
