@@ -105,6 +105,33 @@ def _sets(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, text_key string, id long, n long, bits array<long>, prefix array<long>")
 
 
+#: Bits by which the texts of sets that are compared in full are found again, whatever their number; others pass a join later.
+MARKS = 1 << 23
+
+
+def _marks(hashes: DataFrame) -> np.ndarray:
+    """Which of MARKS places the hashes (one long column) fall on."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(MARKS, bool)
+        for batch in batches:
+            seen[batch.column(0).to_numpy() & (MARKS - 1)] = True
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.flatnonzero(seen) >> 16).astype(np.int32)), pa.array([np.packbits(x).tobytes() for x in seen.reshape(-1, 1 << 16) if x.any()], pa.binary())], names=["block", "bits"])
+
+    def unite(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << 13, np.uint8)
+        for batch in batches:
+            for part in batch.column("bits").to_pylist():
+                out |= np.frombuffer(part, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "bits"])
+
+    out = np.zeros((MARKS >> 16, 1 << 16), bool)
+    for block, part in hashes.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
+        out[block] = np.unpackbits(np.frombuffer(part, np.uint8)).astype(bool)
+    return out.ravel()
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows (a, b) of pairs whose sets have a similarity of 0.8 or more."""
     bits = sets.select("id", "n", "bits")
@@ -113,24 +140,33 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     apart = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     both = materialize(both.where((5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")) & (9 * apart <= F.col("na") + F.col("nb"))).select("a", "b"), "similar-pairs")
     asked = both.select(F.col("a").alias("id")).unionByName(both.select(F.col("b").alias("id"))).distinct()
-    wanted = sets.join(asked, "id", "left_semi").select("id", F.col("least.text_key").alias("text_key"), F.col("least.doc_id").alias("doc_id"))
+    marks = texts.sparkSession.sparkContext.broadcast(_marks(sets.join(asked, "id", "left_semi").select(F.xxhash64("least.text_key", "least.doc_id").alias("h"))))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            found = [shingles(t, known).tobytes() for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "s"])
+            asked = np.flatnonzero(marks.value[batch.column(0).to_numpy() & (MARKS - 1)])
+            if not len(asked):
+                continue
+            ids, found = [], []
+            for text in batch.column(1).take(pa.array(asked)).cast(pa.binary()).to_pylist():
+                s = shingles(text, known)
+                ids.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
+                found.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(found, pa.binary())], names=["id", "s"])
 
-    t, w = texts.alias("t"), wanted.alias("w")
-    own = t.join(w, (F.col("t.text_key") == F.col("w.text_key")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id"))).select("w.id", "t.text")
-    full = materialize(own.mapInArrow(hashed, "id long, s binary").dropDuplicates(["id"]), "similar-sets")
+    full = texts.select(F.xxhash64("text_key", "doc_id").alias("h"), "text").mapInArrow(hashed, "id long, s binary")
+    full = materialize(full.join(asked, "id", "left_semi"), "similar-sets")
+    if full.count() > full.select("id").distinct().count():  # equal rows, or others that the marks let pass
+        full = full.dropDuplicates(["id"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(9 * (len(x) + len(y) - len(np.union1d(x, y))) >= 4 * (len(x) + len(y)))
+                x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                merged = np.sort(np.concatenate([x, y]))
+                keep.append(9 * int((merged[1:] == merged[:-1]).sum()) >= 4 * len(merged))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = both.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
