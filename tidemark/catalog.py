@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-PLANS = ("transforms", "features", "measures", "spectral_pairs")
+PLANS = ("transforms", "features", "measures", "spectral_pairs", "comparisons")
 
 
 def queries() -> dict:

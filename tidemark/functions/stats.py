@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,29 +145,41 @@ def normal_quantile(p: float) -> float:
     return z
 
 
+def blom(i: int, n: int) -> float:
+    """The normal score of rank i (from 1 on) of n."""
+    return normal_quantile((i - 0.375) / (n + 0.25))
+
+
 def shapiro(values: list[float]) -> tuple[float, float] | None:
     """(W, p) by Royston's approximation; None for fewer than three values."""
     x = sorted(values)
     n = len(x)
-    if n < 3 or x[0] == x[-1]:
+    if n < 3:
+        return None
+    m = [blom(i + 1, n) for i in range(n)]
+    mid = sum(x) / n
+    return shapiro_of(n, x[0], x[1], x[-2], x[-1], sum(p * q for p, q in zip(m, x, strict=True)), sum(v * v for v in m), sum((v - mid) ** 2 for v in x))
+
+
+def shapiro_of(n: int, low: float, low2: float, high2: float, high: float, mx: float, ss: float, spread: float) -> tuple[float, float] | None:
+    """The same from sums: the two least and the two greatest values, the sum of normal score times value, the sum of the squared
+    scores, and the sum of the squared deviations."""
+    if n < 3 or low == high:
         return None if n < 3 else (1.0, 1.0)
-    m = [normal_quantile((i + 1 - 0.375) / (n + 0.25)) for i in range(n)]
-    ss = sum(v * v for v in m)
-    u = 1 / math.sqrt(n)
+    u, m1, m2 = 1 / math.sqrt(n), blom(n, n), blom(n - 1, n)
     if n == 3:
-        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+        b = math.sqrt(0.5) * (high - low)
     else:
         poly = lambda c: sum(k * u**i for i, k in enumerate(c))
-        last = poly([m[-1] / math.sqrt(ss), 0.221157, -0.147981, -2.07119, 4.434685, -2.706056])
+        last = poly([m1 / math.sqrt(ss), 0.221157, -0.147981, -2.07119, 4.434685, -2.706056])
         if n > 5:
-            before = poly([m[-2] / math.sqrt(ss), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633])
-            eps = (ss - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
-            a = [-last, -before, *(v / math.sqrt(eps) for v in m[2:-2]), before, last]
+            before = poly([m2 / math.sqrt(ss), 0.042981, -0.293762, -1.752461, 5.682633, -3.582633])
+            eps = (ss - 2 * m1**2 - 2 * m2**2) / (1 - 2 * last**2 - 2 * before**2)
+            b = last * (high - low) + before * (high2 - low2) + (mx - m1 * (high - low) - m2 * (high2 - low2)) / math.sqrt(eps)
         else:
-            eps = (ss - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a = [-last, *(v / math.sqrt(eps) for v in m[1:-1]), last]
-    mid = sum(x) / n
-    w = min(1.0, sum(k * v for k, v in zip(a, x, strict=True)) ** 2 / sum((v - mid) ** 2 for v in x))
+            eps = (ss - 2 * m1**2) / (1 - 2 * last**2)
+            b = last * (high - low) + (mx - m1 * (high - low)) / math.sqrt(eps)
+    w = min(1.0, b * b / spread)
     if n == 3:
         return w, max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y = math.log(1 - w) if w < 1 else -50.0
@@ -182,6 +195,26 @@ def shapiro(values: list[float]) -> tuple[float, float] | None:
     return w, 0.5 * math.erfc((y - mu) / s / math.sqrt(2))
 
 
+def shapiro_wilk(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, p) of the finite values. Ranks come from ranges, scores are summed by distinct value; no group is gathered."""
+    kept = values.where(finite(F.col("value")))
+    counted = kept.groupBy(*keys, F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("t"))
+    totals = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.var_pop("value") * F.count(F.lit(1))).alias("spread"))
+
+    @F.pandas_udf("struct<m double, mm double>")
+    def scores(last: pd.Series, t: pd.Series, n: pd.Series) -> pd.DataFrame:
+        own = [[blom(i, int(k)) for i in range(int(r - c) + 1, int(r) + 1)] for r, c, k in zip(last, t, n, strict=True)]
+        return pd.DataFrame({"m": [sum(m) for m in own], "mm": [sum(v * v for v in m) for m in own]})
+
+    run = running(counted, keys, "v", ["t"]).join(totals, keys).withColumn("s", scores("run_t", "t", "n"))
+    by = run.groupBy(*keys, "n", "spread").agg(
+        F.min("v").alias("low"), F.min(F.when(F.col("run_t") >= 2, F.col("v"))).alias("low2"), F.max(F.when(F.col("run_t") - F.col("t") < F.col("n") - 1, F.col("v"))).alias("high2"), F.max("v").alias("high"),
+        F.sum(F.col("s.m") * F.col("v")).alias("mx"), F.sum("s.mm").alias("ss"),
+    )
+    p = F.udf(lambda *a: (lambda o: float(o[1]) if o else None)(shapiro_of(*a)), "double")
+    return by.select(*keys, "n", p("n", "low", "low2", "high2", "high", "mx", "ss", "spread").alias("p"))
+
+
 def p_of_u(u: Column, n: Column, m: Column, ties: Column) -> Column:
     return F.udf(mann_whitney_p, "double")(u, n, m, ties)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,15 +134,25 @@ def embedding_scores(embedded: DataFrame) -> DataFrame:
     return one.select(F.exp(-0.5 * quad).alias("overlap"), shape.alias("cov_shape"), F.lit(1).alias("k")).join(mixing, "k").drop("k")
 
 
+def split(labelled: DataFrame, seed: int = 42) -> DataFrame:
+    """The real signals (signal_id, role, label, ...) with member: half of each label (rounded up), drawn by an arithmetic hash of the
+    id. Ranks come from ranges, so no label is gathered."""
+    from tidemark.functions.ranks import numbered
+
+    real = labelled.where("role = 'real'")
+    order = P.arithmetic_hash(F.col("signal_id"), F.lit(1), seed).cast("double") * 1e9 + F.pmod("signal_id", F.lit(10**9))
+    sizes = real.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / 2).alias("__half"))
+    ranked = numbered(real.withColumn("__order", order), ["label"], "__order", "__rank").join(sizes, "label")
+    return ranked.withColumn("member", F.col("__rank") < F.col("__half")).drop("__order", "__rank", "__half")
+
+
 def membership(labelled: DataFrame, trees: int = 100, seed: int = 42) -> DataFrame:
     """Attacks on a forest trained on half of the real signals (signal_id, role, label, x): accuracies of telling members from others
     by correctness, confidence, entropy and modified entropy, and the share of synthetic signals that look like members."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.sql import Window
 
-    half = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("signal_id", F.lit(seed)), "signal_id")) <= F.ceil(F.count(F.lit(1)).over(Window.partitionBy("label")) / 2)
-    real = labelled.where("role = 'real'").withColumn("member", half)
+    real = split(labelled, seed).select(*labelled.columns, "member")
     rows = real.unionByName(labelled.where("role <> 'real'").withColumn("member", F.lit(None).cast("boolean"))).withColumn("__v", array_to_vector("x"))
     model = RandomForestClassifier(featuresCol="__v", labelCol="label", numTrees=trees, seed=seed).fit(rows.where("member"))
     scored = model.transform(rows).select("member", "label", "prediction", vector_to_array("probability").alias("p"))
@@ -163,6 +175,49 @@ def attacks(scored: DataFrame) -> DataFrame:
     return rest.join(wide, "k").drop("k")
 
 
+def relative_power(power: DataFrame) -> DataFrame:
+    """(band, real_mean, synthetic_mean, diff: in percent, n, t, cohens_d, w: the smaller signed-rank sum, ties, n_ranks) from
+    power (role, idx, band, rel_power); pairs are equal idx."""
+    by = power.groupBy("band").agg(*(F.avg(F.when(F.col("role") == r, F.col("rel_power"))).alias(f"{r}_mean") for r in ("real", "synthetic")))
+    by = by.select("band", *((100 * F.col(f"{r}_mean")).alias(f"{r}_mean") for r in ("real", "synthetic")))
+    pairs = band_pairs(power)
+    t = stats.paired(pairs, ["band"]).select("band", "n", "t", "cohens_d")
+    w = stats.signed_rank(pairs, ["band"]).select("band", F.least("w_plus", "w_minus").alias("w"), "ties", F.col("n").alias("n_ranks"))
+    return by.withColumn("diff", F.abs(F.col("real_mean") - F.col("synthetic_mean"))).join(t, "band", "left").join(w, "band", "left")
+
+
+def band_pairs(power: DataFrame) -> DataFrame:
+    a, b = (power.where(F.col("role") == r).select("idx", "band", F.col("rel_power").alias(c)) for r, c in (("real", "a"), ("synthetic", "b")))
+    return a.join(b, ["idx", "band"])
+
+
+def relative_power_tests(power: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """relative_power() with normality (p of Shapiro-Wilk on the differences), test, p and significant: the paired t-test where
+    normality is over alpha, else Wilcoxon's signed ranks. Bands with fewer than two pairs are left out."""
+    normal = stats.shapiro_wilk(band_pairs(power).select("band", (F.col("a") - F.col("b")).alias("value")), ["band"]).select("band", F.col("p").alias("normality"))
+    student = F.udf(lambda t, n: None if t is None else float(stats.student_p(t, n - 1)), "double")
+    ranks = F.udf(lambda w, n, ties: None if w is None else stats.wilcoxon_p(w, n, ties), "double")
+    by = relative_power(power).join(normal, "band", "left").where("n >= 2")
+    usual = F.coalesce(F.col("normality") > alpha, F.lit(False))
+    p = F.when(usual, student("t", "n")).otherwise(ranks("w", "n_ranks", "ties"))
+    return by.withColumns({"test": F.when(usual, "Paired t-test").otherwise("Wilcoxon"), "p": p}).withColumn("significant", F.col("p") < alpha)
+
+
+def privacy_score(labelled: DataFrame, weights: dict[str, float] | None = None, normalise: str | None = "zscore_global", trees: int = 100) -> DataFrame:
+    """(component, value, weight) of l2, dtw, mir and score: how far synthetic signals (signal_id, role, idx, label, x) stay from the real
+    ones. l2, dtw: the effect size of nearest distances, 0 to 0.8 to 0 to 1; mir: 2 (1 - accuracy of the confidence attack,
+    clipped to [0.5, 1]). Components that are null are left out of the score."""
+    parts = [distance_metrics(labelled.select("role", "idx", "x"), m, normalise).select(F.lit(m).alias("component"), ramp(F.col("d")).alias("value")) for m in ("l2", "dtw")]
+    accuracy = F.least(F.greatest(F.col("confidence_acc"), F.lit(0.5)), F.lit(1.0))
+    parts.append(membership(labelled.drop("idx"), trees).select(F.lit("mir").alias("component"), (2 * (1 - accuracy)).alias("value")))
+    rows = reduce(DataFrame.unionByName, parts)
+    known = {"l2": 1.0, "dtw": 1.0, "mir": 1.0} | (weights or {})
+    weight = F.create_map(*(F.lit(v) for kv in known.items() for v in kv))[F.col("component")]
+    rows = rows.withColumn("weight", F.when(F.col("value").isNotNull(), weight))
+    total = rows.agg((F.sum(F.col("value") * F.col("weight")) / F.sum("weight")).alias("value"))
+    return rows.unionByName(total.select(F.lit("score").alias("component"), "value", F.lit(1.0).alias("weight")))
+
+
 def threshold_accuracy(rows: DataFrame) -> DataFrame:
     """(attack, accuracy): the best (true positive + true negative rate) / 2 of the rule value >= t over all values t."""
     counted = rows.groupBy("attack", F.col("value").alias("v")).agg(F.count_if("member").alias("a"), F.count_if(~F.col("member")).alias("b"))

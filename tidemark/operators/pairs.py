@@ -64,6 +64,13 @@ def sample_pairs(pairs: DataFrame, cap: int, seed: int = 0) -> DataFrame:
     return pairs.orderBy(arithmetic_hash(F.col("i"), F.col("j"), seed), "i", "j").limit(cap)
 
 
+def sample_with_replacement(spark, n: int, draws: int) -> DataFrame:
+    """(k, i, j): for each of so many draws a pair of numbers under n; draws of a number with itself are left out."""
+    k = F.col("id")
+    out = spark.range(draws if n else 0).select(k.alias("k"), ((k * 7919 + 12345) % 1000003 % n).alias("i"), ((k * 104729 + 54321) % 999983 % n).alias("j"))
+    return out.where("i <> j")
+
+
 def pairs(signals: DataFrame, pair_set: str, mode: str = "all_vs_all", strategy: str = "consecutive") -> DataFrame:
     """mode "zip", "all_vs_all" or "auto" (zip if both roles have as many signals)."""
     if mode == "auto":

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import stats
 from tidemark.operators import features as E
 from tidemark.operators import pairs as P
 from tidemark.operators import transforms as T
@@ -181,6 +182,34 @@ def scalogram_similarity(images: DataFrame, n_freqs: int, sets: tuple[str, ...]
     return P.pairwise(images, kernel, "i long, j long, ssim double, nrmse double, cosine double", sets, 8)
 
 
+def zip_similarity(images: DataFrame, n_freqs: int) -> DataFrame:
+    """(pair_set, i, j, metric, value) of pairs by position: RS of equal idx, RR and SS of consecutive ones."""
+    wanted = P.zip_pairs(images, "RS").unionByName(P.zip_pairs(images, "RR")).unionByName(P.zip_pairs(images, "SS"))
+    both = P.attach(wanted, images, "x").select("pair_set", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("left.x").alias("a"), F.col("right.x").alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [similarity(np.asarray(a.as_py()).reshape(n_freqs, -1), np.asarray(b.as_py()).reshape(n_freqs, -1)) for a, b in zip(batch.column(3), batch.column(4), strict=True)]
+            ssim, nrmse, cosine = (pa.array(c, pa.float64()) for c in (zip(*found, strict=True) if found else ((), (), ())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), ssim, nrmse, cosine], names=["pair_set", "i", "j", "ssim", "nrmse", "cosine"])
+
+    rows = both.mapInArrow(run, "pair_set string, i long, j long, ssim double, nrmse double, cosine double")
+    return rows.select("pair_set", "i", "j", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("ssim", "nrmse", "cosine")))))
+
+
+def compare_similarities(rows: DataFrame) -> DataFrame:
+    """(metric, pair_set, n, mean, sd, delta, p): delta and p of RR against RS, Wilcoxon's for pairs of equal rank, on both sets' rows."""
+    rows = rows.persist()
+    by = rows.groupBy("metric", "pair_set").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    effect = stats.compare(rows.withColumnRenamed("pair_set", "role"), ["metric"], "RR", "RS").select("metric", "delta")
+    a = rows.where("pair_set = 'RR'").select("metric", (F.col("i") / 2).cast("long").alias("k"), F.col("value").alias("a"))
+    b = rows.where("pair_set = 'RS'").select("metric", F.col("i").alias("k"), F.col("value").alias("b"))
+    ranks = stats.signed_rank(a.join(b, ["metric", "k"]), ["metric"])
+    p = F.udf(lambda w, n, ties: stats.wilcoxon_p(w, n, ties), "double")
+    tests = effect.join(ranks.select("metric", p(F.least("w_plus", "w_minus"), "n", "ties").alias("p")), "metric", "left")
+    return by.join(tests, "metric", "left")
+
+
 def residuals(x: np.ndarray, sizes: list[int]) -> np.ndarray:
     """The profile's residuals from the line of each window, for every window size, one after the other."""
     y = np.cumsum(x - x.mean())

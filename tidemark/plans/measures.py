@@ -136,10 +136,9 @@ def ag14_p(spark, d):
 
 
 def ag12(spark, d):
-    """Shapiro-Wilk on the paired differences of each feature (defined for up to 5000 pairs)."""
-    pairs_ = ag13(spark, d)
-    shap = F.udf(lambda v: (lambda o: float(o[1]) if o else None)(stats.shapiro(v)), "double")
-    return pairs_.groupBy("feature").agg(F.collect_list(F.col("a") - F.col("b")).alias("v")).select("feature", A.r6(shap("v")).alias("p"))
+    """Shapiro-Wilk on the paired differences of each feature."""
+    values = ag13(spark, d).select("feature", (F.col("a") - F.col("b")).alias("value"))
+    return stats.shapiro_wilk(values, ["feature"]).select("feature", A.r6("p").alias("p"))
 
 
 def sc03(spark, d):

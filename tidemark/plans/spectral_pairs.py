@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
@@ -115,11 +117,22 @@ def fe22(spark, d):
     return _round(X.surrogate_z(G.short(spark, d)), "statistic")
 
 
+def _near(x: float, y: float, span: float) -> float:
+    return 1 - min(abs(x - y), span) / span
+
+
 def sc08(spark, d):
-    """The complexity score: cross-correlation exponents and entropies."""
-    h = {r["pair_set"]: r["h"] for r in _cross(spark, d).groupBy("pair_set").agg(F.avg("h").alias("h")).collect()}
+    """The complexity score: exponents of cross-correlation, fluctuations and multifractal cross-correlation, and entropies."""
+    c = {r["pair_set"]: r for r in _cross(spark, d).groupBy("pair_set").agg(*(F.avg(v).alias(v) for v in ("h", "hq", "delta_alpha"))).collect()}
     w = {r["feature"]: r["w1_norm"] for r in ag31(spark, d).collect()}
-    parts = {"dcca": 1 - min(abs(h["RS"] - h["RR"]), 0.9) / 0.9} | {k: 1 / (1 + v) for k, v in w.items() if v is not None}
+    own = E.hurst(E.fluctuations(G.samples(G.long_view(spark, d).withColumn("x", T.profile(F.col("x"))), "signal_id", "role").withColumnRenamed("v", "y"), ["signal_id", "role"], SIZES), ["signal_id", "role"], QS)[1]
+    gaps = [r["real"] - r["synthetic"] for r in own.groupBy("q").agg(*(F.avg(F.when(F.col("role") == g, F.col("h"))).alias(g) for g in ("real", "synthetic"))).collect()]
+    spectrum = math.exp(-math.sqrt(sum(g * g for g in gaps) / len(gaps)) / 0.15)
+    parts = {
+        "dcca": _near(c["RS"]["h"], c["RR"]["h"], 0.9),
+        "mfdfa": 0.5 * _near(sum(gaps) / len(gaps), 0.0, 0.9) + 0.5 * spectrum,
+        "mfdcca": 0.7 * _near(c["RS"]["hq"], c["RR"]["hq"], 0.9) + 0.3 * _near(c["RS"]["delta_alpha"], c["RR"]["delta_alpha"], 0.5),
+    } | {k: 1 / (1 + v) for k, v in w.items() if v is not None}
     rows = spark.createDataFrame([(k, float(v), 1.0) for k, v in parts.items()], "component string, value double, weight double")
     return _round(rows.select("component", "value").unionByName(M.geometric_mean(rows).select(F.lit("score").alias("component"), F.col("score").alias("value"))), "component")
 
@@ -189,6 +202,11 @@ SQL = {
       f2 AS (SELECT x.idx AS i, y.idx AS j, n, avg(x.e * y.e) AS f FROM rs x JOIN rs y USING (n, t) WHERE x.role = 'real' AND y.role = 'synthetic' GROUP BY ALL),
       o AS (SELECT f2.i, f2.j, f2.n, f2.f, f2.f / sqrt(p.f * q.f) AS rho FROM f2 JOIN f1 p ON p.role = 'real' AND p.idx = f2.i AND p.n = f2.n JOIN f1 q ON q.role = 'synthetic' AND q.idx = f2.j AND q.n = f2.n)
       SELECT i, j, {r("tanh(avg(atanh(least(greatest(rho, -0.999999), 0.999999))))", "rho")}, {r("regr_slope(0.5 * ln(abs(f)), ln(n))", "h")} FROM o GROUP BY i, j""",
+    "pm13_entropy_differences": f"""WITH {S}, p AS (SELECT signal_id, role, idx, v AS a, lead(v) OVER w AS b, lead(v, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY t)),
+      k AS (SELECT signal_id, role, idx, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY signal_id, role, idx, a > b, a > c, b > c),
+      e AS (SELECT role, idx, sum(-(n / 62.0) * ln(n / 62.0 + 1e-12)) / ln(6) AS v FROM k GROUP BY role, idx),
+      d AS (SELECT CASE WHEN x.role <> y.role THEN 'RS' WHEN x.role = 'real' THEN 'RR' ELSE 'SS' END AS pair_set, abs(x.v - y.v) AS d FROM e x JOIN e y ON (x.role = 'real' AND y.role = 'synthetic') OR (x.role = y.role AND x.idx < y.idx))
+      SELECT pair_set, count(*) AS n, {r("avg(d)", "mean")} FROM d GROUP BY pair_set""",
     "pl02_mean_psd": f"WITH {LONG}, {_welch(CONFIG.segment(N), CONFIG.segment(N) - int(CONFIG.segment(N) * 0.5))} SELECT role, {r('f', 'f')}, {r('avg(p) * 1000', 'milli_pxx')} FROM psd JOIN lng USING (signal_id) GROUP BY role, f",
     "pl01_hjorth_histogram": f"""WITH {S}, d AS (SELECT signal_id, role, v, v - lag(v) OVER w AS d1, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS d2 FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY t)),
       h0 AS (SELECT signal_id, role, stddev_pop(v) AS s0, stddev_pop(d1) AS s1, stddev_pop(d2) AS s2 FROM d GROUP BY ALL), hj AS (SELECT role, s0 * s0 AS activity, s1 / (s0 + 1e-9) AS mobility, (s2 / (s1 + 1e-9)) / (s1 / (s0 + 1e-9) + 1e-9) AS complexity FROM h0),

@@ -101,6 +101,8 @@ SQL = {
     "pr16_difference": f"WITH {S}, d AS (SELECT signal_id, t, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS d FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY t)) SELECT signal_id, t - 2 AS t, {r('d', 'value')} FROM d WHERE t >= 2",
     "pr17_interpolate": f"WITH {SIG}, g AS (SELECT signal_id, x, unnest(range(-2, 131)) / 2 AS f FROM sig), h AS (SELECT *, least(greatest(f, 0), len(x) - 1) AS u FROM g) SELECT signal_id, f, {r('x[floor(u)::INT + 1] + (u - floor(u)) * (x[ceil(u)::INT + 1] - x[floor(u)::INT + 1])', 'y')} FROM h",
     "pr19_moving_average": f"WITH {S} SELECT signal_id, t, {r('sum(v) OVER (PARTITION BY signal_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6', 'value')} FROM s",
+    "pr24_colours": f"WITH {S}, z AS (SELECT signal_id, t, least(greatest((v + 3.0) / 6.0, 0), 1) AS a FROM s) SELECT signal_id, t, " + ", ".join(f"round(255 * least(greatest(3 * a - {k}, 0), 1))::INTEGER AS {c}" for k, c in enumerate("rgb")) + " FROM z",
+    "pr25_phase_surrogate": f"WITH {S} SELECT signal_id, {r('avg(v)', 'mean')}, {r('stddev_pop(v)', 'sd')} FROM s GROUP BY signal_id",
     "pr20_frequency_grid": f"WITH {SIG} SELECT DISTINCT role, k::BIGINT AS k, {r('0.5 + k * 39.5 / 29', 'f')} FROM sig, range(30) g(k)",
     "pr21_window_sizes": f"WITH {SIG}, {LONG.replace('l AS (', 'l_ AS (')}, n AS (SELECT DISTINCT len(x) AS length FROM sig UNION SELECT DISTINCT len(x) FROM lng), m AS (SELECT length, least(length // 4, 100) AS top FROM n WHERE least(length // 4, 100) > 10) SELECT DISTINCT length::BIGINT AS length, floor(CASE WHEN k = 9 THEN top ELSE 10 ** (1 + k * (log10(top) - 1) / 9) END)::BIGINT AS size FROM m, range(10) g(k)",
     "pr22_profile": f"WITH {S} SELECT signal_id, t, {r('sum(v - m) OVER (PARTITION BY signal_id ORDER BY t)', 'value')} FROM (SELECT *, avg(v) OVER (PARTITION BY signal_id) AS m FROM s)",
