@@ -196,6 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = left <= FEW * n_sets or number == ROUNDS
         now = materialize(now.join(open_.select("token", "p"), "token"), "similar-unlinked")
+        rows = now.select("id", "n", "at", "token")  # sets at other shingles are linked, and stay so
         if last:  # by pairs of roots, so that linked pairs are not even formed
             a, b = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "root"))) for s in "ab")
             apart = a.select("token", "root_a").distinct().join(b.select("token", "root_b").distinct(), "token").where("root_a < root_b")
