@@ -25,7 +25,7 @@ from tidemark.llm.common import materialize, shared_dir, small
 #: Characters in one block; rows of requests sent at once; the quantile of held-out scores and how far over it, as a factor, a
 #: document may lie (for good text of kinds that are rare among the trusted); the allowance for the scatter of short texts: a
 #: score is the perplexity divided by exp(SHORT / sqrt(symbols)).
-BLOCK_CHARS, ROWS, QUANTILE, MARGIN, SHORT = 16_000_000, 1 << 16, 0.995, 1.1, 3.0
+BLOCK_CHARS, ROWS, QUANTILE, MARGIN, SHORT = 8_000_000, 1 << 16, 0.995, 1.1, 3.0
 #: Symbols of a block that are worked on at once (or one document).
 CHUNK = 1 << 18
 #: One trusted document in so many is kept out of the model and sets the threshold: text that a model has seen scores too well.

@@ -3,7 +3,7 @@
 Sets at similarity 4/5 share a shingle among the first |x| - ceil(4|x|/5) + 1 of each, whatever the order of shingles,
 as long as it is one order for all. The order is by counts in a sketch of the corpus, rare first, so that few sets meet
 at a shingle. Sets that meet are compared in full. In each round the sets at a shingle are compared with one of
-them only, and what is linked is not compared again; when few unlinked pairs are left, all of them are compared.
+them only, and what is linked is not compared again; after ROUNDS rounds all pairs that are still unlinked are compared.
 Nothing is estimated: the sketch sets the order, and with it the cost, not the result.
 """
 
@@ -17,15 +17,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, materialize, text_hash
+from tidemark.llm.common import checkpoint, discard, materialize, text_hash
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import one_of_each
 
 SHINGLE = 5
 #: Counters of the sketch, in blocks; one text in so many is counted; words whose hashes are kept at once.
 COUNTERS, BLOCK, SAMPLE, WORDS = 1 << 20, 1 << 16, 8, 1 << 18
-#: Unlinked pairs a set at which all are compared, and rounds after which they are in any case.
-FEW, ROUNDS = 64, 3
+#: Rounds with one of the sets at a shingle, after which all unlinked pairs are compared.
+ROUNDS = 3
 BITMAP = 512
 _FACTORS = (np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -156,7 +156,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(found, pa.binary())], names=["id", "s"])
 
     full = texts.select(F.xxhash64("text_key", "doc_id").alias("h"), "text").mapInArrow(hashed, "id long, s binary")
-    full = materialize(full.join(asked, "id", "left_semi"), "similar-sets")
+    stored = full = materialize(full.join(asked, "id", "left_semi"), "similar-sets")
     if full.count() > full.select("id").distinct().count():  # equal rows, or others that the marks let pass
         full = full.dropDuplicates(["id"])
 
@@ -170,7 +170,9 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = both.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return checkpoint(joined.mapInArrow(compare, "a long, b long"))
+    found = checkpoint(joined.mapInArrow(compare, "a long, b long"))
+    discard(stored, both)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,20 +185,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = sets.select("id", "n", F.posexplode("prefix").alias("at", "token"))
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     rows = materialize(rows.join(met, "token"), "similar-met")
-    n_sets = sets.count()
     links = compared = roots = None
+    before = rows
     for number in range(ROUNDS + 1):
-        now = rows if roots is None else rows.join(roots, "id", "left")
+        now = rows.select("id", "n", "at", "token")
+        now = now if roots is None else now.join(roots, "id", "left")
         now = now.withColumn("root", F.col("id") if roots is None else F.coalesce("root", "id"))
         by = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id", "n", "root")).alias("p"))
         open_ = by.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("linked"), F.min("p").alias("p"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        open_ = materialize(open_.select("token", ((F.col("k") * F.col("k") - F.col("linked")) / 2).alias("left"), "p"), "similar-open")
-        left = open_.agg(F.sum("left")).first()[0] or 0
-        if not left:
+        open_ = materialize(open_.select("token", "p"), "similar-open")
+        if open_.isEmpty():
             break
-        last = left <= FEW * n_sets or number == ROUNDS
-        now = materialize(now.join(open_.select("token", "p"), "token"), "similar-unlinked")
-        rows = now.select("id", "n", "at", "token")  # sets at other shingles are linked, and stay so
+        last = number == ROUNDS
+        now = materialize(now.join(open_, "token"), "similar-unlinked")
+        discard(before, open_)
+        rows = before = now  # sets at other shingles are linked, and stay so
         if last:  # by pairs of roots, so that linked pairs are not even formed
             a, b = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "root"))) for s in "ab")
             apart = a.select("token", "root_a").distinct().join(b.select("token", "root_b").distinct(), "token").where("root_a < root_b")
