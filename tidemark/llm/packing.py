@@ -28,7 +28,7 @@ from tidemark.llm.common import materialize
 
 WINDOW, END_ID = 4096, 2
 #: Pieces aimed at in one shard; BM25's constants; runs that a task remembers; characters of text looked up at once.
-SHARD, K1, B, CACHE, SLICE = 4096, 1.2, 0.75, 400_000, 1 << 22
+SHARD, K1, B, CACHE, SLICE = 4096, 1.2, 0.75, 150_000, 1 << 22
 #: Terms of a shard that are held as columns of a matrix.
 COLUMNS = 384
 TOKENIZER = "word_bpe_49k.json"

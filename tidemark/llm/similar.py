@@ -23,7 +23,7 @@ from tidemark.llm.simhash import one_of_each
 
 SHINGLE = 5
 #: Counters of the sketch, in blocks; one text in so many is counted; words whose hashes are kept at once.
-COUNTERS, BLOCK, SAMPLE, WORDS = 1 << 20, 1 << 16, 8, 1 << 18
+COUNTERS, BLOCK, SAMPLE, WORDS = 1 << 20, 1 << 16, 8, 1 << 16
 #: Rounds with one of the sets at a shingle, after which all unlinked pairs are compared.
 ROUNDS = 3
 BITMAP = 512
@@ -110,7 +110,7 @@ MARKS = 1 << 23
 
 
 def _marks(hashes: DataFrame) -> np.ndarray:
-    """Which of MARKS places the hashes (one long column) fall on."""
+    """Which of MARKS places the hashes (one long column) fall on, eight to a byte."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(MARKS, bool)
@@ -126,9 +126,9 @@ def _marks(hashes: DataFrame) -> np.ndarray:
                 out |= np.frombuffer(part, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "bits"])
 
-    out = np.zeros((MARKS >> 16, 1 << 16), bool)
+    out = np.zeros((MARKS >> 16, 1 << 13), np.uint8)
     for block, part in hashes.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
-        out[block] = np.unpackbits(np.frombuffer(part, np.uint8)).astype(bool)
+        out[block] = np.frombuffer(part, np.uint8)
     return out.ravel()
 
 
@@ -145,7 +145,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            asked = np.flatnonzero(marks.value[batch.column(0).to_numpy() & (MARKS - 1)])
+            place = batch.column(0).to_numpy() & (MARKS - 1)
+            asked = np.flatnonzero(marks.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
             if not len(asked):
                 continue
             ids, found = [], []
