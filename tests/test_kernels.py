@@ -172,3 +172,14 @@ def test_registered_with_the_references_sizes(monkeypatch):
         with pytest.raises(StopIteration):
             query(None, "")
     assert seen["membership"]["trees"] == 100 and seen["surrogate_z"]["n"] >= 10
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 12, 13])
+def test_sampled_pairs_do_not_recur(spark, n):
+    signals = spark.createDataFrame([(role, k) for role in ("real", "synthetic") for k in range(n)], "role string, idx long")
+    for pair_set in P.SETS:
+        every = {(i, j) for i in range(n) for j in range(n) if pair_set == "RS" or i < j}
+        for cap in (None, 5):
+            got = [(r["i"], r["j"]) for r in P.sample_pairs(signals, pair_set, cap).collect()]
+            assert len(set(got)) == len(got) == min(len(every), cap or len(every))
+            assert set(got) <= every

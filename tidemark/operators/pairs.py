@@ -7,6 +7,8 @@ works on the two matrices. What is per signal (spectra, residuals) is computed b
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -59,9 +61,30 @@ def arithmetic_hash(i: Column, j: Column, seed: int = 0) -> Column:
     return (i * 7919 + j * 104729 + seed * 15485863 + i * j * 31) % 1000003
 
 
-def sample_pairs(pairs: DataFrame, cap: int, seed: int = 0) -> DataFrame:
-    """At most cap of the pairs, by the arithmetic hash."""
-    return pairs.orderBy(arithmetic_hash(F.col("i"), F.col("j"), seed), "i", "j").limit(cap)
+#: Pairs in a sample of each set.
+SAMPLE_CAPS = {"RR": 20_000, "RS": 40_000, "SS": 20_000}
+
+
+def sample_pairs(signals: DataFrame, pair_set: str, cap: int | None = None) -> DataFrame:
+    """(pair_set, i, j): cap of all pairs (RS: any, RR and SS: i < j), all if there are no more; none twice.
+
+    Only the drawn pairs are formed. Draw k takes pair number k * step modulo the number of pairs; step has no divisor in
+    common with it, so numbers do not recur, and lies near its golden section, which spreads them evenly.
+    Pairs within a role are numbered by distance around the circle of its signals.
+    """
+    counts = {r["role"]: r["count"] for r in signals.groupBy("role").count().collect()}
+    n, m = (counts.get(role, 0) for role in SETS[pair_set])
+    total = n * m if pair_set == "RS" else n * (n - 1) // 2
+    step = next(s for s in itertools.count(1 + total * 618_034 // 1_000_000) if math.gcd(s, total) == 1) if total else 1
+    draws = min(SAMPLE_CAPS[pair_set] if cap is None else cap, total)
+    number = F.expr(f"cast(cast(id as decimal(10, 0)) * cast({step} as decimal(20, 0)) % cast({max(total, 1)} as decimal(20, 0)) as long)")
+    k = signals.sparkSession.range(draws).select(number.alias("p"))
+    if pair_set == "RS":
+        i, j = F.expr(f"p div {max(m, 1)}"), F.expr(f"p % {max(m, 1)}")
+    else:
+        one, other = F.expr(f"p % {max(n, 1)}"), F.expr(f"(p % {max(n, 1)} + p div {max(n, 1)} + 1) % {max(n, 1)}")
+        i, j = F.least(one, other), F.greatest(one, other)
+    return k.select(F.lit(pair_set).alias("pair_set"), i.alias("i"), j.alias("j"))
 
 
 def sample_with_replacement(spark, n: int, draws: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
@@ -146,6 +148,12 @@ def sc03(spark, d):
     return _round(M.geometric_mean(rows))
 
 
+def jn07(spark, d):
+    signals = _idx(spark, d)
+    drawn = functools.reduce(lambda a, b: a.unionByName(b), (P.sample_pairs(signals, name) for name in P.SETS))
+    return _round(P.attach(drawn, signals, "x").withColumn("d", A.euclidean(F.col("left.x"), F.col("right.x"))).select("pair_set", "i", "j", "d"), "pair_set", "i", "j")
+
+
 QUERIES = {
     "jn01_all_rs": _pairs(lambda s: P.all_pairs(s, "RS")),
     "jn02_unique_rr": _pairs(lambda s: P.all_pairs(s, "RR")),
@@ -153,7 +161,7 @@ QUERIES = {
     "jn04_consecutive": _pairs(lambda s: P.zip_pairs(s, "RR").unionByName(P.zip_pairs(s, "SS"))),
     "jn05_halves": _pairs(lambda s: P.zip_pairs(s, "RR", "halves").unionByName(P.zip_pairs(s, "SS", "halves"))),
     "jn06_chain": _pairs(lambda s: P.zip_pairs(s, "RR", "chain")),
-    "jn07_sampled_pairs": _pairs(lambda s: P.sample_pairs(P.all_pairs(s, "RR"), 2000)),
+    "jn07_sampled_pairs": jn07,
     "jn09_nearest_l2": _nearest("l2", ("RR", "RS", "SS")),
     "jn10_nearest_cosine": _nearest("cosine", ("RS",)),
     "jn11_nearest_dtw": pm12,
@@ -239,7 +247,15 @@ SQL = {
     "jn04_consecutive": f"WITH {SIG} SELECT CASE a.role WHEN 'real' THEN 'RR' ELSE 'SS' END AS pair_set, a.idx AS i, b.idx AS j FROM sig a JOIN sig b ON a.role = b.role AND a.idx % 2 = 0 AND b.idx = a.idx + 1",
     "jn05_halves": f"WITH {SIG}, n AS (SELECT role, count(*) // 2 AS h FROM sig GROUP BY 1) SELECT CASE a.role WHEN 'real' THEN 'RR' ELSE 'SS' END AS pair_set, a.idx AS i, b.idx AS j FROM sig a JOIN n USING (role) JOIN sig b ON a.role = b.role AND a.idx < h AND b.idx = a.idx + h",
     "jn06_chain": f"WITH {SIG} SELECT 'RR' AS pair_set, a.idx AS i, b.idx AS j FROM sig a JOIN sig b ON a.role = 'real' AND b.role = 'real' AND b.idx = a.idx + 1",
-    "jn07_sampled_pairs": f"WITH {SIG} SELECT 'RR' AS pair_set, a.idx AS i, b.idx AS j FROM sig a JOIN sig b ON a.role = 'real' AND b.role = 'real' AND a.idx < b.idx ORDER BY (a.idx * 7919 + b.idx * 104729 + a.idx * b.idx * 31) % 1000003, 2, 3 LIMIT 2000",
+    "jn07_sampled_pairs": f"""WITH {SIG}, k AS (SELECT count(*) FILTER (role = 'real') AS a, count(*) FILTER (role = 'synthetic') AS b FROM sig),
+        sets AS (SELECT 'RR' AS pair_set, a AS n, a * (a - 1) // 2 AS total, 20000 AS cap FROM k UNION ALL SELECT 'SS', b, b * (b - 1) // 2, 20000 FROM k
+                 UNION ALL SELECT 'RS', b, a * b, 40000 FROM k),
+        steps AS (SELECT *, (SELECT min(1 + total * 618034 // 1000000 + x) FROM range(1000) g(x) WHERE gcd(1 + total * 618034 // 1000000 + x, total) = 1) AS step FROM sets),
+        drawn AS (SELECT pair_set, n, unnest(range(least(cap, total))) * step % total AS p FROM steps),
+        ij AS (SELECT pair_set, CASE WHEN pair_set = 'RS' THEN p // n ELSE p % n END AS one, CASE WHEN pair_set = 'RS' THEN p % n ELSE (p % n + p // n + 1) % n END AS other FROM drawn),
+        ord AS (SELECT pair_set, CASE WHEN pair_set = 'RS' THEN one ELSE least(one, other) END AS i, CASE WHEN pair_set = 'RS' THEN other ELSE greatest(one, other) END AS j FROM ij)
+        SELECT pair_set, i, j, {r('list_distance(x.x, y.x)', 'd')} FROM ord
+        JOIN sig x ON x.idx = i AND x.role = CASE WHEN pair_set = 'SS' THEN 'synthetic' ELSE 'real' END JOIN sig y ON y.idx = j AND y.role = CASE WHEN pair_set = 'RR' THEN 'real' ELSE 'synthetic' END""",
     "jn09_nearest_l2": f"WITH {_DIST}, {_NN.format('d')} SELECT pair_set, i, j, {r('d / 8', 'd')} FROM nn",
     "jn10_nearest_cosine": f"WITH {SIG}, d AS (SELECT 'RS' AS pair_set, a.idx AS i, b.idx AS j, {_COSZ} AS d FROM sig a JOIN sig b ON a.role = 'real' AND b.role = 'synthetic'), {_NN.format('d')} SELECT pair_set, i, j, {r('d', 'd')} FROM nn",
     "jn13_two_sided": f"WITH {_DIST}, e AS (SELECT * FROM d WHERE pair_set <> 'SS' UNION ALL SELECT 'SR', j, i, d FROM d WHERE pair_set = 'RS'), {_NN.format('e')} SELECT pair_set, i, j, {r('d / 8', 'd')} FROM nn",
