@@ -16,6 +16,7 @@ MODULES = {
     "op8_wrapper_extract": "wrappers",
     "op9_bm25_packing": "packing",
     "op10_url_template_tree": "urls",
+    "op11_best_position_search": "lexical",
     "op12_merkle_manifest": "merkle",
     "op13_secret_markov": "secret_scan",
 }
