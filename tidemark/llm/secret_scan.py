@@ -15,6 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialize
+
 #: The base patterns of the contract, with their least lengths put in. Classes instead of a flag for either case: all engines agree.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -109,9 +111,10 @@ def labelled_samples(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     staged = _staged(docs, id_col, text_col)
     value = F.transform("assign", lambda s: F.regexp_extract(s["token"], ASSIGN, 2))
     others = F.concat(*(F.transform(kind, lambda s: s["token"]) for kind in ("access", "hex")))
-    secret = staged.select(F.explode(F.concat(value, others)).alias("token"), F.lit(True).alias("secret"))
-    ordinary = staged.select(F.explode(F.regexp_extract_all("rest", F.lit(TRAINED), F.lit(0))).alias("token"), F.lit(False).alias("secret")).where(~F.col("token").rlike(UNLABELLED))
-    return secret.unionByName(ordinary).groupBy("token", "secret").agg(F.count(F.lit(1)).alias("n"))
+    ordinary = F.filter(F.regexp_extract_all("rest", F.lit(TRAINED), F.lit(0)), lambda t: ~t.rlike(UNLABELLED))
+    as_label = lambda tokens, label: F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(label).alias("secret")))
+    labelled = F.concat(as_label(F.concat(value, others), True), as_label(ordinary, False))
+    return staged.select(F.inline(labelled)).groupBy("token", "secret").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _codes(token: Column) -> Column:
@@ -130,7 +133,7 @@ def train(samples: DataFrame) -> DataFrame:
     second character (step % 128 = 0) has the ratio of transitions that neither label has seen after its first."""
     counted = samples.select(F.explode(_steps(F.col("token"))).alias("step"), "secret", "n")
     r, o = (F.coalesce(F.sum(F.when(F.col("secret") == label, F.col("n"))), F.lit(0)) for label in (True, False))
-    seen = counted.groupBy("step").agg(r.alias("r"), o.alias("o")).withColumn("a", F.expr("step div 128"))
+    seen = materialize(counted.groupBy("step").agg(r.alias("r"), o.alias("o")).withColumn("a", F.expr("step div 128")), "secret-steps")
     totals = seen.groupBy("a").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
     unseen = totals.select((F.col("a") * 128).alias("step"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("o"), "a")
     rows = seen.unionByName(unseen.select(seen.columns)).join(totals, "a")
