@@ -12,6 +12,7 @@ from tidemark.operators import features as E
 from tidemark.operators import measures as M
 from tidemark.operators import pairs as P
 from tidemark.operators import transforms as T
+from tidemark.operators.neighbours import nearest_k
 from tidemark.sources import signals as G
 
 
@@ -122,11 +123,7 @@ def test_nearest_is_exact_over_blocks(spark):
     real, syn = rng.normal(size=(23, 5)), rng.normal(size=(31, 5))
     syn[4] = syn[9] = real[7]
     df = frame(spark, real, syn)
-    P.METRICS["small"] = (P.l2_matrix, False, 7)
-    try:
-        got = {(r.pair_set, r.i): (r.d, r.j) for r in P.nearest(df, "small", sets=("RS", "SR", "RR")).collect()}
-    finally:
-        del P.METRICS["small"]
+    got = {(r.pair_set, r.i): (r.d, r.j) for r in nearest_k(df, 1, ("RS", "SR", "RR"), size=3).collect()}
     d = np.sqrt(((real[:, None] - syn[None]) ** 2).sum(axis=2))
     for i in range(23):
         assert got["RS", i][1] == d[i].argmin() and math.isclose(got["RS", i][0], d[i].min(), abs_tol=1e-9)
@@ -183,3 +180,24 @@ def test_sampled_pairs_do_not_recur(spark, n):
             got = [(r["i"], r["j"]) for r in P.sample_pairs(signals, pair_set, cap).collect()]
             assert len(set(got)) == len(got) == min(len(every), cap or len(every))
             assert set(got) <= every
+
+
+def test_exact_quantiles(spark):
+    from tidemark.functions.ranks import quantiles
+
+    rng = np.random.default_rng(7)
+    values = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0, 5.0], [300, 1, 2]), "c": np.array([4.0])}
+    rows = [(k, float(v)) for k, vs in values.items() for v in vs] + [("d", None), ("a", None)]
+    got = {r.k: (r.q0, r.q1, r.q5, r.q9) for r in quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q9": 0.99}).collect()}
+    for k, v in values.items():
+        assert np.allclose(got[k], np.quantile(v, [0, 0.1, 0.5, 0.99]), rtol=0, atol=1e-12)
+    assert got["d"] == (None,) * 4
+
+
+def test_twelve_components(spark):
+    rng = np.random.default_rng(8)
+    rows = {r.component: r.value for r in M.diversity_score(frame(spark, rng.normal(size=(60, 8)), rng.normal(size=(60, 8)))).collect()}
+    assert len(rows) == 13 and all(0 <= v <= 1 for v in rows.values())
+    assert {"pca_mixing", "graph_mixing", "graph_overlap", "graph_cov_shape", "local_p10"} <= set(rows)
+    apart = {r.component: r.value for r in M.diversity_score(frame(spark, rng.normal(size=(60, 8)), rng.normal(size=(60, 8)) + 9)).collect()}
+    assert apart["graph_overlap"] < 0.5 < rows["graph_overlap"] and apart["score"] < rows["score"]

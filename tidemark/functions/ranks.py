@@ -41,3 +41,19 @@ def running(df: DataFrame, keys: list[str], order: str, sums: list[str], ranges:
     own = ranged.withColumns({f"__run_{c}": F.sum(c).over(upto) for c in sums} | {"__next": F.lead(order).over(inside)})
     out = own.join(totals, [*keys, "__bin"])
     return out.withColumns({f"run_{c}": F.col(f"__{c}") + F.col(f"__run_{c}") for c in sums} | {f"next_{order}": F.coalesce("__next", "__after")}).drop("__bin", "__after", "__next", *(f"__{c}" for c in sums), *(f"__run_{c}" for c in sums))
+
+
+def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, one column a name of shares): exact quantiles, linear between the two values next to (n - 1) times the share; null where a
+    key has no values. Equal values are counted first; ranks come from ranges, so no task holds a key's values."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(*keys, F.col(column).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    totals = df.groupBy(*keys).agg(F.count(column).alias("__total"))
+    placed = totals.join(running(counted, keys, "__v", ["__c"]), keys, "left")
+
+    def value(share: float):
+        position = F.lit(share) * (F.col("__total") - 1)
+        at = lambda rank: F.max(F.when((F.col("run___c") - F.col("__c") <= rank) & (rank < F.col("run___c")), F.col("__v")))
+        low, high = at(F.floor(position)), at(F.ceil(position))
+        return low + (high - low) * F.max(position - F.floor(position))
+
+    return placed.groupBy(*keys).agg(*(value(share).alias(name) for name, share in shares.items()))

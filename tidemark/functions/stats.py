@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import finite
-from tidemark.functions.ranks import running
+from tidemark.functions.ranks import quantiles, running
 
 
 def compare(values: DataFrame, keys: list[str], first: str = "real", second: str = "synthetic") -> DataFrame:
@@ -43,7 +43,15 @@ def compare(values: DataFrame, keys: list[str], first: str = "real", second: str
 def summary(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, role, n, mean, sd: of the population, median, q1, q3) of the finite values."""
     kept = values.where(finite(F.col("value")))
-    return kept.groupBy(*keys, "role").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.median("value").alias("median"), F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"))
+    moments = kept.groupBy(*keys, "role").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
+    return moments.join(quantiles(kept, [*keys, "role"], "value", {"median": 0.5, "q1": 0.25, "q3": 0.75}), [*keys, "role"])
+
+
+def robust_sd(values: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sd): 1.4826 times the median of the absolute deviations from the median."""
+    middle = quantiles(values, keys, "value", {"__m": 0.5})
+    away = values.join(middle, keys).select(*keys, F.abs(F.col("value") - F.col("__m")).alias("value"))
+    return quantiles(away, keys, "value", {"sd": 0.5}).withColumn("sd", 1.4826 * F.col("sd"))
 
 
 def paired(pairs: DataFrame, keys: list[str]) -> DataFrame:

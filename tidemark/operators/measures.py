@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
+from tidemark.functions.ranks import quantiles
+from tidemark.functions.scratch import stored
 from tidemark.operators import features as E
 from tidemark.operators import pairs as P
 from tidemark.operators import transforms as T
@@ -73,8 +75,9 @@ def risk(d):
 def coverage(signals: DataFrame, k_sigma: float = 2.0) -> DataFrame:
     """(sigma, radius, coverage, outliers): shares of real signals with a synthetic one within the radius, and the reverse; the
     radius is k_sigma times the median distance between nearest real signals."""
-    found = P.nearest(signals, "l2", False, ("RS", "SR", "RR")).persist()
-    sigma = found.where("pair_set = 'RR'").agg(F.median("d")).first()[0]
+    found = stored(P.nearest(signals, "l2", False, ("RS", "SR", "RR")), "coverage")
+    middle = quantiles(found, ["pair_set"], "d", {"sigma": 0.5}).where("pair_set = 'RR'").first()
+    sigma = middle["sigma"] if middle else None
     radius = k_sigma * (sigma if sigma is not None else float("nan"))
     share = lambda s: F.avg(F.when(F.col("pair_set") == s, (F.col("d") <= radius).cast("double")))
     return found.agg(F.lit(sigma).cast("double").alias("sigma"), F.lit(radius).alias("radius"), share("RS").alias("coverage"), share("SR").alias("outliers"))
@@ -82,7 +85,8 @@ def coverage(signals: DataFrame, k_sigma: float = 2.0) -> DataFrame:
 
 def intrinsic_diversity(signals: DataFrame) -> DataFrame:
     """(uniqueness, global_diversity, local_p10, local_p50): synthetic over real."""
-    nn = P.nearest(signals, "l2", False, ("RR", "SS")).groupBy("pair_set").agg(F.avg("d").alias("mean"), F.percentile("d", 0.1).alias("p10"), F.percentile("d", 0.5).alias("p50"))
+    found = stored(P.nearest(signals, "l2", False, ("RR", "SS")), "diversity")
+    nn = found.groupBy("pair_set").agg(F.avg("d").alias("mean")).join(quantiles(found, ["pair_set"], "d", {"p10": 0.1, "p50": 0.5}), "pair_set")
     both = nn.join(P.mean_distances(signals).withColumnRenamed("mean", "pairs"), "pair_set")
     of = lambda s, c: F.max(F.when(F.col("pair_set") == s, F.col(c)))
     return both.agg(*((of("SS", c) / (of("RR", c) + 1e-12)).alias(n) for c, n in (("mean", "uniqueness"), ("pairs", "global_diversity"), ("p10", "local_p10"), ("p50", "local_p50"))))
@@ -134,6 +138,32 @@ def embedding_scores(embedded: DataFrame) -> DataFrame:
     return one.select(F.exp(-0.5 * quad).alias("overlap"), shape.alias("cov_shape"), F.lit(1).alias("k")).join(mixing, "k").drop("k")
 
 
+def geometry(signals: DataFrame, **options) -> DataFrame:
+    """(space, overlap, mixing, cov_shape): the scores of the plane of principal components, "pca", and of the neighbour graph's, "graph"."""
+    from tidemark.operators.neighbours import plane
+
+    spaces = {"pca": mean_frame(signals).select("role", "idx", F.col("pc").alias("x")), "graph": plane(signals, **options)}
+    scored = (embedding_scores(stored(at, "geometry")).select(F.lit(name).alias("space"), "overlap", "mixing", "cov_shape") for name, at in spaces.items())
+    return reduce(DataFrame.unionByName, scored)
+
+
+def diversity_score(signals: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(component, value, weight) of twelve components and score, their weighted geometric mean: coverage and outliers, mixing, overlap
+    and covariance shape in both planes, and four ratios of intrinsic diversity as min(r, 1 / r). Components that are null are
+    left out; weights are given, or follow the entropy of the values."""
+    one = stored(signals, "diversity-signals")
+    found = {k: v for k, v in coverage(one).first().asDict().items() if k in ("coverage", "outliers")}
+    for row in geometry(one).collect():  # two rows
+        found |= {f"{row['space']}_{k}": row[k] for k in ("mixing", "overlap", "cov_shape")}
+    for k, v in intrinsic_diversity(one).first().asDict().items():
+        found[k] = min(v, 1 / v) if v and np.isfinite(v) and v > 0 else None
+    kept = {k: float(v) for k, v in found.items() if v is not None and np.isfinite(v)}
+    own = [weights[k] for k in kept] if weights else entropy_weights(list(kept.values()))
+    rows = signals.sparkSession.createDataFrame([(k, v, float(w)) for (k, v), w in zip(kept.items(), own, strict=True)], "component string, value double, weight double")
+    total = geometric_mean(rows).select(F.lit("score").alias("component"), F.col("score").alias("value"), F.lit(1.0).alias("weight"))
+    return rows.unionByName(total)
+
+
 def split(labelled: DataFrame, seed: int = 42) -> DataFrame:
     """The real signals (signal_id, role, label, ...) with member: half of each label (rounded up), drawn by an arithmetic hash of the
     id. Ranks come from ranges, so no label is gathered."""
@@ -169,7 +199,8 @@ def attacks(scored: DataFrame) -> DataFrame:
     sweep = threshold_accuracy(rows.where("member is not null"))
     wide = sweep.agg(*(F.max(F.when(F.col("attack") == n, F.col("accuracy"))).alias(f"{n}_acc") for n in ("confidence", "entropy", "modified_entropy")), F.lit(1).alias("k"))
     one = rows.where("attack = 'confidence'")
-    limit = one.where("member").agg(F.median("top")).first()[0]
+    middle = quantiles(one.where("member"), ["attack"], "top", {"limit": 0.5}).first()
+    limit = middle["limit"] if middle else None
     right = lambda m: F.avg(F.when(F.col("member") == m, F.col("correct").cast("double")))
     rest = one.agg(((right(True) + 1 - right(False)) / 2).alias("correctness_acc"), F.avg(F.when(F.col("member").isNull(), (F.col("top") > limit).cast("double"))).alias("synthetic_member_fraction"), F.lit(1).alias("k"))
     return rest.join(wide, "k").drop("k")

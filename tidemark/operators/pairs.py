@@ -193,18 +193,19 @@ METRICS = {"l2": (l2_matrix, True, 256), "cosine": (cosine_matrix, False, 256),
 
 
 def nearest(signals: DataFrame, metric: str = "l2", length_normalise: bool = True, sets: tuple[str, ...] = ("RS", "RR")) -> DataFrame:
-    """(pair_set, i, d, j): the nearest other signal of each left signal; the first of equals. SR: of each synthetic signal among real ones."""
-    matrix, scaled, size = METRICS[metric]
+    """(pair_set, i, d, j): the nearest other signal of each left signal; the first of equals. SR: of each synthetic signal among real ones.
 
-    def kernel(i, j, a, b, wanted):
-        d = np.where(wanted, matrix(a, b), np.inf) / (np.sqrt(a.shape[1]) if scaled and length_normalise else 1.0)
-        rows = [(i, d.min(axis=1), j[d.argmin(axis=1)], False), (j, d.min(axis=0), i[d.argmin(axis=0)], True)]
-        return {k: np.concatenate([r[c] if c < 3 else np.full(len(r[0]), r[3]) for r in rows]) for c, k in enumerate(("i", "d", "j", "flipped"))}
-
-    found = pairwise(signals, kernel, "i long, d double, j long, flipped boolean", tuple(s for s in sets if s != "SR"), size, both_ways=True)
-    named = F.when(~F.col("flipped"), F.col("pair_set")).when(F.col("pair_set") == "RS", "SR")
-    best = found.withColumn("pair_set", named).where(F.col("pair_set").isin(*sets) & (F.col("d") < float("inf")))
-    return best.groupBy("pair_set", "i").agg(F.min(F.struct("d", "j")).alias("m")).select("pair_set", "i", "m.d", "m.j")
+    Euclidean and cosine distances are pruned by pivots; warping distances by bounds, see neighbours.py and warping.py."""
+    from tidemark.operators.neighbours import nearest_k
+    from tidemark.operators.warping import nearest_warped
+
+    if metric == "dtw":
+        found = nearest_warped(signals, sets)
+    else:
+        found = nearest_k(signals, 1, sets, metric == "cosine", METRICS[metric][2])
+    scale = METRICS[metric][1] and length_normalise
+    width = signals.select(F.size("x").alias("w")).first() if scale else None
+    return found.select("pair_set", "i", (F.col("d") / math.sqrt(width["w"]) if width else F.col("d")).alias("d"), "j")
 
 
 def distances(signals: DataFrame, metric: str = "l2", sets: tuple[str, ...] = ("RR", "RS", "SS")) -> DataFrame:

@@ -11,6 +11,7 @@ from tidemark.operators import measures as M
 from tidemark.operators import pairs as P
 from tidemark.operators import spectral_pairs as X
 from tidemark.operators import transforms as T
+from tidemark.operators.neighbours import fuzzy_graph, nearest_k, plane
 from tidemark.plans.features import CONFIG, FLUCT, QS, RELATIVE, SIZES
 from tidemark.plans.spectral_pairs import FREQS
 from tidemark.plans.sql import S, SIG, r, w1
@@ -100,6 +101,28 @@ def pl06(spark, d):
     return M.mean_frame(P.indexed(G.short(spark, d))).select("role", F.col("idx").cast("long").alias("idx"), A.r6(F.get("pc", F.lit(0))).alias("dim1"), A.r6(F.get("pc", F.lit(1))).alias("dim2"))
 
 
+def ag27(spark, d):
+    """Overlap, mixing and covariance shape in the plane of principal components and in that of the neighbour graph."""
+    return _round(M.geometry(P.indexed(G.short(spark, d))), "space")
+
+
+def fe21_knn(spark, d):
+    """The fourteen nearest others of every signal, whatever its role: the neighbour graph's table."""
+    signals = G.short(spark, d).select(F.lit("real").alias("role"), F.col("signal_id").alias("idx"), "x")
+    return nearest_k(signals, 14).select("i", "j", A.r6("d").alias("d"))
+
+
+def fe21_graph(spark, d):
+    """Its edges with the united memberships."""
+    signals = G.short(spark, d).select(F.lit("real").alias("role"), F.col("signal_id").alias("idx"), "x")
+    return _round(fuzzy_graph(nearest_k(signals, 14).select("i", "j", "d"), 14), "i", "j")
+
+
+def fe21(spark, d):
+    """Where the signals lie in the plane of their neighbour graph."""
+    return plane(P.indexed(G.short(spark, d))).select("role", F.col("idx").cast("long").alias("idx"), A.r6(F.get("x", F.lit(0))).alias("dim1"), A.r6(F.get("x", F.lit(1))).alias("dim2"))
+
+
 def pl07(spark, d):
     """Box rows of the Hjorth parameters by role: quartiles, range and mean."""
     long = M.unpivoted(M.hjorth_features(G.short(spark, d)), M.HJORTH)
@@ -109,6 +132,7 @@ def pl07(spark, d):
 QUERIES = {
     "ag33_relative_power": ag33, "ag33_relative_power_tests": ag33_tests, "ag35_mfdfa_comparison": ag35, "jn15_stratified_members": jn15, "jn08_sampled_with_replacement": jn08,
     "ag20_distance_metrics_dtw": ag20_dtw, "sc12_privacy_score": sc12, "pm08_scalogram_comparison": pm08, "pl03_single_scalogram": pl03, "pl06_plane": pl06, "pl07_box": pl07,
+    "ag27_plane_geometry": ag27, "fe21_nearest_fourteen": fe21_knn, "fe21_neighbour_graph": fe21_graph, "fe21_neighbour_plane": fe21,
 }
 
 _HJL = f"""{S}, d AS (SELECT signal_id, role, v, v - lag(v) OVER w AS d1, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS d2 FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY t)),
@@ -116,6 +140,8 @@ h0 AS (SELECT signal_id, role, stddev_pop(v) AS s0, stddev_pop(d1) AS s1, stddev
 hj AS (SELECT role, s0 * s0 AS activity, s1 / (s0 + 1e-9) AS mobility, (s2 / (s1 + 1e-9)) / (s1 / (s0 + 1e-9) + 1e-9) AS complexity FROM h0),
 hl AS (SELECT role, feature, value FROM hj UNPIVOT (value FOR feature IN (activity, mobility, complexity)))"""
 SQL = {
+    "fe21_nearest_fourteen": f"""WITH {SIG}, d AS (SELECT a.signal_id AS i, b.signal_id AS j, list_distance(a.x, b.x) AS d FROM sig a JOIN sig b ON a.signal_id <> b.signal_id)
+      SELECT i, j, {r("d", "d")} FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k <= 14""",
     "ag33_relative_power": f"""WITH {RELATIVE}, rp AS (SELECT band, role, idx, rel_power AS v FROM rel JOIN lng USING (signal_id)),
       m AS (SELECT band, 100 * avg(v) FILTER (role = 'real') AS rm, 100 * avg(v) FILTER (role = 'synthetic') AS sm FROM rp GROUP BY 1),
       pr AS (SELECT band, a.v - b.v AS d FROM rp a JOIN rp b USING (band, idx) WHERE a.role = 'real' AND b.role = 'synthetic'),

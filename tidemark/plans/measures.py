@@ -99,15 +99,8 @@ def ag25(spark, d):
 
 
 def sc11(spark, d):
-    """The diversity score from coverage, intrinsic diversity and the principal-component geometry, and its components."""
-    s = _idx(spark, d).persist()
-    cov, div = M.coverage(s).first(), M.intrinsic_diversity(s).first()
-    geo = M.embedding_scores(M.mean_frame(s).select("role", "idx", F.col("pc").alias("x"))).first()
-    parts = {"coverage": cov["coverage"], "outliers": cov["outliers"], "overlap": geo["overlap"], "mixing": geo["mixing"], "cov_shape": geo["cov_shape"]} | {k: min(div[k], 1 / div[k]) if div[k] else 0.0 for k in ("uniqueness", "global_diversity", "local_p10", "local_p50")}
-    weights = M.entropy_weights(list(parts.values()))
-    rows = spark.createDataFrame([(k, float(v), w) for (k, v), w in zip(parts.items(), weights, strict=True)], "component string, value double, weight double")
-    total = M.geometric_mean(rows).select(F.lit("score").alias("component"), F.col("score").alias("value"), F.lit(1.0).alias("weight"))
-    return _round(rows.unionByName(total), "component")
+    """The diversity score and its twelve components."""
+    return _round(M.diversity_score(_idx(spark, d)), "component")
 
 
 def ag39(spark, d):
@@ -172,7 +165,7 @@ QUERIES = {
     "pm14_euclidean": lambda spark, d: P.distances(_idx(spark, d)).groupBy("pair_set", "i").agg(A.r6(F.sum("d")).alias("total")),
     "ag01_mean_sd": lambda spark, d: _hjorth_long(spark, d).groupBy("role", "feature").agg(A.r6(F.avg("value")).alias("mean"), A.r6(F.stddev_samp("value")).alias("sd")),
     "ag03_summary": lambda spark, d: _round(stats.summary(_hjorth_long(spark, d), ["feature"]), "feature", "role", "n"),
-    "ag04_robust_sd": lambda spark, d: (lambda f: f.join(f.groupBy("role", "feature").agg(F.median("value").alias("m")), ["role", "feature"]).groupBy("role", "feature").agg(A.r6(1.4826 * F.median(F.abs(F.col("value") - F.col("m")))).alias("sd")))(_hjorth_long(spark, d)),
+    "ag04_robust_sd": lambda spark, d: _round(stats.robust_sd(_hjorth_long(spark, d), ["role", "feature"]), "role", "feature"),
     "ag05_wasserstein": lambda spark, d: stats.compare(_hjorth_long(spark, d), ["feature"]).select("feature", A.r6("w1").alias("w1")),
     "ag11_hjorth_metrics": lambda spark, d: _round(M.hjorth_metrics(G.short(spark, d))),
     "ag12_shapiro": ag12,
