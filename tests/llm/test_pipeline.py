@@ -24,3 +24,22 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and {"doc_id", "sequence_id", "offset"} <= set(out[0].asDict())
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    """Null, empty and repeated rows, and columns named as the stages' own."""
+    docs = table(spark, sf_dir, "documents")
+    good = docs.join(table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0"), "doc_id").select(docs.columns).limit(30)
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", "en", "s", 0), (10**9, "", "en", "s", 0)], docs.schema)
+    names = ["__tm_key", "__tm_id", "__k", "__i", "__l", "text_key", "id", "kept", "component_id", "start", "__tm_i", "__tm_k"]
+    clash = good.unionByName(odd).selectExpr("*", *(f"'own' as {c}" for c in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, clash, sf_dir)
+        assert after.columns == clash.columns, name
+        rows = after.collect()
+        assert rows and all(r[c] == "own" for r in rows for c in names), name
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in clash.collect()}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, clash, sf_dir).count() >= 30
+    empty = clash.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0

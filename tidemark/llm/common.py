@@ -57,6 +57,13 @@ def text_hash(column: str = "text"):
     return F.coalesce(F.md5(F.col(column)), F.lit("null"))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """name, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 #: Rows that a table may have to be sent whole to every task.
 SMALL_ROWS = 10_000
 

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import unused
+
 #: q, edits allowed per character of the passage, characters of benchmark text in one block.
 Q, RATE, BLOCK_CHARS = 8, 0.1, 1 << 21
 #: Hits of q-grams that are listed at once.
@@ -273,14 +275,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without any region within the budget of a passage; all columns, unchanged.
+    """The rows of docs without any region within the budget of a passage; all columns, unchanged, whatever their names.
 
-    Texts are joined by their digest, so repeated ids and null ids do no harm; copies are looked up once.
+    Texts are joined by their digest, so repeated ids and null ids do no harm; copies are looked up once. Null and empty texts stay.
     """
-    key = F.coalesce(F.md5(F.col(text_col)), F.lit(""))
-    keyed = docs.withColumn("__tm_key", key)
-    hit = contaminated(keyed, benchmark, id_col, text_col, key_col="__tm_key").select(F.col("doc_id").alias("__tm_key")).distinct()
-    return keyed.join(hit, "__tm_key", "left_anti").select(*docs.columns)
+    mark = unused("__tm_key", docs.columns)
+    keyed = docs.withColumn(mark, F.coalesce(F.md5(F.col(text_col)), F.lit("")))
+    hit = contaminated(keyed, benchmark, id_col, text_col, key_col=mark).select(F.col("doc_id").alias(mark)).distinct()
+    return keyed.join(hit, mark, "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

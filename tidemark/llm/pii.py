@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, materialize, text_hash
+from tidemark.llm.common import checkpoint, materialize, text_hash, unused
 
 _WORD = r"[^\W\d_][^\W\d_'’\-]*"
 _MALE = ("mr", "sir", "herr", "monsieur", "señor", "sr", "don", "г-н", "господин", "κύριος")
@@ -322,12 +322,6 @@ def assign(known: DataFrame, key: bytes) -> DataFrame:
 SALTS = 16
 
 
-def _unused(name: str, columns: list[str]) -> str:
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with every entity in text_col replaced; other columns and rows unchanged. count_col: adds the number of mentions.
 
@@ -335,7 +329,7 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str
     included, come back as they are; long texts are read whole. Repeated texts get the same surrogates. Columns may have
     any name but count_col's. An empty table gives an empty result.
     """
-    mark, spans = _unused("__tm_key", docs.columns), _unused("__tm_found", docs.columns)
+    mark, spans = unused("__tm_key", docs.columns), unused("__tm_found", docs.columns)
     others = [F.col(c) for c, t in docs.dtypes if c != text_col and "map<" not in t and "variant" not in t]
     salt = F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("string") if others else F.lit("")
     keyed = docs.withColumn(mark, F.concat_ws(":", text_hash(text_col), salt))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_dir, small
+from tidemark.llm.common import materialize, shared_dir, small, unused
 
 #: Characters in one block; rows of requests sent at once; the quantile of held-out scores and how far over it, as a factor, a
 #: document may lie (for good text of kinds that are rare among the trusted); the allowance for the scatter of short texts: a
@@ -287,10 +287,12 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
 
 
 def filter_documents(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the classifier keeps, unchanged. Rejected rows are matched by id, language and text digest, nulls included."""
-    out = classify(docs, trusted_ids, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col("doc_id").alias("__i"), F.col("lang").alias("__l"), F.col("text_key").alias("__k")).distinct()
+    """The rows of docs that the classifier keeps, unchanged, with columns of any name. Rejected rows are matched by id, language
+    and text digest, nulls included."""
+    i, lang, k = (unused(c, docs.columns) for c in ("__tm_i", "__tm_l", "__tm_k"))
+    out = classify(docs, trusted_ids, id_col, text_col, lang_col).where(~F.col("kept")).select(F.col("doc_id").alias(i), F.col("lang").alias(lang), F.col("text_key").alias(k)).distinct()
     key = F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    same = (key == F.col("__k")) & F.col(id_col).eqNullSafe(F.col("__i")) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col("__l"))
+    same = (key == F.col(k)) & F.col(id_col).eqNullSafe(F.col(i)) & (F.coalesce(F.col(lang_col).cast("string"), F.lit("")) == F.col(lang))
     return docs.join(out, same, "left_anti")
 
 

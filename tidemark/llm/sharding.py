@@ -4,9 +4,9 @@ Rows are shuffled within their source by a seeded hash, the row of rank r among
 fractional rank (r - 1/2) / n, and the order by fractional rank interleaves all sources in proportion: any
 stretch of it holds the mixture. Shards are cut from that order.
 
-No window ever spans a whole source or the whole table. Ranks are counted in two steps: the hash (or the
-fractional rank, which is as even) splits a source into ranges of bounded size, the ranges are counted, and a
-row's rank is its rank in its range plus the counts of the ranges before it.
+No window ever spans a whole source or the whole table. Ranks are counted in two steps: the hash splits a source into
+ranges of bounded size, as sampled bounds split the interleaved order; the ranges are counted, and a row's rank is its
+rank in its range plus the counts of the ranges before it.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from tidemark.llm.common import materialize
 
 #: Rows aimed at in one range; 16 bits of the hash choose the range.
 RANGE_ROWS, HASH_RANGES = 4096, 1 << 16
+#: Rows aimed at in one range of the interleaved order.
+PLACE_ROWS = 50_000
 
 
 def _numbered(rows: DataFrame, ranges: list[str], within: list[str], order: list[Column], to: str, total: str) -> DataFrame:
@@ -34,8 +36,8 @@ def interleave(rows: DataFrame, shards: int, stratum: str = "source", id_col: st
     """(doc_id, source, size, text_crc32, position, shard, slot) for every row.
 
     position runs from 0 over the whole table. Shard sizes differ by one row at most. A null stratum is a
-    stratum of its own; a null text counts as empty; rows with equal id and text are interchangeable. An
-    empty table gives an empty result.
+    stratum of its own; a null text counts as empty; rows with equal id and text are interchangeable. Very long texts
+    only add to their row's size. Columns that are not named here may have any name. An empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     slim = rows.select(
@@ -51,8 +53,10 @@ def interleave(rows: DataFrame, shards: int, stratum: str = "source", id_col: st
     part = F.floor(F.conv(F.substring("key", 1, 4), 16, 10).cast("long") * ranges / HASH_RANGES).cast("int")
     ranked = _numbered(slim.withColumn("__r", part), ["__r"], ["stratum"], [F.col("key"), F.col("doc_id"), F.col("size")], "__rank", "__of")
     ranked = ranked.withColumn("fraction", (2 * F.col("__rank") - 1) / (2 * F.col("__of"))).drop("__r")
-    placed = ranked.withColumns({"__f": F.floor(F.col("fraction") * ranges).cast("int"), "__all": F.lit(0)})
     order = [F.col("fraction"), F.col("stratum"), F.col("key"), F.col("doc_id"), F.col("size")]
+    # ranges of the whole order: many sources of one row have the same fraction
+    placed = ranked.repartitionByRange(max(1, -(-n // PLACE_ROWS)), *order).withColumns({"__f": F.spark_partition_id(), "__all": F.lit(0)})
+    placed = materialize(placed, "interleave-ranges")
     placed = _numbered(placed, ["__f"], ["__all"], order, "__place", "__total").withColumn("position", F.col("__place") - 1)
     shard = F.expr(f"(position * {shards}) div __total")
     return placed.withColumn("shard", shard.cast("int")).select(

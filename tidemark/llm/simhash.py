@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, text_hash
+from tidemark.llm.common import materialize, text_hash, unused
 from tidemark.llm.components import connected_components
 
 BITS, DISTANCE = 64, 4
@@ -203,12 +203,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component in found (doc_id, text_key, component_id): of its smallest (doc_id, text); all columns of docs, unchanged."""
+    """One row of docs for each component in found (doc_id, text_key, component_id): of its smallest (doc_id, text); all columns of docs,
+    unchanged, whatever their names. Of equal rows one stays."""
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("s"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("t"))
-    best = best.select(F.coalesce("t", "s").alias("s")).select(F.col("s.doc_id").alias("__tm_id"), F.col("s.text_key").alias("__tm_key"))
-    keyed = docs.withColumns({"__tm_id": F.col(id_col).cast("long"), "__tm_key": text_hash(text_col)})
-    kept = keyed.alias("d").join(best.alias("w"), F.col("d.__tm_id").eqNullSafe(F.col("w.__tm_id")) & (F.col("d.__tm_key") == F.col("w.__tm_key")), "left_semi")
-    return kept.dropDuplicates(["__tm_id", "__tm_key"]).drop("__tm_id", "__tm_key")
+    own, key = unused("__tm_id", docs.columns), unused("__tm_key", docs.columns)
+    best = best.select(F.coalesce("t", "s").alias("s")).select(F.col("s.doc_id").alias(own), F.col("s.text_key").alias(key))
+    keyed = docs.withColumns({own: F.col(id_col).cast("long"), key: text_hash(text_col)})
+    kept = keyed.alias("d").join(best.alias("w"), F.col(f"d.{own}").eqNullSafe(F.col(f"w.{own}")) & (F.col(f"d.{key}") == F.col(f"w.{key}")), "left_semi")
+    return kept.dropDuplicates([own, key]).select(*docs.columns)
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ links, and how many different texts. Wrappers are merged within the map tasks fi
 groups, so that no task gets all pages of a host.
 
 The finished wrapper is decided as a whole: which of its groups hold the article, and which slots in there are the
-site's own (texts used over and over, lists of links, page furniture by element). Every page is then matched to the
+site's own (page furniture by element; outside of article elements also texts used over and over and lists of links). Every page is then matched to the
 wrapper of its host, and the texts of the slots that were decided for are put out. Class names count only for
 groups that hold less than half of the article's text.
 """
@@ -52,7 +52,7 @@ NEUTRAL_WORDS = frozenset("area article articles bar block body bottom box butto
 #: Levels of elements that a wrapper tells apart (deeper ones are read as their ancestor, furniture stays furniture at any
 #: depth); children of a node beyond which the rarest are told apart by tag only; different texts that a slot remembers.
 DEPTH, WIDE, KMV = 80, 64, 16
-#: A slot is the site's own if its texts are used so many times as often as the article's.
+#: Outside of articles a slot is the site's own if its texts are used so many times as often as the main slot's.
 REUSED = 4
 LABEL, REPEATED, OPTIONAL, CHILDREN, STATS, TEXTS = range(6)
 
@@ -359,14 +359,14 @@ def decide(tree: list) -> list:
             for c in node[CHILDREN]:
                 if c[LABEL] == "#":
                     heading = node[LABEL].split(" ")[0] in HEADINGS
-                    own = c is not main and not heading and times(c) >= REUSED * usual
+                    own = kind == 1 and c is not main and not heading and times(c) >= REUSED * usual
                     kinds[id(c)] = 0 if own else kind
                     continue
                 if shut(c):
                     continue
                 free, every = total[id(c)]
-                if every and 5 * free < every and (c[REPEATED] or any(x[REPEATED] for x in c[CHILDREN])):
-                    continue  # a list of links
+                if kind == 1 and every and 5 * free < every and (c[REPEATED] or any(x[REPEATED] for x in c[CHILDREN])):
+                    continue  # a list of links; in an article they are its references
                 if 2 * free < whole and named_furniture(c[LABEL]):
                     continue
                 go(c)
