@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter, defaultdict
 
 from tidemark.llm import urls as U
 
@@ -47,3 +49,65 @@ def test_deep_segments_are_told_apart(spark):
     out = U.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "page_id long, bad int")).collect()
     assert {(r.page_id, r.verdict) for r in out if r.page_id < 900} == {(i, "block" if i % 2 else "allow") for i in range(80)}
     assert {r.template for r in out if r.page_id < 900} == {f"/a/b/c/d/e/f/g/{w}/{{num}}" for w in ("bad", "good")}
+
+
+def brute_templates(rows, labels):
+    """(url index: template) and (template: purity) of one host, by plain loops over lists of segments."""
+    paths = {i: [re.sub(r"^\d+", "{num}", s) for s in p.split("/") if s] for i, p in rows}
+    tree = {i: list(p) for i, p in paths.items()}
+    for level in range(max(map(len, tree.values()))):
+        wild = []
+        for prefix in {tuple(t[:level]) for t in tree.values()}:
+            own = [t for t in tree.values() if len(t) > level and tuple(t[:level]) == prefix]
+            count = Counter(t[level] for t in own)
+            wild += [(prefix, s) for s, n in count.items() if len(count) > 1 and n < max(U.RARE_COUNT, U.RARE_SHARE * len(own)) and s[0] != "{"]
+        for t in tree.values():
+            if len(t) > level and (tuple(t[:level]), t[level]) in wild:
+                t[level] = "*"
+    for level in range(max(map(len, tree.values())) - 1, -1, -1):
+        renamed = {}
+        for prefix in {tuple(t[:level]) for t in tree.values()}:
+            shapes = defaultdict(list)
+            for s in {t[level] for t in tree.values() if len(t) > level and tuple(t[:level]) == prefix}:
+                own = {i: t for i, t in tree.items() if tuple(t[: level + 1]) == (*prefix, s)}
+                known = [labels[i] for i in own if i in labels]
+                shapes[frozenset(tuple(t[level + 1 :]) for t in own.values())].append((s, len(known), sum(known)))
+            for branches in shapes.values():
+                for group in U.unite(branches):
+                    renamed |= {(prefix, s): f"({group[0]}|+{len(group) - 1})" for s in group if len(group) > 1}
+        for t in tree.values():
+            if len(t) > level:
+                t[level] = renamed.get((tuple(t[:level]), t[level]), t[level])
+    template = {i: "/" + "/".join(t) for i, t in tree.items()}
+    base = (sum(labels.values()) + 1) / (len(labels) + 2)
+    host = (sum(labels.values()) + U.PRIOR * base) / (len(labels) + U.PRIOR)
+    purity = {}
+    for t in set(template.values()):
+        known = [labels[i] for i in template if template[i] == t and i in labels]
+        purity[t] = (sum(known) + U.PRIOR * host) / (len(known) + U.PRIOR)
+    return template, purity
+
+
+def test_tree_against_plain_loops(spark):
+    for seed in range(3):
+        rng = random.Random(seed)
+        kinds = [[rng.choice(["a", "b", "cc", "x1", "7z"]) for _ in range(rng.randrange(1, 4))] for _ in range(6)]
+        rows = [(i, "/" + "/".join([*rng.choice(kinds), *rng.choice([[str(i)], ["p", str(i)], [f"w{i}"], []])])) for i in range(260)]
+        bad = {kind: rng.random() for kind in "abcx7"}
+        labels = {i: int(rng.random() < bad[p[1]]) for i, p in rows if rng.random() < 0.3}
+        out = U.judge(spark.createDataFrame([(i, "http://h.example" + p) for i, p in rows], "page_id long, url string"), spark.createDataFrame(list(labels.items()), "page_id long, bad int")).collect()
+        template, purity = brute_templates(rows, labels)
+        assert {r.page_id: r.template for r in out} == template
+        assert all(abs(r.purity - purity[r.template]) < 1e-12 and r.verdict == ("block" if r.purity > U.THRESHOLD else "allow") for r in out)
+
+
+def test_branches_with_little_evidence_stay_apart():
+    assert U.unite([("good", 1, 0), ("bad", 1, 1)]) == [["good"], ["bad"]]
+    assert U.unite([("a", 0, 0), ("b", 0, 0), ("c", 3, 0), ("d", 1, 0), ("e", 4, 4)]) == [["a", "b"], ["c", "d"], ["e"]]
+    assert U.unite([("a", 100, 10), ("b", 90, 12), ("c", 80, 60), ("d", 60, 50)]) == [["a", "b"], ["c", "d"]]
+
+
+def test_one_label_a_branch(spark):
+    rows = [(i, f"http://h.example/{'good' if i % 2 else 'bad'}/{i}") for i in range(40)]
+    out = U.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame([(1, 0), (2, 1)], "page_id long, bad int")).collect()
+    assert {r.template for r in out} == {"/good/{num}", "/bad/{num}"}

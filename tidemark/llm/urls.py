@@ -3,13 +3,15 @@
 Urls are first reduced to distinct (host, classed path) with counts of urls, labels and bad labels, so that a
 host with a third of all urls is a few rows by type of path. Level by level from the root, children of a node that are
 too rare to be fixed parts of the site become the wildcard `*`. Then, from the leaves up, branches of a node
-are merged whose subtrees have the same shape and whose bad rates do not differ significantly. What is left
+are merged whose subtrees have the same shape and whose bad rates do not differ, by a test of two samples at a time, until no
+two are alike; few labels merge only where they agree. What is left
 are templates; one is rejected if its bad rate, smoothed towards its host's and the whole table's, is over the
 threshold. Every step is an aggregate and an equi-join; nothing is gathered by host.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,10 @@ from tidemark.llm.common import checkpoint, materialize
 #: (host, path prefix, verdict)
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
-#: Children under this share of their parent, or this count, are variable; deviations that count as different;
-#: weight of the prior; bad rate over which a template is rejected; segments of a path that are told apart on
-#: a host without labels, where every template has the same purity.
-RARE_SHARE, RARE_COUNT, Z, PRIOR, THRESHOLD, DEPTH = 0.02, 8, 2.0, 5.0, 0.5, 6
+#: Children under this share of their parent, or this count, are variable; deviations that count as different, and labels
+#: under which they don't count; weight of the prior; bad rate over which a template is rejected; segments of a path that are
+#: told apart on a host without labels, where every template has the same purity.
+RARE_SHARE, RARE_COUNT, Z, LEAST_LABELS, PRIOR, THRESHOLD, DEPTH = 0.02, 8, 2.0, 5, 5.0, 0.5, 6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,6 +75,39 @@ def _set(level: int, to: Column) -> Column:
     return F.transform("t", lambda x, i: F.when(i == level, to).otherwise(x))
 
 
+def alike(a: tuple[int, int], b: tuple[int, int]) -> bool:
+    """Whether two branches with (labels, bad labels) may share a template. Without labels on both sides nothing tells them apart; a
+    side without labels lends none to the other. With few labels on a side they must be all bad or all good on both; else
+    the difference of the rates must lie within Z deviations of their pooled rate."""
+    (la, ba), (lb, bb) = a, b
+    if not la or not lb:
+        return la == lb
+    if min(la, lb) < LEAST_LABELS:
+        return ba + bb in (0, la + lb)
+    p = (ba + bb) / (la + lb)
+    return abs(ba / la - bb / lb) <= Z * (p * (1 - p) * (1 / la + 1 / lb)) ** 0.5
+
+
+def unite(branches: list[tuple[str, int, int]]) -> list[list[str]]:
+    """Branches (segment, labels, bad labels) in groups: of neighbours by rate, the two closest that are alike are pooled, until none are."""
+    groups = [([s], labels, bad) for s, labels, bad in sorted(branches, key=lambda x: (x[1] > 0, x[2] / x[1] if x[1] else 0.0, x[0]))]
+    while True:
+        gaps = [(abs(x[2] / max(x[1], 1) - y[2] / max(y[1], 1)), i) for i, (x, y) in enumerate(zip(groups, groups[1:])) if alike(x[1:], y[1:])]
+        if not gaps:
+            return [sorted(g[0]) for g in groups]
+        i = min(gaps)[1]
+        x, y = groups[i : i + 2]
+        groups[i : i + 2] = [(x[0] + y[0], x[1] + y[1], x[2] + y[2])]
+
+
+def _united(lists: pd.Series) -> pd.Series:
+    out = []
+    for branches in lists:
+        groups = unite([(x["s"], int(x["l"]), int(x["b"])) for x in branches])
+        out.append([{"s": s, "to": f"({g[0]}|+{len(g) - 1})"} for g in groups if len(g) > 1 for s in g])
+    return pd.Series(out)
+
+
 def templates(urls: DataFrame) -> DataFrame:
     """(host, classed, template, n, n_labelled, n_bad) from urls (host, classed array, bad: 1, 0 or null)."""
     nodes = urls.groupBy("host", "classed").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("n_labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("n_bad"))
@@ -81,6 +116,7 @@ def templates(urls: DataFrame) -> DataFrame:
     short = F.concat(F.slice("classed", 1, DEPTH - 1), F.array(F.lit("**")))
     nodes = materialize(nodes.join(known, "host").withColumn("t", F.when(cut, short).otherwise(F.col("classed"))).drop("known"), "url-nodes")
     depth = _depth(nodes)
+    united = F.pandas_udf(_united, "array<struct<s:string,to:string>>")
     keys = ["host", "prefix", "s"]
     for level in range(depth):
         here = nodes.where(F.size("t") > level).withColumns({"prefix": F.slice("t", 1, level), "s": _at(level)})
@@ -94,12 +130,9 @@ def templates(urls: DataFrame) -> DataFrame:
         here = nodes.where(F.size("t") > level).withColumns({"prefix": F.slice("t", 1, level), "s": _at(level)})
         suffixes = here.groupBy(*keys, F.expr(f"slice(t, {level + 2}, size(t))").alias("suffix")).agg(F.sum("n_labelled").alias("l"), F.sum("n_bad").alias("b"))
         shapes = suffixes.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("b").alias("b"), F.bit_xor(F.xxhash64("suffix")).alias("shape"))
-        pooled = shapes.groupBy("host", "prefix", "shape").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-        rate = (F.col("pb") + 1) / (F.col("pl") + 2)
-        alike = F.abs(F.col("b") - rate * F.col("l")) <= Z * F.sqrt(F.greatest(rate * (1 - rate) * F.col("l"), F.lit(0.25)))
-        near = shapes.join(pooled, ["host", "prefix", "shape"]).where(alike)
-        groups = near.groupBy("host", "prefix", "shape").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
-        merged = near.join(groups, ["host", "prefix", "shape"]).select(*keys, F.concat(F.lit("("), F.col("least"), F.lit("|+"), F.col("k") - 1, F.lit(")")).alias("to"))
+        # a node has few children: all but wildcards and classes hold RARE_SHARE of its urls
+        groups = shapes.groupBy("host", "prefix", "shape").agg(F.collect_list(F.struct("s", "l", "b")).alias("branches")).where("size(branches) > 1")
+        merged = groups.select("host", "prefix", F.inline(united("branches"))).select(*keys, "to")
         joined = here.join(merged, keys, "left").withColumn("t", F.when(F.col("to").isNotNull(), _set(level, F.col("to"))).otherwise(F.col("t"))).select(*nodes.columns)
         nodes = checkpoint(joined.unionByName(nodes.where(F.size("t") <= level)))
     return nodes.withColumn("template", F.concat(F.lit("/"), F.array_join("t", "/"))).drop("t")
@@ -120,7 +153,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     """(page_id, host, path, rule, verdict, template, purity) for every row of pages.
 
     labels: (page_id, bad), at most one row an id counts (the worst). Urls that are null or have no :// have an empty host and
-    path and share one template. Repeated rows stay, each counts. Without labels nothing is rejected by its template.
+    path and share one template. Repeated rows stay, each counts; of branches with equal rates those of smaller names merge first.
+    Urls of any length are read whole. Other columns are not read. Without labels nothing is rejected by its template.
     """
     host, path = parse(F.col(url_col))
     own = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("classed", _segments(F.col("path")))
