@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -151,8 +152,57 @@ def permutation_entropy(x: Column, m: int = 3, tau: int = 1) -> Column:
     return F.when(count > 0, A.let(F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), pattern), entropy))
 
 
+#: Pairs of templates that are compared at once.
+COMPARED = 1 << 20
+
+
+def pairs_within(t: np.ndarray, r: float) -> int:
+    """How many pairs of rows differ by r at most in every column. Rows are sorted by cells of width r in all columns; only rows of one
+    cell and of cells next to each other are compared, and whole runs of equal rows at once."""
+    if not np.isfinite(t).all():
+        t = t[np.isfinite(t).all(axis=1)]
+    t, times = np.unique(t, axis=0, return_counts=True)
+    count = int((times * (times - 1) // 2).sum())  # equal rows
+    if r <= 0 or len(t) < 2:
+        return count if r >= 0 else 0
+    cells = np.floor((t - t.min(axis=0)) / (r * (1 + 1e-9))).astype(np.int64)
+    base = int(cells.max()) + 3
+    if base ** t.shape[1] >= 1 << 62:  # too fine to number: cells of the first column alone
+        cells, base = cells[:, :1], int(cells[:, 0].max()) + 3
+    code = np.zeros(len(t), np.int64)
+    for c in cells.T:
+        code = code * base + c + 1
+    order = np.argsort(code, kind="stable")
+    t, times, code = t[order], times[order], code[order]
+    names, first, sizes = np.unique(code, return_index=True, return_counts=True)
+    for offset in itertools.product((-1, 0, 1), repeat=cells.shape[1]):
+        step = 0
+        for o in offset:
+            step = step * base + o
+        if step < 0:
+            continue
+        at = np.searchsorted(names, names + step)
+        met = np.flatnonzero(at < len(names))
+        met = met[names[at[met]] == names[met] + step]
+        # each row of a cell against the rows of the other cell; within a cell, against those after it
+        rows = np.concatenate([np.arange(first[m], first[m] + sizes[m]) for m in met]) if len(met) else np.zeros(0, np.int64)
+        partner = np.repeat(at[met], sizes[met])
+        start, stop = (rows + 1 if not step else first[partner]), first[partner] + sizes[partner]
+        ends = np.cumsum(stop - start)
+        done = 0
+        while done < len(rows):
+            upto = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + COMPARED)))
+            width = (stop - start)[done:upto]
+            left = np.repeat(rows[done:upto], width)
+            right = np.arange(len(left)) + np.repeat(start[done:upto] - np.concatenate([[0], np.cumsum(width)[:-1]]), width)
+            near = (np.abs(t[left] - t[right]) <= r).all(axis=1)
+            count += int((times[left[near]] * times[right[near]]).sum())
+            done = upto
+    return count
+
+
 def sample_entropy_one(x: np.ndarray, m: int = 2, r: float | None = None) -> float:
-    """NaN if too short, inf without matches; templates are compared in chunks."""
+    """NaN if too short, inf without matches; templates within r are counted by cells of width r."""
     n = len(x)
     if n <= m + 1:
         return math.nan
@@ -160,8 +210,7 @@ def sample_entropy_one(x: np.ndarray, m: int = 2, r: float | None = None) -> flo
 
     def share(k: int) -> float:
         t = np.lib.stride_tricks.sliding_window_view(x, k)
-        hits = sum(int((np.abs(t[i : i + 256, None] - t[None]).max(axis=2) <= r).sum()) for i in range(0, len(t), 256)) - len(t)
-        return hits / (len(t) * (len(t) - 1)) if len(t) > 1 else 0.0
+        return 2 * pairs_within(t, r) / (len(t) * (len(t) - 1)) if len(t) > 1 else 0.0
 
     a, b = share(m + 1), share(m)
     return -math.log(a / b) if a and b else math.inf
@@ -172,15 +221,46 @@ def lz_complexity_one(x: np.ndarray, threshold: float | None = None) -> float:
     n = len(x)
     if n < 2:
         return math.nan
-    s = bytes((x > (np.median(x) if threshold is None else threshold)).astype(np.uint8))
-    words, at = 0, 0
-    while at < n:
-        size = 1
-        while at + size <= n and s.find(s[at : at + size], 0, at + size - 1) >= 0:
-            size += 1
-        words += 1
-        at += size
-    return words * math.log2(n) / n
+    return history_words((x > (np.median(x) if threshold is None else threshold)).tolist()) * math.log2(n) / n
+
+
+def history_words(bits: list[bool]) -> int:
+    """Words of the exhaustive history: each is the shortest that does not occur before its last symbol. A suffix automaton of what
+    lies before grows by a symbol at a time, and the word's place in it moves along: linear time."""
+    follow, link, length, last = [[-1, -1]], [-1], [0], 0
+    words, state, size = 0, 0, 0
+    for bit in bits:
+        bit = int(bit)
+        known = follow[state][bit]  # does the word go on as something seen before?
+        new = len(length)
+        follow.append([-1, -1])
+        link.append(0)
+        length.append(length[last] + 1)
+        p, last = last, new
+        while p >= 0 and follow[p][bit] < 0:
+            follow[p][bit] = new
+            p = link[p]
+        if p >= 0:
+            q = follow[p][bit]
+            if length[p] + 1 == length[q]:
+                link[new] = q
+            else:
+                copy = len(length)
+                follow.append(follow[q][:])
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and follow[p][bit] == q:
+                    follow[p][bit] = copy
+                    p = link[p]
+                link[q] = link[new] = copy
+        if known < 0:
+            words, state, size = words + 1, 0, 0
+            continue
+        size += 1
+        state = known
+        while state and length[link[state]] >= size:  # the state was split: the word belongs to its shorter half
+            state = link[state]
+    return words + (size > 0)
 
 
 STATISTICS = {"SampEn": sample_entropy_one, "LZC": lz_complexity_one}
