@@ -38,12 +38,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the folders of tables from materialize() that nothing reads any more."""
+    """Deletes the folders of tables from materialize() that nothing reads any more. The driver is asked for a garbage collection: it
+    lets Spark delete the shuffle files of the jobs that are done with them."""
     for df in tables:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete(df.sparkSession, folder)
+    if tables:
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_dir, small, unused
+from tidemark.llm.common import delete, discard, materialize, shared_dir, small, unused
 
 #: Characters in one block; rows of requests sent at once; the quantile of held-out scores and how far over it, as a factor, a
 #: document may lie (for good text of kinds that are rare among the trusted); the allowance for the scatter of short texts: a
@@ -177,10 +177,10 @@ def _discounts(counts: DataFrame) -> DataFrame:
     return by.select("lang", *(F.least(F.greatest(d, F.lit(0.05)), F.lit(k * 0.95)).alias(f"d{k}") for k, d in zip((1, 2, 3), raw, strict=True)))
 
 
-def model(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+def model(counts: DataFrame, scratch: list[DataFrame]) -> dict[int, tuple[DataFrame, DataFrame]]:
     """For each order k: (lang, gram, p: the discounted part) and (lang, context, gamma: the weight of the lower order).
 
-    counts: (lang, gram, n) of 4-grams. Lower orders count the distinct symbols before a gram.
+    counts: (lang, gram, n) of 4-grams. Lower orders count the distinct symbols before a gram. Their tables are added to scratch.
     """
     out = {}
     for k in range(ORDER, 0, -1):
@@ -194,6 +194,7 @@ def model(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
         out[k] = (probs, contexts.select("lang", "context", (F.col("held") / F.col("total")).alias("gamma")))
         if k > 1:
             counts = materialize(counts.groupBy("lang", shorter.alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"kn-{k - 1}")
+            scratch.append(counts)
     return out
 
 
@@ -226,17 +227,17 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     blocks = spark.table(name)
     places = blocks.select("block", F.posexplode("ids").alias("place", "id")).join(ids, "id").groupBy("block").agg(F.collect_list(2 * F.col("place") + F.col("out")).alias("places"))
     marked = blocks.join(places, "block", "left").select("block", "lang", "content", "places")
-    asked = materialize(requests(marked), "kn-requests")
-    counts = materialize(asked.where("trusted > 0").groupBy("lang", "gram").agg(F.sum("trusted").alias("n")), "kn-4")
-    scored = materialize(log_probabilities(asked.select("lang", "gram").distinct(), model(counts)), "kn-scores")
-    answers = asked.select("block", "lang", "gram").join(scored, ["lang", "gram"])
+    scratch: list[DataFrame] = []
+
+    def kept(df: DataFrame, table: str) -> DataFrame:
+        scratch.append(materialize(df, table))
+        return scratch[-1]
 
     def collect(key: tuple, group: pa.Table) -> pa.Table:
         grams = group.column("gram").to_numpy()
         order = np.argsort(grams)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "grams": pa.array([grams[order].tobytes()], pa.binary()), "logps": pa.array([group.column("logp").to_numpy()[order].tobytes()], pa.binary())})
 
-    answered = answers.select("block", "gram", "logp").groupBy("block").applyInArrow(collect, "block long, grams binary, logps binary")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,11 +264,18 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
                     )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    joined = marked.join(answered, "block", "left").select("lang", "content", "places", "grams", "logps")
     try:
+        asked = kept(requests(marked), "kn-requests")
+        counts = kept(asked.where("trusted > 0").groupBy("lang", "gram").agg(F.sum("trusted").alias("n")), "kn-4")
+        scored = kept(log_probabilities(asked.select("lang", "gram").distinct(), model(counts, scratch)), "kn-scores")
+        answers = asked.select("block", "lang", "gram").join(scored, ["lang", "gram"])
+        answered = answers.select("block", "gram", "logp").groupBy("block").applyInArrow(collect, "block long, grams binary, logps binary")
+        joined = marked.join(answered, "block", "left").select("lang", "content", "places", "grams", "logps")
         out = materialize(joined.mapInArrow(score, f"doc_id {kind}, text_key string, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double"), "kn-perplexities")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, f"{shared_dir(spark)}/{name}")
+        discard(*scratch)
     return out
 
 

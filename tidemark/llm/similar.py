@@ -178,7 +178,8 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, component_id) for every row of docs: component_id is the same for rows that are connected by pairs
-    of similarity 0.8 or more. Texts without words are alike. An empty table gives an empty result."""
+    of similarity 0.8 or more. Texts without words, null ones among them, are alike. Repeated rows have a row each. Texts of any
+    length are read whole, other columns not at all. An empty table gives an empty result. Scratch tables are deleted."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     sketch = _sketch(texts.where(F.pmod(F.crc32("text_key"), F.lit(SAMPLE)) == 0).select("text"))
     own = materialize(_sets(texts, sketch), "similar")
@@ -187,7 +188,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     rows = materialize(rows.join(met, "token"), "similar-met")
     links = compared = roots = None
-    before = rows
+    before, stored = rows, []
     for number in range(ROUNDS + 1):
         now = rows.select("id", "n", "at", "token")
         now = now if roots is None else now.join(roots, "id", "left")
@@ -210,15 +211,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = now.where("root <> p.root and 5 * least(n, p.n) >= 4 * greatest(n, p.n)").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "similar-candidates")
+        stored.append(pairs)
         compared = pairs if compared is None else compared.unionByName(pairs)
         found = _alike(pairs, sets, texts)
         links = found if links is None else links.unionByName(found)
         roots = checkpoint(connected_components(links).withColumnRenamed("node", "id"))
         if last:
             break
-    if roots is None:
-        return own.select("doc_id", "text_key", F.col("id").alias("component_id"))
-    return own.join(roots, "id", "left").select("doc_id", "text_key", F.coalesce("root", "id").alias("component_id"))
+    out = own.withColumn("root", F.lit(None).cast("long")) if roots is None else own.join(roots, "id", "left")
+    out = materialize(out.select("doc_id", "text_key", F.coalesce("root", "id").alias("component_id")), "similar-components")
+    discard(own, sets, before, *stored)
+    return out
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
