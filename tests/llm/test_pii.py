@@ -124,3 +124,45 @@ def test_a_popular_text_is_looked_up_in_groups(spark):
     df = spark.range(400).selectExpr("id AS doc_id", "'mail me@example.com' AS text")
     out = P.replace(df, b"k")
     assert len({r.text for r in out.collect()}) == 1 and out.count() == 400
+
+
+def named(text):
+    return [text[s:e] for s, e, kind, *_ in P.detect(text) if kind == "name"]
+
+
+def test_title_chains_and_particles():
+    assert named("Herr Dr. Hans Meyer kam.") == ["Hans", "Meyer"]
+    assert {g for *_, g in P.detect("Frau Prof. Dr. Eva Kern")} == {"f", ""}
+    assert named("MR. SMITH and Mr de la Cruz, Mrs van der Berg") == ["SMITH", "Cruz", "Berg"]
+    assert named("Mr Smith and Jones") == ["Smith"] and named("Mr Drake Dr Mr Poe") == ["Drake", "Poe"]
+    assert named("Mr and Mrs") == [] and named("Sir, no") == []
+    assert named("Frau 田中 kam") == ["田中"]
+
+
+@pytest.mark.parametrize("value", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334", "fe80::1:2:3", "2001:db8::7334"])
+def test_addresses_of_eight_parts(value):
+    assert [(k, f) for _, _, k, f, _ in P.detect(f"at {value}, then")] == [("ip6", value.lower())]
+    new = P.surrogate("ip6", value, b"k")
+    assert new != value and [k for _, _, k, *_ in P.detect(new)] == ["ip6"]
+
+
+def test_what_is_no_address():
+    assert P.detect("std::vector a::b 12:30:45 cafe::bed x::1y 1:2:3") == []
+    assert [k for _, _, k, *_ in P.detect("Tel 0171 2345678, 030/1234567")] == ["phone", "phone"]
+    assert P.detect("0.123 456789 and 1,0123 456789") == []
+
+
+@pytest.mark.parametrize("form", ["田中", "שלום", "संजय", "김철수", "иван", "анна", "αννα", "たなか"])
+def test_names_keep_their_script(form):
+    for gender in ("", "m", "f"):
+        new = P.surrogate("name", form, b"k", gender)
+        assert new != form and P.script(new) == P.script(form) != "LATIN"
+
+
+def test_one_domain_stays_one(spark):
+    rows = [(1, "a.b@acme.com and c.d@acme.com"), (2, "Anna.Smith@ACME.com, x@other.org"), (3, "y@acme.com")]
+    out = {r.doc_id: r.text for r in P.replace(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    mails = [m for i in (1, 2, 3) for m in re.findall(r"[^\s,]+@[^\s,]+", out[i].lower())]
+    domains = [m.split("@")[1] for m in mails]
+    assert len(set(mails)) == 5 and len({domains[k] for k in (0, 1, 2, 4)}) == 1 and domains[3] != domains[0]
+    assert not any("acme" in d or "other.org" in d for d in domains)

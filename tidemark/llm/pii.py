@@ -1,7 +1,7 @@
 """Surrogates for personal data and secrets.
 
 Every entity (type and canonical form) of the corpus gets one surrogate, drawn from a keyed stream, of the same
-type, script, gender, length and format. The dictionary of entities is a distributed table: draws that equal
+type, script, gender and format; names and mail domains keep their script, not their length. The dictionary of entities is a distributed table: draws that equal
 another entity's surrogate or any real entity are drawn again until none do, so distinct entities
 stay distinct and all mentions of one get the same surrogate; names share one space, and so do numbers. Names are mapped word
 by word, so that a full name and a part of it agree; a word's gender is that of most of its titles in the corpus.
@@ -16,6 +16,7 @@ import re
 import string
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +29,11 @@ _WORD = r"[^\W\d_][^\W\d_'’\-]*"
 _MALE = ("mr", "sir", "herr", "monsieur", "señor", "sr", "don", "г-н", "господин", "κύριος")
 _FEMALE = ("mrs", "ms", "miss", "madam", "lady", "frau", "madame", "mme", "mlle", "señora", "señorita", "sra", "srta", "doña", "г-жа", "госпожа", "κυρία")
 _OTHER = ("dr", "prof")
-_TITLE = "|".join(t[0].upper() + t[1:] for t in sorted((*_MALE, *_FEMALE, *_OTHER), key=len, reverse=True))
+_TITLE = "(?:" + "|".join(x for t in sorted((*_MALE, *_FEMALE, *_OTHER), key=len, reverse=True) for x in (t[0].upper() + t[1:], t.upper())) + r")(?!\w)"
+_TITLES = frozenset((*_MALE, *_FEMALE, *_OTHER))
+#: Words of a name that stay as they are.
+_PARTICLES = frozenset("da de del della den der di do dos du el la las le los van von zu zur y".split())
+_PARTICLE = "(?:(?:" + "|".join(sorted(_PARTICLES)) + ") )"
 
 #: In order of precedence; `v` is what is replaced.
 PATTERNS = {
@@ -36,7 +41,8 @@ PATTERNS = {
     "email": r"(?P<v>[\w.%+\-]++@[\w\-]+(?:\.[\w\-]+)*\.[^\W\d_]{2,})",
     "iban": r"\b(?P<v>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b",
     "ip": r"(?<![\d.])(?P<v>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d))(?!\.?\d)",
-    "phone": r"(?<![\d+])(?P<v>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
+    "ip6": r"(?<![\w:])(?P<v>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "phone": r"(?<![\d+])(?P<v>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[.\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|(?<![.,])0\d{2,4}[ /\-]\d{5,8})(?!\d)",
     "ssn": r"(?<![\d\-])(?P<v>\d{3}-\d{2}-\d{4})(?![\d\-])",
     "number": r"(?<!\d)(?P<v>(?:\d[ \-]?){12,18}\d)(?!\d)",
     "hex": r"\b(?P<v>[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16,}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})\b",
@@ -44,7 +50,7 @@ PATTERNS = {
 _COMPILED = {k: re.compile(p) for k, p in PATTERNS.items()}
 #: An e-mail at the start of its run of characters: other starts in a long run would be tried in vain.
 _EMAIL = re.compile(r"(?<![\w.%+\-])" + PATTERNS["email"])
-_PERSON = re.compile(rf"(?<!\w)(?P<title>{_TITLE})(?P<dot>\.?) (?P<name>{_WORD}(?: {_WORD}){{0,2}})")
+_PERSON = re.compile(rf"(?<!\w)(?P<title>{_TITLE}(?:\.? {_TITLE})*)\.? (?P<name>{_PARTICLE}*{_WORD}(?: {_PARTICLE}*{_WORD}){{0,2}})")
 _DIGIT, _HINT = re.compile(r"\d"), re.compile(r"(?i)token|key|secret|passw|auth")
 _TOKENS = re.compile(_WORD)
 
@@ -63,12 +69,12 @@ def canonical(kind: str, value: str) -> str:
         return value.replace(" ", "")
     if kind == "name":
         return value.casefold()
-    return value
+    return value.lower() if kind == "ip6" else value
 
 
 def space(kind: str) -> str:
     """What a surrogate must be distinct in."""
-    return "digits" if kind in ("phone", "ssn", "number") else kind
+    return "digits" if kind in ("phone", "ssn", "number") else "ip" if kind == "ip6" else kind
 
 
 def _base(word: re.Match) -> tuple[int, int]:
@@ -79,14 +85,19 @@ def _base(word: re.Match) -> tuple[int, int]:
 def _names(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, "name", gender by title) of the words of titled names, and of the same words elsewhere in the text."""
     out, known = [], set()
-    for m in _PERSON.finditer(text):
-        title = m["title"].lower()
-        gender = "m" if title in _MALE else "f" if title in _FEMALE else ""
-        words = list(_TOKENS.finditer(text, m.start("name"), m.end("name")))
-        while words and not words[-1][0][0].isupper():
-            words.pop()
-        if not words or not all(w[0][0].isupper() for w in words):
-            continue
+    at = 0
+    while m := _PERSON.search(text, at):
+        at = m.end("title")
+        titles = m["title"].lower().replace(".", "").split()
+        gender = next((g for t in titles for g, of in (("m", _MALE), ("f", _FEMALE)) if t in of), "")
+        words = []
+        for w in _TOKENS.finditer(text, m.start("name"), m.end("name")):
+            if w[0] in _PARTICLES:
+                continue
+            if w[0][0].islower() or w[0].lower() in _TITLES:
+                break
+            words.append(w)
+            at = w.end()
         for w in words:
             s, e = _base(w)
             out.append((s, e, "name", gender if w is not words[-1] else ""))
@@ -128,7 +139,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str, str]]:
     for kind, pattern in _COMPILED.items():
         if kind == "email" and not at or kind == "secret" and not _HINT.search(text) or kind not in ("email", "secret") and not digits:
             continue
-        found += [(*m.span("v"), kind, "") for m in (_emails(text) if kind == "email" else pattern.finditer(text)) if kind != "secret" or _is_secret(m)]
+        found += [(*m.span("v"), kind, "") for m in (_emails(text) if kind == "email" else pattern.finditer(text)) if (kind != "secret" or _is_secret(m)) and (kind != "ip6" or m["v"].count(":") > 2 and _DIGIT.search(m["v"]))]
     found += _names(text)
     rank = {k: i for i, k in enumerate(PATTERNS)}
     kept: list[tuple[int, int, str, str]] = []
@@ -169,11 +180,21 @@ _ENDINGS = {
 }
 
 
+@cache
+def letters(of: str) -> str:
+    """The letters of a script to draw from: of those without a list, what Unicode names after it, without upper case."""
+    if of in _SCRIPTS:
+        return _SCRIPTS[of]
+    named = ((c, unicodedata.name(c, "")) for c in map(chr, range(0x250, 0x10000)))
+    return "".join(c for c, name in named if name.startswith(f"{of} ") and unicodedata.category(c) in ("Lo", "Ll") and any(k in name for k in (" LETTER", " SYLLABLE", " IDEOGRAPH")))
+
+
 def script(text: str) -> str:
+    """The script of the first letter, as Unicode names it; Latin without any."""
     for c in text:
         if c.isalpha():
             name = unicodedata.name(c, "").split(" ")[0]
-            return name if name in _SCRIPTS else "LATIN"
+            return name if letters(name) else "LATIN"
     return "LATIN"
 
 
@@ -184,7 +205,7 @@ def _shape(value: str, draw: _Stream, hexes: bool = False) -> str:
         if c.isdigit() or hexes and c in "abcdefABCDEF":
             x = draw.pick("0123456789abcdef" if hexes else string.digits)
         elif c.isalpha():
-            x = draw.pick(_SCRIPTS[script(c)])
+            x = draw.pick(letters(script(c)))
         else:
             x = c
         out.append(x.upper() if c.isupper() else x)
@@ -201,15 +222,20 @@ def _iban_check(country: str, rest: str) -> str:
     return f"{98 - int(value) % 97:02d}"
 
 
-def surrogate(kind: str, form: str, key: bytes, gender: str = "", attempt: int = 0) -> str:
-    """The canonical form that replaces `form`; other attempts give other draws."""
+def surrogate(kind: str, form: str, key: bytes, gender: str = "", attempt: int = 0, domain: str | None = None) -> str:
+    """The canonical form that replaces `form`; other attempts give other draws. domain: the surrogate of a mail address's domain, an
+    entity of its own."""
     draw = _Stream(key, kind, form, attempt)
     more = attempt // 8  # tiny formats run out of forms: later draws are longer
     pad = "".join(draw.pick(string.ascii_lowercase) for _ in range(max(1, more)))[:more]
     extra = "".join(draw.pick(string.digits) for _ in range(more - 1))  # of digits, only after the leading ones are drawn too
     if kind == "email":
-        local, _, domain = form.rpartition("@")
-        return f"{_shape(local, draw)}{pad}@{_shape(domain.split('.')[0], draw)}.example.net"
+        local, _, own = form.rpartition("@")
+        return f"{_shape(local, draw)}{pad}@{domain or surrogate('domain', own, key)}"
+    if kind == "domain":
+        return f"{_shape(form.split('.')[0], draw)}{pad}.example.net"
+    if kind == "ip6":
+        return "2001:db8:" + ":".join(f"{draw.below(1 << 16):x}" for _ in range(6))
     if kind == "ip":
         a = int(form.split(".")[0])
         if more > 3:  # there are no more addresses of four parts: one of the range that is kept for documents
@@ -234,6 +260,8 @@ def surrogate(kind: str, form: str, key: bytes, gender: str = "", attempt: int =
         return form[:2] + _iban_check(form[:2], rest) + rest
     if kind == "name":
         of = script(form)
+        if of not in _VOWELS:
+            return "".join(draw.pick(letters(of)) for _ in range(len(form) + more))
         consonants = [c for c in _SCRIPTS[of] if c not in _VOWELS[of] and c not in "qxwyъь"]
         stem = "".join(draw.pick(consonants) + draw.pick(_VOWELS[of]) for _ in range(max(2, min(5, len(form) // 2)) + more))
         if gender in ("m", "f"):
@@ -288,7 +316,17 @@ def entities(found: DataFrame) -> DataFrame:
 
 
 def assign(known: DataFrame, key: bytes) -> DataFrame:
-    """(kind, form, new) for distinct entities (kind, form, gender); new is distinct within a space() and no real form of it.
+    """(kind, form, new) for distinct entities (kind, form, gender); new is distinct within a space() and no real form of it. Addresses
+    of one mail domain keep one: domains get their surrogates first."""
+    of = F.substring_index("form", "@", -1)
+    domains = known.where("kind = 'email'").select(of.alias("form")).distinct()
+    own = settle(domains.select(F.lit("domain").alias("kind"), "form", F.lit("").alias("gender"), F.lit(None).cast("string").alias("part")), key)
+    parts = known.withColumn("__of", F.when(F.col("kind") == "email", of)).join(own.select(F.col("form").alias("__of"), F.col("new").alias("part")), "__of", "left")
+    return settle(parts.select("kind", "form", "gender", "part"), key)
+
+
+def settle(known: DataFrame, key: bytes) -> DataFrame:
+    """assign() for entities (kind, form, gender, part: the surrogate of a mail address's domain).
 
     Each round draws for the entities still without a surrogate, all at once; of those that draw the same the
     smallest keeps it. Rounds go on until nothing is left, and end because formats get wider; only counts reach the driver.
@@ -297,15 +335,15 @@ def assign(known: DataFrame, key: bytes) -> DataFrame:
     def drawing(attempt: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                kinds, forms, genders = (batch.column(c).to_pylist() for c in range(3))
-                new = [surrogate(k, f, key, g, attempt) for k, f, g in zip(kinds, forms, genders, strict=True)]
+                kinds, forms, genders, parts = (batch.column(c).to_pylist() for c in range(4))
+                new = [surrogate(k, f, key, g, attempt, p) for k, f, g, p in zip(kinds, forms, genders, parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(space, kinds), pa.string()), pa.array(new, pa.string())], names=["kind", "form", "space", "new"])
 
         return run
 
-    of = F.when(F.col("kind").isin("phone", "ssn", "number"), "digits").otherwise(F.col("kind"))
+    of = F.when(F.col("kind").isin("phone", "ssn", "number"), "digits").when(F.col("kind") == "ip6", "ip").otherwise(F.col("kind"))
     real = known.select(of.alias("space"), F.col("form").alias("new")).distinct()
-    pending, done, attempt = known.select("kind", "form", "gender"), None, 0
+    pending, done, attempt = known.select("kind", "form", "gender", "part"), None, 0
     while done is None or not pending.isEmpty():
         drawn = pending.mapInArrow(drawing(attempt), "kind string, form string, space string, new string")
         fit = drawn.join(real, ["space", "new"], "left_anti")
