@@ -114,3 +114,13 @@ def test_policies_and_ablation(spark):
     assert kept == {0: True, 1: True, 2: True, 3: True, 4: False, 5: False, 6: False}
     assert R.ledger(df.limit(0), "id", "content").count() == 0
     assert {r.n_failed for r in R.ablate(R.ledger(df.limit(0), "id", "content")).collect()} == {0}
+
+
+def test_ablation_against_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    want = con.sql(R.ABLATION_SQL)
+    got = R.ablation_query(spark, sf_dir).select(want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and len(want.fetchall()) == 7

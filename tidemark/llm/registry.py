@@ -22,10 +22,16 @@ MODULES = {
 }
 
 
+#: Further queries: (module, function, SQL).
+FURTHER = {"rules_ablation": ("rules", "ablation_query", "ABLATION_SQL")}
+
+
 def queries() -> dict:
-    return {name: import_module(f"tidemark.llm.{module}").query for name, module in MODULES.items()}
+    found = {name: import_module(f"tidemark.llm.{module}").query for name, module in MODULES.items()}
+    return found | {name: getattr(import_module(f"tidemark.llm.{module}"), function) for name, (module, function, _) in FURTHER.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     found = {name: getattr(import_module(f"tidemark.llm.{module}"), "ORACLE_SQL", None) for name, module in MODULES.items()}
+    found |= {name: getattr(import_module(f"tidemark.llm.{module}"), sql) for name, (module, _, sql) in FURTHER.items()}
     return {name: sql for name, sql in found.items() if sql}

@@ -172,3 +172,18 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r0 O
        'standard-1' AS policy
 FROM f
 """
+
+
+def ablation_query(spark, sf_dir: str) -> DataFrame:
+    """How many documents each rule of the policy standard-1 fails, and how many it alone."""
+    return ablate(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
+_STANDARD = [name for name, _ in RULES if BIT[name] & POLICIES["standard-1"]]
+ABLATION_SQL = (
+    ORACLE_SQL.rpartition("SELECT doc_id, n_words")[0]
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS rule, count(*) FILTER (r{i}) AS n_failed, count(*) FILTER (r{i} AND {' + '.join(f'r{k}::INTEGER' for k in range(len(_STANDARD)))} = 1) AS n_only FROM f"
+        for i, name in enumerate(_STANDARD)
+    )
+)
