@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +63,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def lean(run: Callable) -> Callable:
+    """run, a function over record batches; after its last batch the worker gives free memory back, since the next task, of whatever
+    stage, may run in the same process."""
+
+    @wraps(run)
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return inner
+
+
 def text_hash(column: str = "text"):
     """128 bits that stand for a text (null: its own value)."""
     return F.coalesce(F.md5(F.col(column)), F.lit("null"))

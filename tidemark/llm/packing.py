@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import lean, materialize
 
 WINDOW, END_ID = 4096, 2
 #: Pieces aimed at in one shard; BM25's constants; runs that a task remembers; characters of text looked up at once.
@@ -139,7 +139,7 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, window: int)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(run, PIECE)
+    return slim.mapInArrow(lean(run), PIECE)
 
 
 def document_frequencies(cut: DataFrame, vocabulary: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def document_frequencies(cut: DataFrame, vocabulary: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["term", "df"])
 
     out = np.zeros(vocabulary, np.int64)
-    for row in cut.where("terms is not null").select("terms").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+    for row in cut.where("terms is not null").select("terms").mapInArrow(lean(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
         out[row["term"]] = row["df"]
     return out
 
@@ -258,7 +258,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             key = [-1 if t is None else int(o[np.argmin(rare[o])]) for t in batch.column("terms").to_pylist() for o in [np.frombuffer(t or b"", np.uint16)]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.int32())], names=[*batch.schema.names, "route"])
 
-    routed = cut.mapInArrow(route, PIECE + ", route int")
+    routed = cut.mapInArrow(lean(route), PIECE + ", route int")
     # as many rows as terms at most; offsets of the terms' stretches in one line of all pieces
     counts = {r["route"]: r["count"] for r in routed.groupBy("route").count().toLocalIterator()}
     starts, at = np.zeros(vocabulary + 1, np.int64), 0
@@ -277,7 +277,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(shard.astype(np.int32))], names=[*batch.schema.names[:7], "shard"])
 
     share = F.shiftrightunsigned(F.xxhash64("doc_id", "start", "ids_crc32"), 12) / F.lit(float(1 << 52))
-    dealt = routed.withColumn("share", share).mapInArrow(deal, PIECE + ", shard int")
+    dealt = routed.withColumn("share", share).mapInArrow(lean(deal), PIECE + ", shard int")
 
     def fill(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

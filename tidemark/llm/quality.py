@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import delete, discard, materialize, shared_dir, small, unused
+from tidemark.llm.common import delete, discard, lean, materialize, shared_dir, small, unused
 
 #: Characters in one block; rows of requests sent at once; the quantile of held-out scores and how far over it, as a factor, a
 #: document may lie (for good text of kinds that are rare among the trusted); the allowance for the scatter of short texts: a
@@ -45,6 +45,13 @@ def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(codes, 0xFFFF).astype(np.uint16), sizes
 
 
+def _marked(values: np.ndarray, size: int) -> np.ndarray:
+    """The distinct values, under size, in order."""
+    seen = np.zeros(size, bool)
+    seen[values] = True
+    return np.flatnonzero(seen)
+
+
 def number(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(distinct 4-grams as longs, index of the one that ends at each symbol from the fourth on)."""
     chars = np.flatnonzero(np.bincount(codes, minlength=1 << 16))
@@ -52,18 +59,18 @@ def number(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     small[chars] = np.arange(len(chars))
     c = small[codes]
     pair = c[:-1] * len(chars) + c[1:]
-    used = np.flatnonzero(np.bincount(pair, minlength=len(chars) ** 2)) if len(chars) ** 2 <= 1 << 22 else np.unique(pair)
+    used = _marked(pair, len(chars) ** 2) if len(chars) ** 2 <= 1 << 22 else np.unique(pair)
     first = chars[used // len(chars)].astype(np.uint64)
     second = chars[used % len(chars)].astype(np.uint64)
     if len(chars) ** 2 <= 1 << 22:
-        to = np.zeros(len(chars) ** 2, np.int64)
+        to = np.zeros(len(chars) ** 2, np.int32)
         to[used] = np.arange(len(used))
-        pair = to[pair]
+        pair = to[pair].astype(np.int64)
     else:
         pair = np.searchsorted(used, pair)
     four = pair[:-2] * len(used) + pair[2:]
     if len(used) ** 2 <= 1 << 22:
-        kinds = np.flatnonzero(np.bincount(four, minlength=len(used) ** 2))
+        kinds = _marked(four, len(used) ** 2)
         to = np.zeros(len(used) ** 2, np.int32)
         to[kinds] = np.arange(len(kinds))
         index = to[four]
@@ -108,7 +115,7 @@ def pack(docs: DataFrame) -> DataFrame:
             yield out(lang, parts)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"block long, lang string, ids array<{kind}>, content binary")
+    return docs.mapInArrow(lean(run), f"block long, lang string, ids array<{kind}>, content binary")
 
 
 def store(blocks: DataFrame) -> str:
@@ -164,7 +171,7 @@ def requests(blocks: DataFrame) -> DataFrame:
                     own = grams[at : at + ROWS]
                     yield pa.RecordBatch.from_arrays([pa.repeat(block, len(own)), pa.repeat(lang, len(own)), pa.array(own), pa.array(counts[at : at + ROWS])], names=["block", "lang", "gram", "trusted"])
 
-    return blocks.mapInArrow(run, "block long, lang string, gram long, trusted long")
+    return blocks.mapInArrow(lean(run), "block long, lang string, gram long, trusted long")
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -271,7 +278,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
         answers = asked.select("block", "lang", "gram").join(scored, ["lang", "gram"])
         answered = answers.select("block", "gram", "logp").groupBy("block").applyInArrow(collect, "block long, grams binary, logps binary")
         joined = marked.join(answered, "block", "left").select("lang", "content", "places", "grams", "logps")
-        out = materialize(joined.mapInArrow(score, f"doc_id {kind}, text_key string, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double"), "kn-perplexities")
+        out = materialize(joined.mapInArrow(lean(score), f"doc_id {kind}, text_key string, lang string, trusted boolean, held_out boolean, n_symbols long, perplexity double"), "kn-perplexities")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         delete(spark, f"{shared_dir(spark)}/{name}")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import checkpoint, discard, materialize, text_hash
+from tidemark.llm.common import checkpoint, discard, lean, materialize, text_hash
 from tidemark.llm.components import connected_components
 from tidemark.llm.simhash import one_of_each
 
@@ -75,7 +75,7 @@ def _sketch(texts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["block", "counts"])
 
     out = np.zeros(COUNTERS, np.uint16)
-    for block, part in texts.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
+    for block, part in texts.mapInArrow(lean(count), "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect():
         out[block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(part, np.uint16)
     return out
 
@@ -102,7 +102,7 @@ def _sets(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
                 names=["doc_id", "text_key", "id", "n", "bits", "prefix"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, text_key string, id long, n long, bits array<long>, prefix array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, text_key string, id long, n long, bits array<long>, prefix array<long>")
 
 
 #: Bits by which the texts of sets that are compared in full are found again, whatever their number; others pass a join later.
@@ -127,7 +127,7 @@ def _marks(hashes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "bits"])
 
     out = np.zeros((MARKS >> 16, 1 << 13), np.uint8)
-    for block, part in hashes.mapInArrow(mark, "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
+    for block, part in hashes.mapInArrow(lean(mark), "block int, bits binary").groupBy("block").applyInArrow(unite, "block int, bits binary").collect():
         out[block] = np.frombuffer(part, np.uint8)
     return out.ravel()
 
@@ -156,7 +156,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
                 found.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(found, pa.binary())], names=["id", "s"])
 
-    full = texts.select(F.xxhash64("text_key", "doc_id").alias("h"), "text").mapInArrow(hashed, "id long, s binary")
+    full = texts.select(F.xxhash64("text_key", "doc_id").alias("h"), "text").mapInArrow(lean(hashed), "id long, s binary")
     stored = full = materialize(full.join(asked, "id", "left_semi"), "similar-sets")
     if full.count() > full.select("id").distinct().count():  # equal rows, or others that the marks let pass
         full = full.dropDuplicates(["id"])
@@ -171,7 +171,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = both.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    found = checkpoint(joined.mapInArrow(compare, "a long, b long"))
+    found = checkpoint(joined.mapInArrow(lean(compare), "a long, b long"))
     discard(stored, both)
     return found
 
