@@ -21,6 +21,25 @@ def mean(x: Column) -> Column:
     return total(x) / F.nullif(F.size(x), F.lit(0))
 
 
+def running(x: Column) -> Column:
+    """The sums of all values up to each, in chunks of about the root of their number: no long array is copied at every step."""
+
+    def sums(values: Column) -> Column:
+        return F.aggregate(values, F.array(F.lit(0.0)), lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+
+    def chunked(v: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(v))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / size).cast("int")), lambda k: F.slice(v, k * size + 1, size))
+
+        def placed(c: Column) -> Column:
+            before = sums(F.transform(c, total))
+            return let(before, lambda b: F.flatten(F.transform(c, lambda part, k: F.transform(F.slice(sums(part), 2, F.size(part)), lambda s: s + F.get(b, k)))))
+
+        return let(chunks, placed)
+
+    return F.when(F.size(x) == 0, F.array().cast("array<double>")).otherwise(let(x, chunked))
+
+
 def variance(x: Column) -> Column:
     """Of the population."""
     return let(mean(x), lambda m: F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.nullif(F.size(x), F.lit(0)))

@@ -88,9 +88,10 @@ def sample_pairs(signals: DataFrame, pair_set: str, cap: int | None = None) -> D
 
 
 def sample_with_replacement(spark, n: int, draws: int) -> DataFrame:
-    """(k, i, j): for each of so many draws a pair of numbers under n; draws of a number with itself are left out."""
-    k = F.col("id")
-    out = spark.range(draws if n else 0).select(k.alias("k"), ((k * 7919 + 12345) % 1000003 % n).alias("i"), ((k * 104729 + 54321) % 999983 % n).alias("j"))
+    """(k, i, j): for each of so many draws two numbers under n, each by 60 bits of a hash of its own; draws of a number with itself are
+    left out."""
+    draw = lambda side: F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(side))), 1, 15), 16, 10).cast("long") % max(n, 1)
+    out = spark.range(draws if n else 0).select(F.col("id").alias("k"), draw("i").alias("i"), draw("j").alias("j"))
     return out.where("i <> j")
 
 

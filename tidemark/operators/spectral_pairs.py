@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions import arrays as A
 from tidemark.functions import stats
 from tidemark.operators import features as E
 from tidemark.operators import pairs as P
@@ -67,6 +68,57 @@ def coherence(signals: DataFrame, config: E.SpectrumConfig, sets: tuple[str, ...
     return P.pairwise(own, kernel, "i long, j long, band string, coherence double", sets, 32)
 
 
+def coherence_by_position(signals: DataFrame, config: E.SpectrumConfig, strategy: str = "consecutive") -> DataFrame:
+    """coherence() of pairs by position only: RS of equal idx, RR and SS by the given strategy. Segment spectra are made once a signal."""
+    n = signals.agg(F.min(F.size("x"))).first()[0] or 8
+    size = config.coherence_segment(n)
+    freqs = np.arange(size // 2 + 1) * config.fs / size
+    high = config.band[1]
+    masks = [(name, (freqs >= a) & ((freqs <= b) if b >= high else (freqs < b)), b - a) for name, a, b in coherence_bands(config)]
+    wanted = P.zip_pairs(signals, "RS").unionByName(P.zip_pairs(signals, "RR", strategy)).unionByName(P.zip_pairs(signals, "SS", strategy))
+    both = P.attach(wanted, signals, "x").select("pair_set", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("left.x").alias("a"), F.col("right.x").alias("b"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for pair_set, i, j, a, b in rows.itertuples(index=False):
+                x, y = (E.segment_spectra(np.asarray(v, float)[:n], size, config.overlap) for v in (a, b))
+                power = (np.abs(x) ** 2).sum(axis=0) * (np.abs(y) ** 2).sum(axis=0)
+                c = np.divide(np.abs((x.conj() * y).sum(axis=0)) ** 2, power, out=np.zeros(len(freqs)), where=power > 0)
+                out += [(pair_set, i, j, name, float(simpson_last(c[m], config.fs / size)) / width) for name, m, width in masks]
+            yield pd.DataFrame(out, columns=["pair_set", "i", "j", "band", "coherence"])
+
+    return both.mapInPandas(run, "pair_set string, i long, j long, band string, coherence double")
+
+
+def compare_pair_sets(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, pair_set, n, mean, sd, u, delta, p): summaries of the sets, and the Mann-Whitney test and Cliff's delta of RR against RS."""
+    by = rows.groupBy(key, "pair_set").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+    found = stats.compare(rows.select(key, F.col("pair_set").alias("role"), F.col(value).alias("value")), [key], "RR", "RS")
+    tests = found.select(key, "u", "delta", stats.p_of_u(F.col("u"), F.col("n1"), F.col("n2"), F.col("ties")).alias("p"))
+    return by.join(tests, key, "left")
+
+
+def similarity_rows(found: DataFrame) -> DataFrame:
+    """(pair_set, i, j, metric, value) from scalogram_similarity()."""
+    return found.select("pair_set", "i", "j", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("ssim", "nrmse", "cosine")))))
+
+
+def band_envelope(images: DataFrame, freqs: list[float], samples: int, fs: float, band: tuple[float, float] = (13.0, 30.0), smooth_ms: float = 20.0) -> DataFrame:
+    """(role, idx, t, v): the mean amplitude of a band's rows of each scalogram (role, idx, x) over its median, smoothed."""
+    inside = [k for k, f in enumerate(freqs) if band[0] <= f <= band[1]]
+    if not inside:
+        raise ValueError("no frequency in the band")
+    rows = images.select("role", "idx", F.array(*(F.slice("x", k * samples + 1, samples) for k in inside)).alias("rows"))
+    mean = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda t: F.aggregate(F.col("rows"), F.lit(0.0), lambda a, v: a + F.get(v, t)) / len(inside))
+    half, odd = samples // 2, samples % 2
+    middle = lambda s: F.get(s, F.lit(half)) if odd else (F.get(s, F.lit(half - 1)) + F.get(s, F.lit(half))) / 2
+    over = lambda x: A.let(middle(F.sort_array(x)), lambda m: F.transform(x, lambda v: F.when(m > 0, v / m).otherwise(v)))
+    scaled = rows.select("role", "idx", A.let(mean, over).alias("x"))
+    points = scaled.select("role", "idx", F.posexplode("x").alias("t", "v"))
+    return T.moving_average(points, ["role", "idx"], max(1, round(smooth_ms / 1000 * fs))).select("role", "idx", "t", F.col("smooth").alias("v"))
+
+
 def spectral_distance(p: Column, q: Column, step: float) -> Column:
     """Wasserstein-1 in Hz between two spectra on one grid, each as a distribution."""
     share = lambda x: (lambda t: F.transform(x, lambda v: v / t))(F.aggregate(x, F.lit(0.0), lambda a, v: a + v))

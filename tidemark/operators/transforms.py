@@ -83,8 +83,7 @@ def row_normalise(x: Column) -> Column:
 
 def profile(x: Column) -> Column:
     """The running sum of the centred signal."""
-    run = lambda m: F.aggregate(x, F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")), lambda a, v: F.struct((a["s"] + v - m).alias("s"), F.array_append(a["out"], a["s"] + v - m).alias("out")))["out"]
-    return A.let(A.mean(x), run)
+    return A.let(A.mean(x), lambda m: A.running(F.transform(x, lambda v: v - m)))
 
 
 def moving_average(samples: DataFrame, keys: list[str], width: int) -> DataFrame:

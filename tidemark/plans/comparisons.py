@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
 from tidemark.functions import stats
+from tidemark.functions.density import kernel_density, plane_density
 from tidemark.operators import features as E
 from tidemark.operators import measures as M
 from tidemark.operators import pairs as P
@@ -123,6 +124,18 @@ def fe21(spark, d):
     return plane(P.indexed(G.short(spark, d))).select("role", F.col("idx").cast("long").alias("idx"), A.r6(F.get("x", F.lit(0))).alias("dim1"), A.r6(F.get("x", F.lit(1))).alias("dim2"))
 
 
+def pl01_density(spark, d):
+    """Densities of the Hjorth parameters of both roles on one grid each."""
+    out = kernel_density(M.unpivoted(M.hjorth_features(G.short(spark, d)), M.HJORTH), ["feature"], 64)
+    return _round(out.withColumn("k", F.col("k").cast("long")), "feature", "role", "k")
+
+
+def pl06_density(spark, d):
+    """The density of both roles in the plane of the first two samples, as of a given embedding."""
+    points = G.short(spark, d).select("role", F.element_at("x", 1).alias("a"), F.element_at("x", 2).alias("b"))
+    return _round(plane_density(points, 24).select("role", F.col("ka").cast("long").alias("ka"), F.col("kb").cast("long").alias("kb"), "a", "b", "density"), "role", "ka", "kb")
+
+
 def pl07(spark, d):
     """Box rows of the Hjorth parameters by role: quartiles, range and mean."""
     long = M.unpivoted(M.hjorth_features(G.short(spark, d)), M.HJORTH)
@@ -133,6 +146,7 @@ QUERIES = {
     "ag33_relative_power": ag33, "ag33_relative_power_tests": ag33_tests, "ag35_mfdfa_comparison": ag35, "jn15_stratified_members": jn15, "jn08_sampled_with_replacement": jn08,
     "ag20_distance_metrics_dtw": ag20_dtw, "sc12_privacy_score": sc12, "pm08_scalogram_comparison": pm08, "pl03_single_scalogram": pl03, "pl06_plane": pl06, "pl07_box": pl07,
     "ag27_plane_geometry": ag27, "fe21_nearest_fourteen": fe21_knn, "fe21_neighbour_graph": fe21_graph, "fe21_neighbour_plane": fe21,
+    "pl01_hjorth_density": pl01_density, "pl06_plane_density": pl06_density,
 }
 
 _HJL = f"""{S}, d AS (SELECT signal_id, role, v, v - lag(v) OVER w AS d1, v - 2 * lag(v) OVER w + lag(v, 2) OVER w AS d2 FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY t)),
@@ -140,6 +154,18 @@ h0 AS (SELECT signal_id, role, stddev_pop(v) AS s0, stddev_pop(d1) AS s1, stddev
 hj AS (SELECT role, s0 * s0 AS activity, s1 / (s0 + 1e-9) AS mobility, (s2 / (s1 + 1e-9)) / (s1 / (s0 + 1e-9) + 1e-9) AS complexity FROM h0),
 hl AS (SELECT role, feature, value FROM hj UNPIVOT (value FOR feature IN (activity, mobility, complexity)))"""
 SQL = {
+    "pl01_hjorth_density": f"""WITH {_HJL}, o AS (SELECT feature, role, count(*) AS n, stddev_samp(value) * count(*) ** -0.2 AS h, min(value) AS lo, max(value) AS hi FROM hl GROUP BY 1, 2),
+      g AS (SELECT feature, min(lo) OVER w - 3 * max(h) OVER w AS low, (max(hi) OVER w + 3 * max(h) OVER w - (min(lo) OVER w - 3 * max(h) OVER w)) / 63 AS step, role, n, h FROM o WINDOW w AS (PARTITION BY feature)),
+      p AS (SELECT feature, role, n, h, low, step, floor((value - low) / step) AS f, (value - low) / step AS z FROM hl JOIN g USING (feature, role)),
+      b AS (SELECT feature, role, n, h, low, step, f + c AS g, CASE c WHEN 0 THEN 1 - (z - f) ELSE z - f END AS w FROM p, range(2) x(c))
+      SELECT feature, role, k, {r("any_value(low + k * step)", "x")}, {r("sum(w * exp(-0.5 * ((k - g) * step / h) ** 2) / (n * h * sqrt(2 * pi())))", "density")} FROM b, range(64) t(k) GROUP BY feature, role, k""",
+    "pl06_plane_density": f"""WITH {SIG}, v AS (SELECT role, x[1] AS a, x[2] AS b FROM sig), o AS (SELECT role, count(*) AS n, stddev_samp(a) * count(*) ** (-1 / 6.0) AS ha, stddev_samp(b) * count(*) ** (-1 / 6.0) AS hb, min(a) AS la, max(a) AS ua, min(b) AS lb, max(b) AS ub FROM v GROUP BY 1),
+      e AS (SELECT min(la) - 3 * max(ha) AS la, max(ua) + 3 * max(ha) AS ua, min(lb) - 3 * max(hb) AS lb, max(ub) + 3 * max(hb) AS ub FROM o),
+      g AS (SELECT role, n, ha, hb, e.la, e.lb, (e.ua - e.la) / 23 AS sa, (e.ub - e.lb) / 23 AS sb FROM o, e),
+      p AS (SELECT role, (a - la) / sa AS za, (b - lb) / sb AS zb FROM v JOIN g USING (role)),
+      w AS (SELECT role, floor(za) + i AS ga, floor(zb) + j AS gb, sum((CASE i WHEN 0 THEN 1 - (za - floor(za)) ELSE za - floor(za) END) * (CASE j WHEN 0 THEN 1 - (zb - floor(zb)) ELSE zb - floor(zb) END)) AS w FROM p, range(2) x(i), range(2) y(j) GROUP BY ALL)
+      SELECT role, ka, kb, {r("any_value(la + ka * sa)", "a")}, {r("any_value(lb + kb * sb)", "b")}, {r("sum(w * exp(-0.5 * (((ka - ga) * sa / ha) ** 2 + ((kb - gb) * sb / hb) ** 2)) / (n * ha * hb * 2 * pi()))", "density")}
+      FROM w JOIN g USING (role), range(24) s(ka), range(24) t(kb) GROUP BY role, ka, kb""",
     "fe21_nearest_fourteen": f"""WITH {SIG}, d AS (SELECT a.signal_id AS i, b.signal_id AS j, list_distance(a.x, b.x) AS d FROM sig a JOIN sig b ON a.signal_id <> b.signal_id)
       SELECT i, j, {r("d", "d")} FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM d) WHERE k <= 14""",
     "ag33_relative_power": f"""WITH {RELATIVE}, rp AS (SELECT band, role, idx, rel_power AS v FROM rel JOIN lng USING (signal_id)),
@@ -152,7 +178,7 @@ SQL = {
     "ag35_mfdfa_comparison": f"""WITH {FLUCT}, hr AS (SELECT q, role, h AS value FROM hq JOIN lng USING (signal_id)), {w1("hr", "q")}, m AS (SELECT q, avg(value) FILTER (role = 'real') AS rm, avg(value) FILTER (role = 'synthetic') AS sm FROM hr GROUP BY 1)
       SELECT q, n1, n2, {r("rm", "real_mean")}, {r("sm", "synthetic_mean")}, {r("u", "u")}, {r("delta", "delta")} FROM cmp JOIN m USING (q)""",
     "jn15_stratified_members": f"WITH {SIG} SELECT signal_id, label, row_number() OVER (PARTITION BY label ORDER BY (signal_id * 7919 + 104729 + 42 * 15485863 + signal_id * 31) % 1000003, signal_id) <= ceil(count(*) OVER (PARTITION BY label) / 2) AS member FROM sig WHERE role = 'real'",
-    "jn08_sampled_with_replacement": f"""WITH {SIG}, c AS (SELECT count(*) AS n FROM sig WHERE role = 'real'), k AS (SELECT k, n, (k * 7919 + 12345) % 1000003 % n AS i, (k * 104729 + 54321) % 999983 % n AS j FROM range({SAMPLE}) g(k), c WHERE n > 0)
+    "jn08_sampled_with_replacement": f"""WITH {SIG}, c AS (SELECT count(*) AS n FROM sig WHERE role = 'real'), k AS (SELECT k, n, ('0x' || md5(k || 'i')[1:15])::BIGINT % n AS i, ('0x' || md5(k || 'j')[1:15])::BIGINT % n AS j FROM range({SAMPLE}) g(k), c WHERE n > 0)
       SELECT k, i, j FROM k WHERE i <> j""",
     "pl07_box": f"""WITH {_HJL} SELECT feature, role, count(*) AS n, {r("avg(value)", "mean")}, {r("stddev_pop(value)", "sd")}, {r("median(value)", "median")}, {r("quantile_cont(value, 0.25)", "q1")}, {r("quantile_cont(value, 0.75)", "q3")}, {r("min(value)", "low")}, {r("max(value)", "high")} FROM hl GROUP BY feature, role""",
 }

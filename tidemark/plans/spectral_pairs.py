@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from tidemark.operators import measures as M
 from tidemark.operators import pairs as P
 from tidemark.operators import spectral_pairs as X
 from tidemark.operators import transforms as T
-from tidemark.plans.features import CONFIG, QS, SIZES, _welch
+from tidemark.plans.features import BURST_FEATURES, CONFIG, QS, SIZES, _welch
 from tidemark.plans.sql import LONG, S, r
 from tidemark.sources import signals as G
 
@@ -41,6 +42,38 @@ def pm02(spark, d):
     return by.join(effect, "band", "left")
 
 
+def pm02_tests(spark, d):
+    """The Mann-Whitney test of RR against RS by band, over all pairs."""
+    return _round(X.compare_pair_sets(X.coherence(_idx(spark, d), CONFIG), "band", "coherence").where("pair_set = 'RS'").select("band", "u", "delta", "p"), "band")
+
+
+def pm02_zip(spark, d):
+    """Coherence of pairs by position: mean and deviation by set and band, and the effect of RR over RS."""
+    out = X.compare_pair_sets(X.coherence_by_position(_idx(spark, d), CONFIG), "band", "coherence")
+    return _round(out.select("pair_set", "band", "n", "mean", "sd", "u", F.col("delta").alias("delta_rr_rs")), "pair_set", "band", "n")
+
+
+def pm08_all(spark, d):
+    """Similarities of all pairs of scalograms: mean and deviation by set, and RR against RS by Mann-Whitney and Cliff's delta."""
+    rows = X.similarity_rows(X.scalogram_similarity(_images(spark, d), len(FREQS)))
+    return _round(X.compare_pair_sets(rows, "metric", "value"), "metric", "pair_set", "n")
+
+
+def pm13_three(spark, d):
+    """Absolute differences of all three entropies between signals: mean by set, and RR against RS."""
+    e = E.entropies(P.indexed(G.short(spark, d)), ("role", "idx"))
+    parts = [P.distances(e.where(A.finite(F.col(c))).select("role", "idx", F.array(c).alias("x"))).select(F.lit(c).alias("statistic"), "pair_set", F.col("d").alias("value")) for c in ("SampEn", "PermEn", "LZC")]
+    return _round(X.compare_pair_sets(functools.reduce(lambda a, b: a.unionByName(b), parts), "statistic", "value"), "statistic", "pair_set", "n")
+
+
+def ag31_tests(spark, d):
+    """The report of the entropies: Mann-Whitney between the roles, and how far real signals lie from their surrogates."""
+    found = stats.compare(_entropies(spark, d), ["feature"])
+    p = found.select("feature", "u", "delta", stats.p_of_u(F.col("u"), F.col("n1"), F.col("n2"), F.col("ties")).alias("p"))
+    z = X.surrogate_z(G.short(spark, d)).select(F.col("statistic").alias("feature"), F.col("z").alias("surrogate_z"))
+    return _round(p.join(z, "feature", "left"), "feature")
+
+
 def pm04(spark, d):
     return _round(X.spectral_wasserstein(_idx(spark, d), CONFIG, N), "band")
 
@@ -59,12 +92,17 @@ def fe09(spark, d):
 
 def fe10(spark, d):
     """The envelope of 13 to 30 Hz: the band's mean amplitude over its median, smoothed over 20 ms."""
-    inside = [k for k, f in enumerate(FREQS) if 13 <= f <= 30]
-    rows = _images(spark, d).select("role", "idx", F.array(*(F.slice("x", k * N + 1, N) for k in inside)).alias("rows"))
-    env = rows.select("role", "idx", F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda t: F.aggregate(F.col("rows"), F.lit(0.0), lambda a, v: a + F.get(v, t)) / len(inside)).alias("x"))
-    samples = G.samples(env, "role", "idx").join(G.samples(env, "role", "idx").groupBy("role", "idx").agg(F.median("v").alias("m")), ["role", "idx"])
-    samples = samples.withColumn("v", F.when(F.col("m") > 0, F.col("v") / F.col("m")).otherwise(F.col("v")))
-    return T.moving_average(samples, ["role", "idx"], max(1, round(0.02 * G.FS))).select("role", "idx", "t", A.r6("smooth").alias("v"))
+    return X.band_envelope(_images(spark, d), FREQS, N, G.FS).select("role", "idx", "t", A.r6("v").alias("v"))
+
+
+def ag32_envelope(spark, d):
+    """Burst features on the envelope of 13 to 30 Hz: means by role, spread, Wasserstein distance over the real deviation."""
+    e = X.band_envelope(_images(spark, d), FREQS, N, G.FS).select((2 * F.col("idx") + F.when(F.col("role") == "real", 0).otherwise(1)).alias("signal_id"), "role", "t", "v")
+    f = M.unpivoted(E.burst_summary(E.bursts(e, G.FS), e, G.FS), ("n_bursts", *BURST_FEATURES))
+    own = stats.summary(f, ["feature"]).join(stats.robust_sd(f.where(A.finite(F.col("value"))), ["feature", "role"]).withColumnRenamed("sd", "robust"), ["feature", "role"], "left")
+    wide = own.groupBy("feature").agg(*(F.max(F.when(F.col("role") == g, F.col(c))).alias(f"{g}_{c}") for g in ("real", "synthetic") for c in ("n", "mean", "sd", "robust")))
+    both = wide.join(stats.compare(f, ["feature"]).select("feature", "w1"), "feature")
+    return _round(both.withColumn("wd_norm", F.col("w1") / (F.col("real_sd") + 1e-12)).drop("w1"), "feature", "real_n", "synthetic_n")
 
 
 def pm05(spark, d):
@@ -178,6 +216,7 @@ def pl02(spark, d):
 QUERIES = {
     "pm01_coherence_pairs": pm01, "pm02_coherence": pm02, "pm04_spectral_wasserstein": pm04, "fe07_scalogram": fe07, "fe09_mean_scalogram": fe09, "fe10_band_envelope": fe10, "pm05_scalogram_similarity": pm05,
     "pm10_dcca": pm10, "pm10_dcca_pairs": pm10_pairs, "pm11_mfdcca": pm11, "pm13_entropy_differences": pm13, "fe22_surrogate_z": fe22, "ag31_entropy_metrics": ag31,
+    "pm02_coherence_tests": pm02_tests, "pm02_coherence_by_position": pm02_zip, "pm08_scalograms_all": pm08_all, "pm13_three_entropies": pm13_three, "ag31_entropy_tests": ag31_tests, "ag32_envelope_bursts": ag32_envelope,
     "sc05_frequency_score": sc05, "sc07_time_frequency_score": sc07, "sc08_complexity_score": sc08, "sc10_fidelity_score": sc10, "pl01_hjorth_histogram": pl01, "pl02_mean_psd": pl02,
 }
 
@@ -185,15 +224,37 @@ _C = CONFIG.coherence_segment(N)
 _STEP = _C - int(_C * 0.5)
 _SPECTRA = _welch(_C, _STEP).split("psd AS (SELECT")[0].rstrip().rstrip(",")
 _BANDS = ", ".join(f"('{n}', {a}, {b}, {str(b >= CONFIG.band[1]).lower()})" for n, a, b in X.coherence_bands(CONFIG))
+
+
+def _coherence(pairs: str) -> str:
+    """CTEs up to a (pair_set, i, j, band, coherence) of the pairs that the condition on x and y chooses."""
+    return f"""{LONG}, {_SPECTRA}, sp AS (SELECT role, idx, k, b, re, im FROM dft JOIN lng USING (signal_id)), co AS (
+      SELECT CASE WHEN x.role <> y.role THEN 'RS' WHEN x.role = 'real' THEN 'RR' ELSE 'SS' END AS pair_set, x.idx AS i, y.idx AS j, x.b, (sum(x.re * y.re + x.im * y.im) ** 2 + sum(x.re * y.im - x.im * y.re) ** 2) / nullif(sum(x.re ** 2 + x.im ** 2) * sum(y.re ** 2 + y.im ** 2), 0) AS c
+      FROM sp x JOIN sp y ON ({pairs}) AND x.k = y.k AND x.b = y.b GROUP BY ALL),
+      bd(band, lo, hi, last) AS (VALUES {_BANDS}), ib AS (SELECT pair_set, i, j, band, lo, hi, b, coalesce(c, 0) AS c FROM co JOIN bd ON b * {G.FS} / {_C} >= lo AND (b * {G.FS} / {_C} < hi OR (last AND b * {G.FS} / {_C} <= hi))),
+      n AS (SELECT *, row_number() OVER (PARTITION BY pair_set, i, j, band ORDER BY b) AS p, count(*) OVER (PARTITION BY pair_set, i, j, band) AS m FROM ib),
+      a AS (SELECT pair_set, i, j, band, {G.FS / _C!r} / (max(hi) - max(lo)) * CASE WHEN max(m) = 1 THEN 0 WHEN max(m) = 2 THEN sum(c) / 2 WHEN max(m) % 2 = 1 THEN sum(c * CASE WHEN p IN (1, m) THEN 1 WHEN p % 2 = 0 THEN 4 ELSE 2 END) / 3
+        ELSE coalesce(sum(c * CASE WHEN p IN (1, m - 1) THEN 1 WHEN p % 2 = 0 THEN 4 ELSE 2 END) FILTER (p < m), 0) / 3 + sum(c * CASE m - p WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN -1 ELSE 0 END) / 12 END AS coherence FROM n GROUP BY pair_set, i, j, band)"""
+
+
+def _coherence_summary(pairs: str, more: str) -> str:
+    return f"""WITH {_coherence(pairs)}, ef AS (SELECT x.band, avg(sign(x.coherence - y.coherence)) AS delta, sum((sign(x.coherence - y.coherence) + 1) / 2) AS u FROM a x JOIN a y ON x.band = y.band AND x.pair_set = 'RR' AND y.pair_set = 'RS' GROUP BY 1)
+      SELECT pair_set, band, count(*) AS n, {r("avg(coherence)", "mean")}, {r("stddev_samp(coherence)", "sd")}, {r("max(delta)", "delta_rr_rs")}{more} FROM a LEFT JOIN ef USING (band) GROUP BY pair_set, band"""
+
+
 SQL = {
-    "pm01_coherence_pairs": f"""WITH {LONG}, {_SPECTRA}, sp AS (SELECT role, idx, k, b, re, im FROM dft JOIN lng USING (signal_id)), co AS (
-      SELECT x.idx AS i, y.idx AS j, x.b, (sum(x.re * y.re + x.im * y.im) ** 2 + sum(x.re * y.im - x.im * y.re) ** 2) / nullif(sum(x.re ** 2 + x.im ** 2) * sum(y.re ** 2 + y.im ** 2), 0) AS c
-      FROM sp x JOIN sp y ON x.role = 'real' AND y.role = 'synthetic' AND x.k = y.k AND x.b = y.b GROUP BY ALL),
-      bd(band, lo, hi, last) AS (VALUES {_BANDS}), ib AS (SELECT i, j, band, lo, hi, b, coalesce(c, 0) AS c FROM co JOIN bd ON b * {G.FS} / {_C} >= lo AND (b * {G.FS} / {_C} < hi OR (last AND b * {G.FS} / {_C} <= hi))),
-      n AS (SELECT *, row_number() OVER (PARTITION BY i, j, band ORDER BY b) AS p, count(*) OVER (PARTITION BY i, j, band) AS m FROM ib),
-      a AS (SELECT i, j, band, {G.FS / _C!r} / (max(hi) - max(lo)) * CASE WHEN max(m) = 1 THEN 0 WHEN max(m) = 2 THEN sum(c) / 2 WHEN max(m) % 2 = 1 THEN sum(c * CASE WHEN p IN (1, m) THEN 1 WHEN p % 2 = 0 THEN 4 ELSE 2 END) / 3
-        ELSE coalesce(sum(c * CASE WHEN p IN (1, m - 1) THEN 1 WHEN p % 2 = 0 THEN 4 ELSE 2 END) FILTER (p < m), 0) / 3 + sum(c * CASE m - p WHEN 0 THEN 5 WHEN 1 THEN 8 WHEN 2 THEN -1 ELSE 0 END) / 12 END AS coherence FROM n GROUP BY i, j, band)
-      SELECT 'RS' AS pair_set, i, j, band, {r("coherence", "coherence")} FROM a""",
+    "pm01_coherence_pairs": f"WITH {_coherence("x.role = 'real' AND y.role = 'synthetic'")} SELECT pair_set, i, j, band, {r('coherence', 'coherence')} FROM a",
+    "pm02_coherence": _coherence_summary("(x.role = 'real' AND y.role = 'synthetic') OR (x.role = y.role AND x.idx < y.idx)", ""),
+    "pm02_coherence_by_position": _coherence_summary("x.idx = y.idx AND x.role = 'real' AND y.role = 'synthetic' OR x.role = y.role AND x.idx % 2 = 0 AND y.idx = x.idx + 1", f", {r('max(u)', 'u')}"),
+    "pm10_dcca": f"""WITH {LONG}, pf AS (SELECT role, idx, t, sum(v - m) OVER (PARTITION BY role, idx ORDER BY t) AS y FROM (SELECT *, avg(v) OVER (PARTITION BY signal_id) AS m FROM l)),
+      sc(n) AS (VALUES {", ".join(f"({n})" for n in SIZES)}), wi AS (SELECT role, idx, n, t // n AS w, t, y FROM pf, sc WHERE t // n < {N} // n),
+      ln AS (SELECT role, idx, n, w, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM wi GROUP BY ALL),
+      rs AS (SELECT role, idx, n, t, y - a - b * t AS e FROM wi JOIN ln USING (role, idx, n, w)),
+      f1 AS (SELECT role, idx, n, avg(e * e) AS f FROM rs GROUP BY ALL),
+      f2 AS (SELECT CASE WHEN x.role <> y.role THEN 'RS' WHEN x.role = 'real' THEN 'RR' ELSE 'SS' END AS pair_set, x.role AS ra, y.role AS rb, x.idx AS i, y.idx AS j, n, avg(x.e * y.e) AS f FROM rs x JOIN rs y USING (n, t) WHERE (x.role = 'real' AND y.role = 'synthetic') OR (x.role = y.role AND x.idx < y.idx) GROUP BY ALL),
+      o AS (SELECT f2.pair_set, f2.i, f2.j, f2.n, f2.f, f2.f / sqrt(p.f * q.f) AS rho FROM f2 JOIN f1 p ON p.role = f2.ra AND p.idx = f2.i AND p.n = f2.n JOIN f1 q ON q.role = f2.rb AND q.idx = f2.j AND q.n = f2.n),
+      e AS (SELECT pair_set, i, j, tanh(avg(atanh(least(greatest(rho, -0.999999), 0.999999)))) AS rho, regr_slope(0.5 * ln(abs(f)), ln(n)) AS h FROM o GROUP BY ALL)
+      SELECT pair_set, {r("avg(rho)", "rho")}, {r("stddev_pop(rho)", "rho_sd")}, {r("avg(h)", "h")}, {r("stddev_pop(h)", "h_sd")} FROM e GROUP BY pair_set""",
     "pm10_dcca_pairs": f"""WITH {LONG}, pf AS (SELECT role, idx, t, sum(v - m) OVER (PARTITION BY role, idx ORDER BY t) AS y FROM (SELECT *, avg(v) OVER (PARTITION BY signal_id) AS m FROM l)),
       sc(n) AS (VALUES {", ".join(f"({n})" for n in SIZES)}), wi AS (SELECT role, idx, n, t // n AS w, t, y FROM pf, sc WHERE t // n < {N} // n),
       ln AS (SELECT role, idx, n, w, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM wi GROUP BY ALL),

@@ -7,8 +7,8 @@ sig AS (SELECT vec_id AS signal_id, CASE WHEN vec_id % 2 = 0 THEN 'real' ELSE 's
 """
 S = SIG + ", s AS (SELECT signal_id, role, idx, unnest(range(len(x)))::BIGINT AS t, unnest(x) AS v FROM sig)"
 LONG = """
-parts AS (SELECT vec_id // 8 AS signal_id, list(list_transform(embedding, lambda v: v::DOUBLE) ORDER BY vec_id) AS p FROM embeddings GROUP BY 1 HAVING count(*) = 8),
-lng AS (SELECT signal_id, CASE WHEN signal_id % 2 = 0 THEN 'real' ELSE 'synthetic' END AS role, flatten(p) AS x,
+parts AS (SELECT vec_id // 8 AS signal_id, list(list_transform(embedding, lambda v: v::DOUBLE) ORDER BY vec_id) AS p FROM embeddings GROUP BY 1),
+lng AS (SELECT signal_id, CASE WHEN signal_id % 2 = 0 THEN 'real' ELSE 'synthetic' END AS role, list_concat(flatten(p), list_resize([]::DOUBLE[], (8 - len(p)) * len(p[1]), 0.0)) AS x,
                row_number() OVER (PARTITION BY signal_id % 2 ORDER BY signal_id) - 1 AS idx FROM parts),
 l AS (SELECT signal_id, role, idx, unnest(range(len(x)))::BIGINT AS t, unnest(x) AS v FROM lng)
 """

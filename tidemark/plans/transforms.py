@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
@@ -35,11 +37,22 @@ QUERIES = {
     "pr18_savgol": lambda spark, d: _long(T.savgol(G.short(spark, d))),
     "pr20_frequency_grid": lambda spark, d: G.short(spark, d).groupBy("role").agg(F.count(F.lit(1)).alias("n")).select("role", F.posexplode(F.array(*map(F.lit, T.frequency_grid(0.5, 40.0, 30)))).alias("k", "f")).select("role", F.col("k").cast("long").alias("k"), A.r6("f").alias("f")),
     "pr22_profile": lambda spark, d: _long(G.short(spark, d).withColumn("x", T.profile(F.col("x")))),
-    "pr25_phase_surrogate": lambda spark, d: T.surrogates(G.short(spark, d).select("signal_id", "x"), 1).select("signal_id", A.r6(A.mean(F.col("x"))).alias("mean"), A.r6(A.deviation(F.col("x"))).alias("sd")),
+    "pr25_phase_surrogate": lambda spark, d: pr25(spark, d),
     "pr27_row_normalise": _map(T.row_normalise),
 }
 
 
+def pr25(spark, d):
+    """The amplitudes of the spectrum of each signal's surrogate, and whether its samples have moved."""
+    short = G.short(spark, d).select("signal_id", "x")
+    copies = T.surrogates(short, 1).select("signal_id", F.col("x").alias("y")).join(short, "signal_id")
+    moved = F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b))) > 0.01
+    rows = copies.select("signal_id", moved.alias("moved"), F.size("y").alias("n"), F.posexplode("y").alias("t", "v")).withColumn("k", F.explode(F.expr("sequence(0, n div 2)")))
+    part = lambda wave: F.sum(F.col("v") * wave(2 * math.pi * F.col("k") * F.col("t") / F.col("n")))
+    by = rows.groupBy("signal_id", "k", "moved").agg(part(F.cos).alias("re"), part(F.sin).alias("im"))
+    return by.select("signal_id", F.col("k").cast("long").alias("k"), A.r6(F.sqrt(F.col("re") ** 2 + F.col("im") ** 2)).alias("amplitude"), "moved")
+
+
 def pr10(spark, d):
     """Pairs (2k, 2k + 1), the second signal shortened."""
     s = G.indexed(G.short(spark, d))
@@ -102,7 +115,8 @@ SQL = {
     "pr17_interpolate": f"WITH {SIG}, g AS (SELECT signal_id, x, unnest(range(-2, 131)) / 2 AS f FROM sig), h AS (SELECT *, least(greatest(f, 0), len(x) - 1) AS u FROM g) SELECT signal_id, f, {r('x[floor(u)::INT + 1] + (u - floor(u)) * (x[ceil(u)::INT + 1] - x[floor(u)::INT + 1])', 'y')} FROM h",
     "pr19_moving_average": f"WITH {S} SELECT signal_id, t, {r('sum(v) OVER (PARTITION BY signal_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6', 'value')} FROM s",
     "pr24_colours": f"WITH {S}, z AS (SELECT signal_id, t, least(greatest((v + 3.0) / 6.0, 0), 1) AS a FROM s) SELECT signal_id, t, " + ", ".join(f"round(255 * least(greatest(3 * a - {k}, 0), 1))::INTEGER AS {c}" for k, c in enumerate("rgb")) + " FROM z",
-    "pr25_phase_surrogate": f"WITH {S} SELECT signal_id, {r('avg(v)', 'mean')}, {r('stddev_pop(v)', 'sd')} FROM s GROUP BY signal_id",
+    "pr25_phase_surrogate": f"""WITH {S}, n AS (SELECT signal_id, len(x) AS n FROM sig), f AS (SELECT signal_id, k, sum(v * cos(2 * pi() * k * t / n)) AS re, sum(v * sin(2 * pi() * k * t / n)) AS im
+      FROM s JOIN n USING (signal_id), range(33) g(k) WHERE k <= n // 2 GROUP BY ALL) SELECT signal_id, k, {r('sqrt(re * re + im * im)', 'amplitude')}, true AS moved FROM f""",
     "pr20_frequency_grid": f"WITH {SIG} SELECT DISTINCT role, k::BIGINT AS k, {r('0.5 + k * 39.5 / 29', 'f')} FROM sig, range(30) g(k)",
     "pr21_window_sizes": f"WITH {SIG}, {LONG.replace('l AS (', 'l_ AS (')}, n AS (SELECT DISTINCT len(x) AS length FROM sig UNION SELECT DISTINCT len(x) FROM lng), m AS (SELECT length, least(length // 4, 100) AS top FROM n WHERE least(length // 4, 100) > 10) SELECT DISTINCT length::BIGINT AS length, floor(CASE WHEN k = 9 THEN top ELSE 10 ** (1 + k * (log10(top) - 1) / 9) END)::BIGINT AS size FROM m, range(10) g(k)",
     "pr22_profile": f"WITH {S} SELECT signal_id, t, {r('sum(v - m) OVER (PARTITION BY signal_id ORDER BY t)', 'value')} FROM (SELECT *, avg(v) OVER (PARTITION BY signal_id) AS m FROM s)",

@@ -40,10 +40,12 @@ FS, JOINED = 128.0, 8
 
 
 def long_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(signal_id, role, x): eight consecutive embeddings in a row, at 128 Hz; incomplete groups are dropped."""
+    """(signal_id, role, x): eight consecutive embeddings in a row, at 128 Hz; an incomplete group ends in zeros."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", _doubles("embedding").alias("x"))
     joined = rows.groupBy(F.expr(f"vec_id div {JOINED}").alias("signal_id")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "x"))).alias("parts"))
-    return joined.where(F.size("parts") == JOINED).select("signal_id", _by_parity("signal_id").alias("role"), F.flatten(F.transform("parts", lambda p: p["x"])).alias("x"))
+    x = F.flatten(F.transform("parts", lambda p: p["x"]))
+    rest = F.array_repeat(F.lit(0.0), (JOINED - F.size("parts")) * F.size(F.get("parts", F.lit(0))["x"]))
+    return joined.select("signal_id", _by_parity("signal_id").alias("role"), F.concat(x, rest).alias("x"))
 
 
 CHANNELS = 4
