@@ -223,6 +223,34 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     return float(ssim), float(np.sqrt(((a - b) ** 2).mean()) / (high - low)), float((a * b).sum() / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12))
 
 
+def colour_similarity(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+    """(SSIM of the images in colour, averaged over the three channels of 0 to 255, NRMSE, cosine); both on one scale of intensities."""
+    low, high = min(a.min(), b.min()), max(a.max(), b.max())
+    if high <= low:
+        high = low + 1e-6
+    level = lambda x: (x - low) / (high - low)
+    channels = [tuple(np.round(255 * np.clip(3 * level(x) - k, 0, 1)) for x in (a, b)) for k in range(3)]
+    fix, c1, c2, found = 49 / 48, (0.01 * 255) ** 2, (0.03 * 255) ** 2, []
+    for u, v in channels:
+        mu, mv = _box(u, 7), _box(v, 7)
+        su, sv, suv = (fix * (_box(p * q, 7) - m * n) for p, q, m, n in ((u, u, mu, mu), (v, v, mv, mv), (u, v, mu, mv)))
+        found.append(((2 * mu * mv + c1) * (2 * suv + c2) / ((mu * mu + mv * mv + c1) * (su + sv + c2))).mean())
+    return float(np.mean(found)), float(np.sqrt(((a - b) ** 2).mean()) / (high - low)), float((a * b).sum() / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12))
+
+
+def mean_scalogram_similarity(means: DataFrame, freqs: int) -> DataFrame:
+    """(ssim, nrmse, cosine) of the two roles' mean scalograms (role, f, t, amplitude): two images, whatever the number of signals."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            images = [np.array(rows["x"][rows["role"] == g].iloc[0], float).reshape(freqs, -1) for g in ("real", "synthetic")]
+            yield pd.DataFrame([colour_similarity(*images)], columns=["ssim", "nrmse", "cosine"])
+
+    images = means.groupBy("role").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "t", "amplitude"))), lambda s: s["amplitude"]).alias("x"))
+    both = images.where(F.col("role").isin("real", "synthetic")).coalesce(1)
+    return both.mapInPandas(lambda batches: run([pd.concat(list(batches), ignore_index=True)]), "ssim double, nrmse double, cosine double")
+
+
 def scalogram_similarity(images: DataFrame, n_freqs: int, sets: tuple[str, ...] = ("RR", "RS", "SS")) -> DataFrame:
     """(pair_set, i, j, ssim, nrmse, cosine) of all pairs of scalograms (role, idx, x) of one size."""
 

@@ -74,6 +74,11 @@ def ag31_tests(spark, d):
     return _round(p.join(z, "feature", "left"), "feature")
 
 
+def pm15(spark, d):
+    """The similarity in colour of the mean scalograms of both roles."""
+    return _round(X.mean_scalogram_similarity(X.mean_scalogram(_images(spark, d), N, G.FS, FREQS), len(FREQS)))
+
+
 def pm04(spark, d):
     return _round(X.spectral_wasserstein(_idx(spark, d), CONFIG, N), "band")
 
@@ -216,7 +221,7 @@ def pl02(spark, d):
 QUERIES = {
     "pm01_coherence_pairs": pm01, "pm02_coherence": pm02, "pm04_spectral_wasserstein": pm04, "fe07_scalogram": fe07, "fe09_mean_scalogram": fe09, "fe10_band_envelope": fe10, "pm05_scalogram_similarity": pm05,
     "pm10_dcca": pm10, "pm10_dcca_pairs": pm10_pairs, "pm11_mfdcca": pm11, "pm13_entropy_differences": pm13, "fe22_surrogate_z": fe22, "ag31_entropy_metrics": ag31,
-    "pm02_coherence_tests": pm02_tests, "pm02_coherence_by_position": pm02_zip, "pm08_scalograms_all": pm08_all, "pm13_three_entropies": pm13_three, "ag31_entropy_tests": ag31_tests, "ag32_envelope_bursts": ag32_envelope,
+    "pm15_mean_scalogram_colours": pm15, "pm02_coherence_tests": pm02_tests, "pm02_coherence_by_position": pm02_zip, "pm08_scalograms_all": pm08_all, "pm13_three_entropies": pm13_three, "ag31_entropy_tests": ag31_tests, "ag32_envelope_bursts": ag32_envelope,
     "sc05_frequency_score": sc05, "sc07_time_frequency_score": sc07, "sc08_complexity_score": sc08, "sc10_fidelity_score": sc10, "pl01_hjorth_histogram": pl01, "pl02_mean_psd": pl02,
 }
 
