@@ -159,6 +159,12 @@ SQL = {
       a AS (SELECT signal_id, count(*) AS n, avg(duration_s) AS md, median(duration_s) AS dd, avg(peak) AS mp, median(peak) AS dp, avg(ibi) AS mi, median(ibi) AS di, sum(duration_s) AS busy FROM ib GROUP BY 1)
       SELECT signal_id, coalesce(n, 0)::BIGINT AS n_bursts, {r("coalesce(n / 4.0, 0)", "rate_hz")}, {r("coalesce(md, 0)", "mean_duration")}, {r("coalesce(dd, 0)", "median_duration")}, {r("coalesce(mp, 0)", "mean_peak")},
              {r("coalesce(dp, 0)", "median_peak")}, {r("mi", "mean_ibi")}, {r("di", "median_ibi")}, {r("coalesce(busy / 4.0, 0)", "duty_cycle")} FROM lng LEFT JOIN a USING (signal_id)""",
+    "fe15_lz_complexity": f"""WITH RECURSIVE {S}, md AS (SELECT signal_id, median(v) AS m, count(*) AS n FROM s GROUP BY 1),
+      st AS (SELECT signal_id, n, string_agg(CASE WHEN v > m THEN '1' ELSE '0' END, '' ORDER BY t) AS b FROM s JOIN md USING (signal_id) GROUP BY ALL),
+      w(signal_id, n, b, pos, size, words) AS (SELECT signal_id, n, b, 0, 1, 0 FROM st UNION ALL
+        SELECT signal_id, n, b, CASE WHEN old THEN pos ELSE pos + size END, CASE WHEN old THEN size + 1 ELSE 1 END, words + CASE WHEN old THEN 0 ELSE 1 END
+        FROM (SELECT *, contains(b[1:pos + size - 1], b[pos + 1:pos + size]) AS old FROM w WHERE pos + size <= n))
+      SELECT signal_id, {r("(max(words) + max(CASE WHEN pos < n AND pos + size > n THEN 1 ELSE 0 END)) * log2(max(n)) / max(n)", "value")} FROM w GROUP BY signal_id""",
     "fe13_sample_entropy": f"""WITH {S}, sd AS (SELECT signal_id, 0.2 * (stddev_pop(v) + 1e-12) AS r FROM s GROUP BY 1), tp AS (SELECT signal_id, t, v AS a, lead(v) OVER w AS b, lead(v, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY t)),
       m AS (SELECT x.signal_id, count(*) FILTER (x.b IS NOT NULL AND y.b IS NOT NULL AND abs(x.a - y.a) <= r AND abs(x.b - y.b) <= r) AS m2,
                    count(*) FILTER (x.c IS NOT NULL AND y.c IS NOT NULL AND abs(x.a - y.a) <= r AND abs(x.b - y.b) <= r AND abs(x.c - y.c) <= r) AS m3 FROM tp x JOIN tp y ON x.signal_id = y.signal_id AND x.t <> y.t JOIN sd ON sd.signal_id = x.signal_id GROUP BY 1)

@@ -160,7 +160,7 @@ QUERIES = {
     "jn11_nearest_dtw": pm12,
     "jn13_two_sided": _nearest("l2", ("RS", "SR", "RR")),
     "jn15_stratified_split": lambda spark, d: G.short(spark, d).where("role = 'real'").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / 2).cast("long").alias("members")),
-    "pm04_zip_l2": lambda spark, d: _round(P.attach(P.zip_pairs(_idx(spark, d), "RS"), _idx(spark, d), "x").select("i", A.euclidean(F.col("left.x"), F.col("right.x")).alias("d")), "i"),
+    "jn03_zip_l2": lambda spark, d: _round(P.attach(P.zip_pairs(_idx(spark, d), "RS"), _idx(spark, d), "x").select("i", A.euclidean(F.col("left.x"), F.col("right.x")).alias("d")), "i"),
     "pm09_frobenius": pm09,
     "pm14_euclidean": lambda spark, d: P.distances(_idx(spark, d)).groupBy("pair_set", "i").agg(A.r6(F.sum("d")).alias("total")),
     "ag01_mean_sd": lambda spark, d: _hjorth_long(spark, d).groupBy("role", "feature").agg(A.r6(F.avg("value")).alias("mean"), A.r6(F.stddev_samp("value")).alias("sd")),
@@ -253,7 +253,7 @@ SQL = {
     "jn10_nearest_cosine": f"WITH {SIG}, d AS (SELECT 'RS' AS pair_set, a.idx AS i, b.idx AS j, {_COSZ} AS d FROM sig a JOIN sig b ON a.role = 'real' AND b.role = 'synthetic'), {_NN.format('d')} SELECT pair_set, i, j, {r('d', 'd')} FROM nn",
     "jn13_two_sided": f"WITH {_DIST}, e AS (SELECT * FROM d WHERE pair_set <> 'SS' UNION ALL SELECT 'SR', j, i, d FROM d WHERE pair_set = 'RS'), {_NN.format('e')} SELECT pair_set, i, j, {r('d / 8', 'd')} FROM nn",
     "jn15_stratified_split": f"WITH {SIG} SELECT label, count(*) AS n, ceil(count(*) / 2)::BIGINT AS members FROM sig WHERE role = 'real' GROUP BY label",
-    "pm04_zip_l2": f"WITH {SIG} SELECT a.idx AS i, {r('list_distance(a.x, b.x)', 'd')} FROM sig a JOIN sig b ON a.role = 'real' AND b.role = 'synthetic' AND a.idx = b.idx",
+    "jn03_zip_l2": f"WITH {SIG} SELECT a.idx AS i, {r('list_distance(a.x, b.x)', 'd')} FROM sig a JOIN sig b ON a.role = 'real' AND b.role = 'synthetic' AND a.idx = b.idx",
     "pm09_frobenius": f"WITH {_SPATIAL} SELECT pair_set, i, j, {r('d', 'd')} FROM fd",
     "pm14_euclidean": f"WITH {_DIST} SELECT pair_set, i, {r('sum(d)', 'total')} FROM d WHERE pair_set = 'RS' OR i < j GROUP BY pair_set, i",
     "ag01_mean_sd": f"WITH {_HJ} SELECT role, feature, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'sd')} FROM hl GROUP BY role, feature",

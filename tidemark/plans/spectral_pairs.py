@@ -229,6 +229,7 @@ _C = CONFIG.coherence_segment(N)
 _STEP = _C - int(_C * 0.5)
 _SPECTRA = _welch(_C, _STEP).split("psd AS (SELECT")[0].rstrip().rstrip(",")
 _BANDS = ", ".join(f"('{n}', {a}, {b}, {str(b >= CONFIG.band[1]).lower()})" for n, a, b in X.coherence_bands(CONFIG))
+_INSIDE = ", ".join(f"('{n}', {max(0, math.ceil(a * N / G.FS))}, {math.floor(b * N / G.FS)})" for n, a, b in X.coherence_bands(CONFIG) if math.floor(b * N / G.FS) > max(0, math.ceil(a * N / G.FS)))
 
 
 def _coherence(pairs: str) -> str:
@@ -251,6 +252,11 @@ SQL = {
     "pm01_coherence_pairs": f"WITH {_coherence("x.role = 'real' AND y.role = 'synthetic'")} SELECT pair_set, i, j, band, {r('coherence', 'coherence')} FROM a",
     "pm02_coherence": _coherence_summary("(x.role = 'real' AND y.role = 'synthetic') OR (x.role = y.role AND x.idx < y.idx)", ""),
     "pm02_coherence_by_position": _coherence_summary("x.idx = y.idx AND x.role = 'real' AND y.role = 'synthetic' OR x.role = y.role AND x.idx % 2 = 0 AND y.idx = x.idx + 1", f", {r('max(u)', 'u')}"),
+    "pm04_spectral_wasserstein": f"""WITH {LONG}, {_welch(N, N // 2)}, pp AS (SELECT role, idx, bin, p FROM psd JOIN lng USING (signal_id)), bd(band, lo, hi) AS (VALUES {_INSIDE}),
+      sh AS (SELECT role, idx, band, bin, p / sum(p) OVER (PARTITION BY role, idx, band) AS s FROM pp JOIN bd ON bin BETWEEN lo AND hi),
+      pr AS (SELECT CASE WHEN y.role = 'real' THEN 'RR' ELSE 'RS' END AS ps, x.idx, band, bin, x.s - y.s AS e FROM sh x JOIN sh y USING (band, bin) WHERE x.role = 'real' AND ((y.role = 'synthetic' AND y.idx = x.idx) OR (y.role = 'real' AND y.idx = x.idx + 1))),
+      d AS (SELECT ps, idx, band, sum(abs(c)) * {G.FS / N!r} AS d FROM (SELECT *, sum(e) OVER (PARTITION BY ps, idx, band ORDER BY bin) AS c FROM pr) GROUP BY ALL)
+      SELECT band, {r("avg(d) FILTER (ps = 'RS')", "wd_hz")}, {r("CASE WHEN count(*) FILTER (ps = 'RR') >= 5 THEN (avg(d) FILTER (ps = 'RS') - avg(d) FILTER (ps = 'RR')) / nullif(stddev_samp(d) FILTER (ps = 'RR'), 0) END", "z_wd")} FROM d GROUP BY band""",
     "pm10_dcca": f"""WITH {LONG}, pf AS (SELECT role, idx, t, sum(v - m) OVER (PARTITION BY role, idx ORDER BY t) AS y FROM (SELECT *, avg(v) OVER (PARTITION BY signal_id) AS m FROM l)),
       sc(n) AS (VALUES {", ".join(f"({n})" for n in SIZES)}), wi AS (SELECT role, idx, n, t // n AS w, t, y FROM pf, sc WHERE t // n < {N} // n),
       ln AS (SELECT role, idx, n, w, regr_slope(y, t) AS b, regr_intercept(y, t) AS a FROM wi GROUP BY ALL),
