@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import arrays as A
@@ -179,3 +181,13 @@ SQL = {
       SELECT signal_id, {r("max(alpha) - min(alpha)", "delta_alpha")} FROM al GROUP BY signal_id""",
     "fe19_channel_correlation": f"WITH {CHAN} SELECT a.sample_id, a.channel AS c1, b.channel AS c2, {r('corr(a.v, b.v)', 'rho')} FROM c a JOIN c b ON a.sample_id = b.sample_id AND a.t = b.t AND a.channel < b.channel GROUP BY ALL",
 }
+
+
+def unrounded(sql: str) -> str:
+    """A twin's statement with `value` as it is before rounding."""
+    return re.sub(r"round\(CASE WHEN isfinite\((.*)\) THEN \1 END, 6\) \+ 0\.0 AS value", r"CASE WHEN isfinite(\1) THEN \1 END AS value", sql, flags=re.DOTALL)
+
+
+#: CTE el (role, idx, feature, value): the three entropies of every signal.
+ENTROPIES = f"""{SIG}, en AS ({" UNION ALL ".join(f"SELECT '{name}' AS feature, signal_id, value FROM ({unrounded(SQL[key])})" for name, key in (("SampEn", "fe13_sample_entropy"), ("PermEn", "fe14_permutation_entropy"), ("LZC", "fe15_lz_complexity")))}),
+el AS (SELECT role, idx, feature, round(value, 9) AS value FROM en JOIN sig USING (signal_id))"""

@@ -14,8 +14,8 @@ from tidemark.operators import measures as M
 from tidemark.operators import pairs as P
 from tidemark.operators import spectral_pairs as X
 from tidemark.operators import transforms as T
-from tidemark.plans.features import BURST_FEATURES, CONFIG, QS, SIZES, _welch
-from tidemark.plans.sql import LONG, S, r
+from tidemark.plans.features import BURST_FEATURES, CONFIG, ENTROPIES, QS, SIZES, _welch
+from tidemark.plans.sql import LONG, S, r, w1
 from tidemark.sources import signals as G
 
 N = 512
@@ -59,11 +59,20 @@ def pm08_all(spark, d):
     return _round(X.compare_pair_sets(rows, "metric", "value"), "metric", "pair_set", "n")
 
 
+def _entropy_pairs(spark, d):
+    e = E.entropies(P.indexed(G.short(spark, d)), ("role", "idx")).select("role", "idx", *(F.round(c, 9).alias(c) for c in ("SampEn", "PermEn", "LZC")))
+    parts = [P.distances(e.where(A.finite(F.col(c))).select("role", "idx", F.array(c).alias("x"))).select(F.lit(c).alias("statistic"), "pair_set", F.round("d", 12).alias("value")) for c in ("SampEn", "PermEn", "LZC")]
+    return X.compare_pair_sets(functools.reduce(lambda a, b: a.unionByName(b), parts), "statistic", "value")
+
+
 def pm13_three(spark, d):
-    """Absolute differences of all three entropies between signals: mean by set, and RR against RS."""
-    e = E.entropies(P.indexed(G.short(spark, d)), ("role", "idx"))
-    parts = [P.distances(e.where(A.finite(F.col(c))).select("role", "idx", F.array(c).alias("x"))).select(F.lit(c).alias("statistic"), "pair_set", F.col("d").alias("value")) for c in ("SampEn", "PermEn", "LZC")]
-    return _round(X.compare_pair_sets(functools.reduce(lambda a, b: a.unionByName(b), parts), "statistic", "value"), "statistic", "pair_set", "n")
+    """Absolute differences of all three entropies between signals: mean and deviation by set, and RR against RS."""
+    return _round(_entropy_pairs(spark, d).drop("p"), "statistic", "pair_set", "n")
+
+
+def pm13_tests(spark, d):
+    """The Mann-Whitney test of RR against RS on those differences."""
+    return _round(_entropy_pairs(spark, d).where("pair_set = 'RS'").select("statistic", "p"), "statistic")
 
 
 def ag31_tests(spark, d):
@@ -139,7 +148,9 @@ def pm11(spark, d):
 
 
 def _entropies(spark, d):
-    return M.unpivoted(E.entropies(P.indexed(G.short(spark, d)), ("role", "idx")), ("SampEn", "PermEn", "LZC"))
+    """Rounded, so that equal entropies are equal in whatever order their terms were added."""
+    own = E.entropies(P.indexed(G.short(spark, d)), ("role", "idx"))
+    return M.unpivoted(own, ("SampEn", "PermEn", "LZC")).withColumn("value", F.round("value", 9))
 
 
 def ag31(spark, d):
@@ -221,7 +232,7 @@ def pl02(spark, d):
 QUERIES = {
     "pm01_coherence_pairs": pm01, "pm02_coherence": pm02, "pm04_spectral_wasserstein": pm04, "fe07_scalogram": fe07, "fe09_mean_scalogram": fe09, "fe10_band_envelope": fe10, "pm05_scalogram_similarity": pm05,
     "pm10_dcca": pm10, "pm10_dcca_pairs": pm10_pairs, "pm11_mfdcca": pm11, "pm13_entropy_differences": pm13, "fe22_surrogate_z": fe22, "ag31_entropy_metrics": ag31,
-    "pm15_mean_scalogram_colours": pm15, "pm02_coherence_tests": pm02_tests, "pm02_coherence_by_position": pm02_zip, "pm08_scalograms_all": pm08_all, "pm13_three_entropies": pm13_three, "ag31_entropy_tests": ag31_tests, "ag32_envelope_bursts": ag32_envelope,
+    "pm15_mean_scalogram_colours": pm15, "pm02_coherence_tests": pm02_tests, "pm02_coherence_by_position": pm02_zip, "pm08_scalograms_all": pm08_all, "pm13_three_entropies": pm13_three, "pm13_entropy_tests": pm13_tests, "ag31_entropy_tests": ag31_tests, "ag32_envelope_bursts": ag32_envelope,
     "sc05_frequency_score": sc05, "sc07_time_frequency_score": sc07, "sc08_complexity_score": sc08, "sc10_fidelity_score": sc10, "pl01_hjorth_histogram": pl01, "pl02_mean_psd": pl02,
 }
 
@@ -274,6 +285,12 @@ SQL = {
       f2 AS (SELECT x.idx AS i, y.idx AS j, n, avg(x.e * y.e) AS f FROM rs x JOIN rs y USING (n, t) WHERE x.role = 'real' AND y.role = 'synthetic' GROUP BY ALL),
       o AS (SELECT f2.i, f2.j, f2.n, f2.f, f2.f / sqrt(p.f * q.f) AS rho FROM f2 JOIN f1 p ON p.role = 'real' AND p.idx = f2.i AND p.n = f2.n JOIN f1 q ON q.role = 'synthetic' AND q.idx = f2.j AND q.n = f2.n)
       SELECT i, j, {r("tanh(avg(atanh(least(greatest(rho, -0.999999), 0.999999))))", "rho")}, {r("regr_slope(0.5 * ln(abs(f)), ln(n))", "h")} FROM o GROUP BY i, j""",
+    "ag31_entropy_metrics": f"""WITH {ENTROPIES}, {w1("el", "feature")}, m AS (SELECT feature, avg(value) FILTER (role = 'real') AS rm, avg(value) FILTER (role = 'synthetic') AS sm, stddev_pop(value) FILTER (role = 'real') AS sd FROM el GROUP BY 1)
+      SELECT feature, {r("rm", "real_mean")}, {r("sm", "synthetic_mean")}, {r("w1", "w1")}, {r("w1 / nullif(sd, 0)", "w1_norm")}, {r("delta", "delta")} FROM cmp JOIN m USING (feature)""",
+    "pm13_three_entropies": f"""WITH {ENTROPIES}, ds AS (SELECT x.feature AS statistic, CASE WHEN x.role <> y.role THEN 'RS' WHEN x.role = 'real' THEN 'RR' ELSE 'SS' END AS pair_set, abs(x.value - y.value) AS value
+        FROM el x JOIN el y ON x.feature = y.feature AND ((x.role = 'real' AND y.role = 'synthetic') OR (x.role = y.role AND x.idx < y.idx)) WHERE x.value IS NOT NULL AND y.value IS NOT NULL),
+      rs AS (SELECT statistic, CASE pair_set WHEN 'RR' THEN 'real' ELSE 'synthetic' END AS role, round(value, 12) AS value FROM ds WHERE pair_set <> 'SS'), {w1("rs", "statistic")}
+      SELECT statistic, pair_set, count(*) AS n, {r("avg(value)", "mean")}, {r("stddev_samp(value)", "sd")}, {r("max(u)", "u")}, {r("max(delta)", "delta")} FROM ds LEFT JOIN cmp USING (statistic) GROUP BY statistic, pair_set""",
     "pm13_entropy_differences": f"""WITH {S}, p AS (SELECT signal_id, role, idx, v AS a, lead(v) OVER w AS b, lead(v, 2) OVER w AS c FROM s WINDOW w AS (PARTITION BY signal_id ORDER BY t)),
       k AS (SELECT signal_id, role, idx, count(*) AS n FROM p WHERE c IS NOT NULL GROUP BY signal_id, role, idx, a > b, a > c, b > c),
       e AS (SELECT role, idx, sum(-(n / 62.0) * ln(n / 62.0 + 1e-12)) / ln(6) AS v FROM k GROUP BY role, idx),
