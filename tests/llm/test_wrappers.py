@@ -159,3 +159,17 @@ def test_extract(spark):
     blank = learned.withColumn("wrapper", W.F.lit(json.dumps(["", 0, 0, [], 0])))
     assert {r.text for r in W.extract(df, blank).collect()} == {""}
     assert {r.text for r in W.extract(df, learned.limit(0)).collect()} == {""}
+
+
+def article(i):
+    return (
+        f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title {i}</h1><div>Summary</div><blockquote>The same motto.</blockquote>"
+        f"<p>Words of page {i} that no other page has, {i * 7919}.</p><ul>{''.join(f'<li><a href=/r{k}>Reference {k}</a>' for k in range(4))}</ul></article><footer>Imprint</footer></body></html>"
+    )
+
+
+def test_a_text_does_not_depend_on_the_number_of_neighbours():
+    """Texts of an article that all pages share, and its list of references, stay with any number of pages."""
+    want = "Title 0 Summary The same motto. Words of page 0 that no other page has, 0. Reference 0 Reference 1 Reference 2 Reference 3"
+    for pages in ([0], [0, 1, 2], [0, 1, 2, 3], [0, 0, 0, 0], list(range(12))):
+        assert text_of(article(0), W.decide(learned_from(*map(article, pages)))) == want
