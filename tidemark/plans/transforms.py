@@ -115,6 +115,11 @@ SQL = {
     "pr17_interpolate": f"WITH {SIG}, g AS (SELECT signal_id, x, unnest(range(-2, 131)) / 2 AS f FROM sig), h AS (SELECT *, least(greatest(f, 0), len(x) - 1) AS u FROM g) SELECT signal_id, f, {r('x[floor(u)::INT + 1] + (u - floor(u)) * (x[ceil(u)::INT + 1] - x[floor(u)::INT + 1])', 'y')} FROM h",
     "pr19_moving_average": f"WITH {S} SELECT signal_id, t, {r('sum(v) OVER (PARTITION BY signal_id ORDER BY t ROWS BETWEEN 3 PRECEDING AND 2 FOLLOWING) / 6', 'value')} FROM s",
     "pr24_colours": f"WITH {S}, z AS (SELECT signal_id, t, least(greatest((v + 3.0) / 6.0, 0), 1) AS a FROM s) SELECT signal_id, t, " + ", ".join(f"round(255 * least(greatest(3 * a - {k}, 0), 1))::INTEGER AS {c}" for k, c in enumerate("rgb")) + " FROM z",
+    "pr18_savgol": f"""WITH {S}, w AS (SELECT signal_id, t, greatest(0, least(t - 5, count(*) OVER (PARTITION BY signal_id) - 11)) AS a FROM s),
+      j AS (SELECT w.signal_id, w.t, w.t - a - 5 AS q, y.t - a - 5 AS i, y.v FROM w JOIN s y ON y.signal_id = w.signal_id AND y.t BETWEEN a AND a + 10)
+      SELECT signal_id, t, {r("sum(v * (1 / 11.0::DOUBLE + q * i / 110.0::DOUBLE + (q * q - 10) * (i * i - 10) / 858.0::DOUBLE + (q ** 3 - 17.8::DOUBLE * q) * (i ** 3 - 17.8::DOUBLE * i) / 6177.6::DOUBLE))", "value")} FROM j GROUP BY signal_id, t""",
+    "pr03_resample": f"""WITH {LONG}, x AS (SELECT signal_id, k, sum(v * cos(2 * pi() * ((k * t) % 512) / 512)) AS re, -sum(v * sin(2 * pi() * ((k * t) % 512) / 512)) AS im FROM l, range(201) g(k) GROUP BY ALL)
+      SELECT signal_id, t, {r("sum((re * cos(2 * pi() * ((k * t) % 400) / 400) - im * CASE WHEN k = 200 THEN 0 ELSE sin(2 * pi() * ((k * t) % 400) / 400) END) * CASE k WHEN 0 THEN 1 ELSE 2 END) / 512", "value")} FROM x, range(400) h(t) GROUP BY signal_id, t""",
     "pr25_phase_surrogate": f"""WITH {S}, n AS (SELECT signal_id, len(x) AS n FROM sig), f AS (SELECT signal_id, k, sum(v * cos(2 * pi() * k * t / n)) AS re, sum(v * sin(2 * pi() * k * t / n)) AS im
       FROM s JOIN n USING (signal_id), range(33) g(k) WHERE k <= n // 2 GROUP BY ALL) SELECT signal_id, k, {r('sqrt(re * re + im * im)', 'amplitude')}, true AS moved FROM f""",
     "pr20_frequency_grid": f"WITH {SIG} SELECT DISTINCT role, k::BIGINT AS k, {r('0.5 + k * 39.5 / 29', 'f')} FROM sig, range(30) g(k)",
