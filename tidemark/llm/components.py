@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import checkpoint
 
 
+#: Edges in a partition between rounds, at least.
+EDGES = 50_000
+
+
 def _state(edges: DataFrame) -> tuple:
     h = F.xxhash64("hi", "lo")
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.shiftrightunsigned(h, 24))).first())
@@ -32,7 +36,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         own = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(own, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         new = checkpoint(moved.unionByName(own.select("hi", F.col("m").alias("lo"))).distinct())
-        before, state, now = state, _state(new), new
+        before, state = state, _state(new)
+        # few edges in few partitions; the round's shuffle files go as soon as the driver has collected its garbage
+        now = new.coalesce(max(1, -(-state[0] // EDGES)))
+        edges.sparkSession._jvm.System.gc()
         if state == before:
             break
     else:

@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         now = rows.select("id", "n", "at", "token")
         now = now if roots is None else now.join(roots, "id", "left")
         now = now.withColumn("root", F.col("id") if roots is None else F.coalesce("root", "id"))
-        by = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id", "n", "root")).alias("p"))
+        by = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id", "n", "at", "root")).alias("p"))
         open_ = by.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("linked"), F.min("p").alias("p"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         open_ = materialize(open_.select("token", "p"), "similar-open")
         if open_.isEmpty():
@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = apart.join(a, ["token", "root_a"]).join(b, ["token", "root_b"])
             pairs = pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
         else:
-            pairs = now.where("root <> p.root and 5 * least(n, p.n) >= 4 * greatest(n, p.n)").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
+            # what is left of both sets from their first common shingle on must reach the similarity
+            pairs = now.where("root <> p.root and 5 * least(n, p.n) >= 4 * greatest(n, p.n) and 9 * least(n - at, p.n - p.at) >= 4 * (n + p.n)").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
         pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "similar-candidates")
         stored.append(pairs)
