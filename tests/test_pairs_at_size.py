@@ -42,3 +42,15 @@ def test_pairs_are_not_shuffled(spark):
     d = np.linalg.norm(real[:, None] - syn[None], axis=2)
     by = {r.pair_set: r for r in P.mean_distances(frame(spark, real, syn), sets=("RS",)).collect()}
     assert math.isclose(by["RS"].mean, d.mean(), abs_tol=1e-9) and math.isclose(by["RS"].sd, d.std(), abs_tol=1e-9)
+
+
+def test_queries_are_not_sent_to_slabs(spark):
+    """Only the k nearest of each query leave a task; what meets is read, not shuffled."""
+    from tidemark.operators.neighbours import nearest_k
+
+    rng = np.random.default_rng(5)
+    df = nearest_k(frame(spark, rng.normal(size=(90, 4)), rng.normal(size=(60, 4))), 2, ("RS",), size=8)
+    text = plan(df)
+    met = text[text.index("CartesianProduct") :]
+    assert "Exchange" not in met and text.count("Exchange") == 1
+    assert df.count() == 180
