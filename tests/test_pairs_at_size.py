@@ -6,6 +6,7 @@ import numpy as np
 
 from tidemark.operators import measures as M
 from tidemark.operators import pairs as P
+from tidemark.operators import spectral_pairs as X
 
 SCHEMA = "signal_id long, role string, idx long, x array<double>"
 
@@ -54,3 +55,25 @@ def test_queries_are_not_sent_to_slabs(spark):
     met = text[text.index("CartesianProduct") :]
     assert "Exchange" not in met and text.count("Exchange") == 1
     assert df.count() == 180
+
+
+def test_compared_over_many_ranges(spark, monkeypatch):
+    """Ranks of all pairs' values in small ranges, with ties, against the formula; values leave a task as arrays of a range."""
+    rng = np.random.default_rng(6)
+    real, syn = np.round(rng.normal(size=30), 1), np.round(rng.normal(size=25) + 0.3, 1)
+    monkeypatch.setattr(P, "RANGE", 100)
+    monkeypatch.setattr(P, "HELD", 50)
+    rows = [("real", "x", float(v)) for v in real] + [("synthetic", "x", float(v)) for v in syn] + [("real", "x", None)]
+    values = spark.createDataFrame(rows, "role string, statistic string, value double")
+    rr = np.round(np.abs(real[:, None] - real)[np.triu_indices(30, 1)], 12)
+    rs = np.round(np.abs(real[:, None] - syn), 12).ravel()
+    ss = np.round(np.abs(syn[:, None] - syn)[np.triu_indices(25, 1)], 12)
+    sign = np.sign(rr[:, None] - rs)
+    counts = np.unique(np.concatenate([rr, rs]), return_counts=True)[1].astype(float)
+    got = {r.pair_set: r for r in X.differences_compared(values, ["x"]).collect()}
+    for name, d in (("RR", rr), ("RS", rs), ("SS", ss)):
+        assert got[name].n == len(d) and math.isclose(got[name].mean, d.mean()) and math.isclose(got[name].sd, d.std(ddof=1))
+    assert math.isclose(got["RS"].delta, sign.mean(), abs_tol=1e-12) and math.isclose(got["RS"].u, ((sign + 1) / 2).sum())
+    assert math.isclose(got["RS"].ties, (counts**3 - counts).sum())
+    means = {r.pair_set: r.mean for r in X.mean_differences(values).collect()}
+    assert all(math.isclose(means[name], d.mean()) for name, d in (("RR", rr), ("RS", rs), ("SS", ss)))
