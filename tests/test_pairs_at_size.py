@@ -77,3 +77,14 @@ def test_compared_over_many_ranges(spark, monkeypatch):
     assert math.isclose(got["RS"].ties, (counts**3 - counts).sum())
     means = {r.pair_set: r.mean for r in X.mean_differences(values).collect()}
     assert all(math.isclose(means[name], d.mean()) for name, d in (("RR", rr), ("RS", rs), ("SS", ss)))
+
+
+def test_warping_keeps_plans_short(spark):
+    """Each pass reads stored tables; nothing is cached, and no plan repeats the passes before it."""
+    from tidemark.operators.warping import nearest_warped
+
+    rng = np.random.default_rng(7)
+    df = nearest_warped(frame(spark, rng.normal(size=(9, 4)), rng.normal(size=(7, 4))), ("RS", "RR"), 4)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in text and text.count("MapInArrow") == 2
+    assert df.count() == 18
