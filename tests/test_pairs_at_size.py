@@ -88,3 +88,24 @@ def test_warping_keeps_plans_short(spark):
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" not in text and text.count("MapInArrow") == 2
     assert df.count() == 18
+
+
+def test_frobenius_of_incomplete_samples(spark, tmp_path):
+    """pm09 and sc09 over a table whose last sample lacks channels."""
+    from tidemark import catalog
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(22, 8))
+    spark.createDataFrame([(k, k % 10, v.tolist()) for k, v in enumerate(x)], "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    rho = np.zeros((6, 6))
+    for s in range(6):
+        own = np.corrcoef(x[4 * s : 4 * s + 4])
+        rho[s] = [own[a, b] if b < len(own) else 0.0 for a in range(4) for b in range(a + 1, 4)]
+    d = math.sqrt(2) * np.linalg.norm(rho[:, None] - rho[None], axis=2)
+    real, syn = (0, 2, 4), (1, 3, 5)
+    got = {(r.pair_set, r.i, r.j): r.d for r in catalog.queries()["pm09_frobenius"](spark, str(tmp_path)).collect()}
+    want = {(name, i, j): d[one[i], other[j]] for name, one, other in (("RR", real, real), ("RS", real, syn), ("SS", syn, syn)) for i in range(3) for j in range(3) if name == "RS" or i < j}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=2e-6) for k in want)
+    rr, rs = ([v for k, v in want.items() if k[0] == name] for name in ("RR", "RS"))
+    score = catalog.queries()["sc09_spatial_score"](spark, str(tmp_path)).first().score
+    assert math.isclose(score, 1 / (1 + abs((np.mean(rs) - np.mean(rr)) / np.std(rr))), abs_tol=2e-6)
