@@ -109,3 +109,13 @@ def test_frobenius_of_incomplete_samples(spark, tmp_path):
     rr, rs = ([v for k, v in want.items() if k[0] == name] for name in ("RR", "RS"))
     score = catalog.queries()["sc09_spatial_score"](spark, str(tmp_path)).first().score
     assert math.isclose(score, 1 / (1 + abs((np.mean(rs) - np.mean(rr)) / np.std(rr))), abs_tol=2e-6)
+
+
+def test_all_pairs_over_blocks(spark):
+    """Pairs are written where two blocks meet: no shuffle after the blocks, each pair once."""
+    signals = frame(spark, np.zeros((23, 1)), np.zeros((9, 1)))
+    rr, rs = (P.all_pairs(signals, name, 4) for name in ("RR", "RS"))
+    assert "Exchange" not in plan(rr) and "CartesianProduct" in plan(rr)
+    assert sorted((r.i, r.j) for r in rr.collect()) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
+    assert sorted((r.i, r.j) for r in rs.collect()) == [(i, j) for i in range(23) for j in range(9)]
+    assert P.all_pairs(signals.where("idx < 0"), "RR").count() == 0
