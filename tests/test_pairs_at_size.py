@@ -119,3 +119,24 @@ def test_all_pairs_over_blocks(spark):
     assert sorted((r.i, r.j) for r in rr.collect()) == [(i, j) for i in range(23) for j in range(i + 1, 23)]
     assert sorted((r.i, r.j) for r in rs.collect()) == [(i, j) for i in range(23) for j in range(9)]
     assert P.all_pairs(signals.where("idx < 0"), "RR").count() == 0
+
+
+def test_numbers_when_cuts_differ_each_time(spark, monkeypatch):
+    """Approximate quantiles may come out otherwise each time they are computed; numbers and pairs are the same."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import ranks
+
+    clock = F.expr("java_method('java.lang.System', 'nanoTime')").cast("long") * 7919 % 500
+    monkeypatch.setattr(ranks.F, "percentile_approx", lambda column, steps, accuracy: F.transform(F.array(*map(F.lit, steps)), lambda s: clock + 0 * F.max(column)))
+    rows = spark.range(500).select((F.col("id") * 7 % 500).alias("signal_id"), F.when(F.col("id") % 7 < 3, "real").otherwise("synthetic").alias("role"))
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = sorted((r.role, r.signal_id, r.idx) for r in P.indexed(rows).collect())
+        n = sum(g[0] == "real" for g in got)
+        pairs = sorted((r.i, r.j) for r in P.all_pairs(P.indexed(rows), "RS").collect())
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    for role in ("real", "synthetic"):
+        assert [g[2] for g in got if g[0] == role] == list(range(sum(g[0] == role for g in got)))
+    assert pairs == [(i, j) for i in range(n) for j in range(500 - n)]
