@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+
+from tidemark.llm import simhash
 from tidemark.llm import similar as S
 
 SCHEMA = "doc_id long, text string, fp string"
@@ -68,3 +71,18 @@ def test_stage_removes_near_copies_that_simhash_leaves(spark, sf_dir):
 
 def test_empty(spark):
     assert S.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_fingerprints_link_first(spark):
+    """Copies with a word changed are linked by their fingerprints alone; equal fingerprints without the similarity are not linked."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    base = [word() for _ in range(600)]
+    near = [*base[:-1], "changed"]
+    phrase = ["one", "two", "three", "four", "five", "six", "seven"] * 200
+    one, other = (" ".join([*phrase, *(word() for _ in range(25))]) for _ in range(2))
+    assert simhash.fingerprint(one.encode(), 5) == simhash.fingerprint(other.encode(), 5)
+    docs = spark.createDataFrame(list(enumerate([" ".join(base), " ".join(near), one, other, None, ""])), "doc_id long, text string")
+    for whole in (False, True):
+        got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, whole=whole).collect()}
+        assert got[0] == got[1] and got[4] == got[5] and len({got[0], got[2], got[3], got[4]}) == 4

@@ -2,7 +2,8 @@
 
 Sets at similarity 4/5 share a shingle among the first |x| - ceil(4|x|/5) + 1 of each, whatever the order of shingles,
 as long as it is one order for all. The order is by counts in a sketch of the corpus, rare first, so that few sets meet
-at a shingle. Sets that meet are compared in full. In each round the sets at a shingle are compared with one of
+at a shingle. Sets that meet are compared in full. Fingerprints come first: texts whose fingerprints meet in op2's balls are compared
+and linked where the similarity holds, and the rounds find what balls don't reach. In each round the sets at a shingle are compared with one of
 them only, and what is linked is not compared again; after ROUNDS rounds all pairs that are still unlinked are compared.
 Nothing is estimated: the sketch sets the order, and with it the cost, not the result.
 """
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import checkpoint, discard, lean, materialize, text_hash
 from tidemark.llm.components import connected_components
-from tidemark.llm.simhash import one_of_each
+from tidemark.llm.simhash import fingerprint, one_of_each
+from tidemark.llm.simhash import links as ball_links
 
 SHINGLE = 5
 #: Counters of the sketch, in blocks; one text in so many is counted; words whose hashes are kept at once.
@@ -81,13 +83,14 @@ def _sketch(texts: DataFrame) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(doc_id, text_key, id, n, bits, prefix) from (doc_id, text_key, text): id stands for the set of shingles, n is its size."""
+    """(doc_id, text_key, id, n, bits, prefix, fp) from (doc_id, text_key, text): id stands for the set of shingles, n is its size, fp is
+    op2's fingerprint over the same shingles."""
     counts = texts.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for batch in batches:
-            ids, sizes, bits, prefixes = [], [], [], []
+            ids, sizes, bits, prefixes, fps = [], [], [], [], []
             for text in batch.column(2).cast(pa.binary()).to_pylist():
                 s = shingles(text, known)
                 ids.append(xxhash.xxh64_intdigest(s.tobytes(), 7))
@@ -97,12 +100,13 @@ def _sets(texts: DataFrame, sketch: np.ndarray) -> DataFrame:
                 first = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
                 order = np.lexsort((s, counts.value[s & np.uint64(COUNTERS - 1)]))[:first]
                 prefixes.append(s[order].view(np.int64))
+                fps.append(fingerprint(text, SHINGLE))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc_id", "text_key", "id", "n", "bits", "prefix"],
+                [batch.column(0), batch.column(1), pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=["doc_id", "text_key", "id", "n", "bits", "prefix", "fp"],
             )
 
-    return texts.mapInArrow(lean(run), "doc_id long, text_key string, id long, n long, bits array<long>, prefix array<long>")
+    return texts.mapInArrow(lean(run), "doc_id long, text_key string, id long, n long, bits array<long>, prefix array<long>, fp long")
 
 
 #: Bits by which the texts of sets that are compared in full are found again, whatever their number; others pass a join later.
@@ -176,23 +180,38 @@ def _alike(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return found
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ball_pairs(own: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets (id, fp) that connect all whose fingerprints op2's method links; one pair a link, and one for each further
+    set of a fingerprint."""
+    by = own.select("fp", "id").distinct()
+    least = materialize(by.groupBy("fp").agg(F.min("id").alias("least")), "similar-fingerprints")
+    met = ball_links(least.select("fp"), least.count())
+    across = met.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select("x", "y")
+    within = by.join(least, "fp").select(F.col("least").alias("x"), F.col("id").alias("y"))
+    pairs = across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    out = materialize(pairs, "similar-balls")
+    discard(least)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """(doc_id, text_key, component_id) for every row of docs: component_id is the same for rows that are connected by pairs
     of similarity 0.8 or more. Texts without words, null ones among them, are alike. Repeated rows have a row each. Texts of any
-    length are read whole, other columns not at all. An empty table gives an empty result. Scratch tables are deleted."""
+    length are read whole, other columns not at all. An empty table gives an empty result. Scratch tables are deleted. Without `whole` only
+    the pairs that fingerprints find are linked."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
     sketch = _sketch(texts.where(F.pmod(F.crc32("text_key"), F.lit(SAMPLE)) == 0).select("text"))
     own = materialize(_sets(texts, sketch), "similar")
     sets = materialize(own.groupBy("id").agg(F.min(F.struct("text_key", "doc_id")).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix")), "similar-distinct")
-    rows = sets.select("id", "n", F.posexplode("prefix").alias("at", "token"))
+    compared = _ball_pairs(own)
+    links = _alike(compared, sets, texts)
+    roots = checkpoint(connected_components(links).withColumnRenamed("node", "id"))
+    rows = sets.select("id", "n", F.posexplode("prefix").alias("at", "token")).where(F.lit(whole))
     met = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     rows = materialize(rows.join(met, "token"), "similar-met")
-    links = compared = roots = None
-    before, stored = rows, []
+    before, stored = rows, [compared]
     for number in range(ROUNDS + 1):
-        now = rows.select("id", "n", "at", "token")
-        now = now if roots is None else now.join(roots, "id", "left")
-        now = now.withColumn("root", F.col("id") if roots is None else F.coalesce("root", "id"))
+        now = rows.select("id", "n", "at", "token").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         by = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id", "n", "at", "root")).alias("p"))
         open_ = by.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("linked"), F.min("p").alias("p"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         open_ = materialize(open_.select("token", "p"), "similar-open")
@@ -210,16 +229,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             # what is left of both sets from their first common shingle on must reach the similarity
             pairs = now.where("root <> p.root and 5 * least(n, p.n) >= 4 * greatest(n, p.n) and 9 * least(n - at, p.n - p.at) >= 4 * (n + p.n)").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-        pairs = pairs.distinct() if compared is None else pairs.distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "similar-candidates")
+        pairs = materialize(pairs.distinct().join(compared, ["a", "b"], "left_anti"), "similar-candidates")
         stored.append(pairs)
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        found = _alike(pairs, sets, texts)
-        links = found if links is None else links.unionByName(found)
+        compared = compared.unionByName(pairs)
+        links = links.unionByName(_alike(pairs, sets, texts))
         roots = checkpoint(connected_components(links).withColumnRenamed("node", "id"))
         if last:
             break
-    out = own.withColumn("root", F.lit(None).cast("long")) if roots is None else own.join(roots, "id", "left")
+    out = own.join(roots, "id", "left")
     out = materialize(out.select("doc_id", "text_key", F.coalesce("root", "id").alias("component_id")), "similar-components")
     discard(own, sets, before, *stored)
     return out
