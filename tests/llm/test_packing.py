@@ -19,6 +19,26 @@ def test_encoder_equals_whole_texts(spark, sf_dir):
     assert encoder.encode([None, ''])[1].tolist() == []
 
 
+def test_encoder_remembers_chunks(monkeypatch):
+    """Chunks are tokenized once, though more distinct runs pass than are remembered; one that forgets chunks gives the same ids."""
+    path = public_tokenizers.path(P.TOKENIZER)
+    t = Tokenizer.from_file(path)
+    texts = [" ".join(f"{chr(97 + i)}word{chr(97 + k)}, don't" for i in range(20)) for k in (0, 1, 0, 1, 2, 0)]
+    want = [t.encode(text, add_special_tokens=False).ids for text in texts]
+    monkeypatch.setattr(P, "CACHE", 4)
+    encoder, seen = P.Encoder(path), []
+    whole = encoder._chunk
+    encoder._chunk = lambda chunk: seen.append(chunk) or whole(chunk)
+    assert [encoder.encode([text])[0].tolist() for text in texts] == want
+    assert len(seen) == len(set(seen)) == 61
+    for name, most in (("CHUNKS", 25), ("CHUNK_BYTES", 200)):
+        with monkeypatch.context() as small:
+            small.setattr(P, name, most)
+            encoder = P.Encoder(path)
+            assert [encoder.encode([text])[0].tolist() for text in texts] == want
+            assert len(encoder.known) <= 3 * 21
+
+
 def test_pack(spark, sf_dir):
     texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     texts += [(9001, None), (9002, ""), (None, "no id"), (5, texts[5][1]), (9003, "word " * 4095), (9004, "word " * 4096), (9005, "word " * 30_000)]

@@ -15,6 +15,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import lean, materialize
 
 WINDOW, END_ID = 4096, 2
-#: Pieces aimed at in one shard; BM25's constants; runs that a task remembers; characters of text looked up at once.
+#: Pieces aimed at in one shard; BM25's constants; runs that a worker remembers; characters of text looked up at once.
 SHARD, K1, B, CACHE, SLICE = 4096, 1.2, 0.75, 150_000, 1 << 22
+#: Chunks that a worker remembers with their ids, and bytes of these.
+CHUNKS, CHUNK_BYTES = 1 << 19, 1 << 25
 #: Terms of a shard that are held as columns of a matrix.
 COLUMNS = 384
 TOKENIZER = "word_bpe_49k.json"
@@ -43,8 +46,9 @@ _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b
 
 
 class Encoder:
-    """Token ids of texts. The runs of letters or signs in the chunks between white space are remembered, so the tokenizer's
-    model sees each distinct run once; the memory is bounded and ends with the encoder."""
+    """Token ids of texts. The chunks between white space are remembered with their ids as one Arrow array, so frequent ones are looked up
+    without Python; so are the runs of letters or signs in them. What is remembered is bounded; when it is full only what the texts at
+    hand use stays."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,6 +56,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.runs: dict[str, bytes] = {}
+        self.known, self.ids, self.sizes = pa.array([], pa.string()), np.empty(0, np.uint16), np.empty(0, np.int64)
 
     def _run(self, run: str) -> bytes:
         if len(self.runs) >= CACHE:
@@ -68,6 +73,21 @@ class Encoder:
             return (runs.get(low[:-1]) or self._run(low[:-1])) + (runs.get(low[-1]) or self._run(low[-1]))
         return b"".join([runs.get(r) or self._run(r) for r in _RUNS.findall(low)])
 
+    def _learn(self, chunks: pa.Array) -> np.ndarray:
+        """The places of distinct chunks among those known, which they join."""
+        if len(self.known) > CHUNKS or self.known.nbytes > CHUNK_BYTES or len(self.ids) > CHUNK_BYTES:
+            stay = pc.is_in(self.known, value_set=chunks).to_numpy(zero_copy_only=False)
+            self.known, self.ids, self.sizes = self.known.filter(pa.array(stay)), self.ids[np.repeat(stay, self.sizes)], self.sizes[stay]
+        place = pc.fill_null(pc.index_in(chunks, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(place < 0)
+        fresh = chunks.take(pa.array(new))
+        found = list(map(self._chunk, fresh.to_pylist()))
+        place[new] = len(self.known) + np.arange(len(new))
+        self.known = pa.concat_arrays([self.known, fresh])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(found), np.uint16)])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, found), np.int64, len(found)) >> 1])
+        return place
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of every text; the distinct chunks of all plain ones are looked up once."""
         plain, whole = [], {}
@@ -77,16 +97,20 @@ class Encoder:
                 text = None
             plain.append(_SPACES.sub(" ", (text or "").lower()).encode("utf-8", "surrogatepass"))
         sizes, coded = _words(plain)
-        found = list(map(self._chunk, coded.dictionary.to_pylist()))
-        every, lengths = np.frombuffer(b"".join(found), np.uint16), np.fromiter(map(len, found), np.int64, len(found)) >> 1
-        code = coded.indices.to_numpy()
-        own, begin = lengths[code], (np.cumsum(lengths) - lengths)[code]
+        code = self._learn(coded.dictionary)[coded.indices.to_numpy()]
+        own, begin = self.sizes[code], (np.cumsum(self.sizes) - self.sizes)[code]
         ends = np.cumsum(own)
-        ids = every[np.repeat(begin - (ends - own), own) + np.arange(int(own.sum()))]
+        ids = self.ids[np.repeat(begin - (ends - own), own) + np.arange(int(own.sum()))]
         out = np.split(ids, np.r_[0, ends][np.cumsum(sizes)[:-1]])
         return [whole.get(i, own) for i, own in enumerate(out)] if whole else out
 
 
+@lru_cache(1)
+def encoder(path: str) -> Encoder:
+    """The worker's encoder: tasks that follow in the same process find what earlier ones have learned."""
+    return Encoder(path)
+
+
 def _words(texts: list[bytes]) -> tuple[np.ndarray, pa.DictionaryArray]:
     """The number of words between white space in each text, and all words in order."""
     data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
@@ -121,13 +145,13 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, path: str, window: int)
     """Every document's pieces. Rests (under a window) carry their distinct ids and how often each occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        own_encoder = encoder(path)
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("terms", pa.binary()), ("tfs", pa.binary())])
         for batch in batches:
             docs = batch.column(0).to_pylist()
             for first, texts in slices(batch.column(1)):
                 rows = []
-                for doc, ids in zip(docs[first:], encoder.encode(texts), strict=False):
+                for doc, ids in zip(docs[first:], own_encoder.encode(texts), strict=False):
                     ids = np.append(ids, np.uint16(END_ID))
                     for at in range(0, len(ids), window):
                         own = ids[at : at + window]
