@@ -86,3 +86,21 @@ def test_fingerprints_link_first(spark):
     for whole in (False, True):
         got = {r.doc_id: r.component_id for r in S.near_duplicates(docs, whole=whole).collect()}
         assert got[0] == got[1] and got[4] == got[5] and len({got[0], got[2], got[3], got[4]}) == 4
+
+
+def test_unlike_lengths_form_no_pair(spark):
+    """At a frequent shingle few of all pairs are formed, and all that may reach the similarity are; linked ones are not."""
+    rng = random.Random(5)
+    sets = [(i, int(50 * 1.02 ** rng.randrange(250)), rng.randrange(3) and rng.randrange(8), rng.choice((i, 7))) for i in range(300)]
+    few = [(i, n, at, i) for i, n, at, _ in sets[:6]]
+    rows = [(token, i, n, at, root, len(own)) for token, own in ((1, sets), (2, few)) for i, n, at, root in own]
+    dealt = S._dealt(spark.createDataFrame(rows, "token long, id long, n long, at int, root long, k long"))
+    places, formed = S._places(dealt)
+    want = set()
+    for own in (sets, few):
+        for a, m, i, r in own:
+            for b, n, j, s in own:
+                if a < b and r != s and 5 * min(m, n) >= 4 * max(m, n) and 9 * min(m - i, n - j) >= 4 * (m + n):
+                    want.add((a, b))
+    assert {(r.a, r.b) for r in S._unlinked_pairs(dealt, places).collect()} == want
+    assert len(want) <= formed < 300 * 299 / 2 / 5

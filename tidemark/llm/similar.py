@@ -4,7 +4,8 @@ Sets at similarity 4/5 share a shingle among the first |x| - ceil(4|x|/5) + 1 of
 as long as it is one order for all. The order is by counts in a sketch of the corpus, rare first, so that few sets meet
 at a shingle. Sets that meet are compared in full. Fingerprints come first: texts whose fingerprints meet in op2's balls are compared
 and linked where the similarity holds, and the rounds find what balls don't reach. In each round the sets at a shingle are compared with one of
-them only, and what is linked is not compared again; after ROUNDS rounds all pairs that are still unlinked are compared.
+them only, and what is linked is not compared again; after ROUNDS rounds, or as soon as they are few, all pairs that are still unlinked are
+compared. Those meet by classes of length, so sets of unlike lengths at a frequent shingle form no pair.
 Nothing is estimated: the sketch sets the order, and with it the cost, not the result.
 """
 
@@ -26,8 +27,10 @@ from tidemark.llm.simhash import links as ball_links
 SHINGLE = 5
 #: Counters of the sketch, in blocks; one text in so many is counted; words whose hashes are kept at once.
 COUNTERS, BLOCK, SAMPLE, WORDS = 1 << 20, 1 << 16, 8, 1 << 16
-#: Rounds with one of the sets at a shingle, after which all unlinked pairs are compared.
-ROUNDS = 3
+#: Rounds with one of the sets at a shingle, after which all unlinked pairs are compared; pairs a row that these may form to be compared sooner.
+ROUNDS, PAIRS = 3, 4
+#: Sets at a shingle up to which each meets all others; where there are more, sets meet by classes of length, so many to a doubling.
+LIGHT, CLASSES = 8, 16
 BITMAP = 512
 _FACTORS = (np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -194,6 +197,37 @@ def _ball_pairs(own: DataFrame) -> DataFrame:
     return out
 
 
+def _dealt(now: DataFrame) -> DataFrame:
+    """(token, slot, long, id, n, at, root): where rows of now (token, id, n, at, root, k) meet. The longer of two sets (long = 1) goes to the
+    classes of all lengths that the shorter may have, by its own length and by what is left of it from the shingle on; the shorter (0)
+    to its own class. At a shingle of few sets there is one class."""
+    length = lambda n: F.floor(F.log2(n) * CLASSES).cast("int")
+    few, own = F.col("k") <= LIGHT, ["id", "n", "at", "root"]
+    rows = now.select("token", *own, "k", F.expr("(4 * n + 4) div 5").alias("low"), F.expr("least(n, (5 * n - 9 * at) div 4)").alias("high"))
+    longer = rows.where("low <= high").select("token", F.explode(F.when(few, F.array(F.lit(-1))).otherwise(F.sequence(length("low"), length("high")))).alias("slot"), F.lit(1).alias("long"), *own)
+    shorter = rows.where("9 * at <= n").select("token", F.when(few, F.lit(-1)).otherwise(length("n")).alias("slot"), F.lit(0).alias("long"), *own)
+    return longer.unionByName(shorter)
+
+
+def _places(dealt: DataFrame) -> tuple[DataFrame, int]:
+    """(token, slot) where unlinked sets meet, and the number of pairs they form there."""
+    by = dealt.groupBy("token", "slot", "root").agg(F.sum("long").alias("x"), F.sum(1 - F.col("long")).alias("y"))
+    formed = by.groupBy("token", "slot").agg((F.sum("x") * F.sum("y") - F.sum(F.col("x") * F.col("y"))).alias("formed"))
+    places = materialize(formed.where("formed > 0"), "similar-places")
+    return places.select("token", "slot"), places.agg(F.sum("formed")).first()[0] or 0
+
+
+def _unlinked_pairs(dealt: DataFrame, places: DataFrame) -> DataFrame:
+    """(a, b): all unlinked sets that may reach the similarity, by pairs of roots, so that linked pairs are not even formed."""
+    met = dealt.join(places, ["token", "slot"])
+    a, b = (met.where(F.col("long") == long).select("token", "slot", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "root"))) for s, long in (("a", 1), ("b", 0)))
+    apart = a.select("token", "slot", "root_a").distinct().join(b.select("token", "slot", "root_b").distinct(), ["token", "slot"]).where("root_a <> root_b")
+    pairs = apart.join(a, ["token", "slot", "root_a"]).join(b, ["token", "slot", "root_b"])
+    # what is left of both sets from their first common shingle on must reach the similarity
+    pairs = pairs.where("(n_a > n_b or n_a = n_b and id_a > id_b) and 5 * n_b >= 4 * n_a and 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)")
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = True) -> DataFrame:
     """(doc_id, text_key, component_id) for every row of docs: component_id is the same for rows that are connected by pairs
     of similarity 0.8 or more. Texts without words, null ones among them, are alike. Repeated rows have a row each. Texts of any
@@ -213,19 +247,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for number in range(ROUNDS + 1):
         now = rows.select("id", "n", "at", "token").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         by = now.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(number)).alias("h"), "id", "n", "at", "root")).alias("p"))
-        open_ = by.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("linked"), F.min("p").alias("p"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-        open_ = materialize(open_.select("token", "p"), "similar-open")
+        open_ = by.groupBy("token").agg(F.sum("k").alias("k"), F.min("p").alias("p"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        open_ = materialize(open_.select("token", "p", "k"), "similar-open")
         if open_.isEmpty():
             break
-        last = number == ROUNDS
         now = materialize(now.join(open_, "token"), "similar-unlinked")
         discard(before, open_)
         rows = before = now  # sets at other shingles are linked, and stay so
-        if last:  # by pairs of roots, so that linked pairs are not even formed
-            a, b = (now.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "at", "root"))) for s in "ab")
-            apart = a.select("token", "root_a").distinct().join(b.select("token", "root_b").distinct(), "token").where("root_a < root_b")
-            pairs = apart.join(a, ["token", "root_a"]).join(b, ["token", "root_b"])
-            pairs = pairs.where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b) and 9 * least(n_a - at_a, n_b - at_b) >= 4 * (n_a + n_b)").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+        dealt = _dealt(now)
+        places, formed = _places(dealt)
+        stored.append(places)
+        last = number == ROUNDS or formed <= PAIRS * now.count()
+        if last:
+            pairs = _unlinked_pairs(dealt, places)
         else:
             # what is left of both sets from their first common shingle on must reach the similarity
             pairs = now.where("root <> p.root and 5 * least(n, p.n) >= 4 * greatest(n, p.n) and 9 * least(n - at, p.n - p.at) >= 4 * (n + p.n)").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
