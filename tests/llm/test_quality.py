@@ -93,3 +93,17 @@ def test_held_out(spark):
     good = kept.get((1, True), 0) / (kept.get((1, True), 0) + kept.get((1, False), 0))
     bad = kept.get((0, False), 0) / (kept.get((0, True), 0) + kept.get((0, False), 0))
     assert good > 0.97 and bad > 0.7
+
+
+def test_plans_stay_small(spark, monkeypatch):
+    """No stored table comes from one plan of all orders: Spark plans it anew after each stage, in the driver's memory."""
+    seen, stored = {}, Q.materialize
+
+    def watched(df, name):
+        seen[name] = df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+        return stored(df, name)
+
+    monkeypatch.setattr(Q, "materialize", watched)
+    docs = spark.createDataFrame([(k, f"some text {k}", "en") for k in range(9)], "doc_id long, text string, lang string")
+    assert Q.perplexities(docs, docs.select("doc_id"), calibrate=0).where("perplexity > 1").count() == 9
+    assert "kn-scores" in seen and max(seen.values()) <= 8, seen

@@ -206,19 +206,30 @@ def model(counts: DataFrame, scratch: list[DataFrame]) -> dict[int, tuple[DataFr
 
 
 def log_probabilities(asked: DataFrame, tables: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(lang, gram, logp) for distinct (lang, gram): from the lowest order up, p + gamma * (p of the lower order).
+    """(lang, gram, logp) for distinct (lang, gram), stored: from the lowest order up, p + gamma * (p of the lower order).
 
-    Below single symbols lies the uniform distribution over 2**16. Languages without a model have no row.
+    Below single symbols lies the uniform distribution over 2**16. Languages without a model have no row. asked: (lang, gram), repeats
+    allowed. Each order is a table of the distinct grams that are asked for at it, which the next one joins: one plan of all orders would be
+    large enough to fill the driver's memory while Spark plans it anew after each of its stages.
     """
-    cur = asked.withColumn("q", F.lit(1.0 / (1 << 16)))
+    low = lambda k: F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)).alias("gram")
+    shorter = materialize(asked.select("lang", low(ORDER - 1)).distinct(), "kn-asked")
+    known = small(tables[1][1].select("lang").distinct(), "kn-langs")
+    lower = None
     for k in range(1, ORDER + 1):
         probs, contexts = tables[k]
-        low = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1)) if k < ORDER else F.col("gram")
-        step = cur.withColumns({"g": low, "c": F.shiftrightunsigned(low, 16)})
-        step = step.join(probs.select("lang", F.col("gram").alias("g"), "p"), ["lang", "g"], "left").join(contexts.select("lang", F.col("context").alias("c"), "gamma"), ["lang", "c"], "left")
-        cur = step.select("lang", "gram", (F.coalesce("p", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("q")).alias("q"))
-    known = small(tables[1][1].select("lang").distinct(), "kn-langs")
-    return cur.join(known, "lang", "left_semi").select("lang", "gram", F.log("q").alias("logp"))
+        step = (asked if k == ORDER else shorter.select("lang", low(k))).select("lang", "gram").distinct()
+        step = step.withColumn("q", F.lit(1.0 / (1 << 16))) if lower is None else step.withColumn("l", low(k - 1)).join(lower.select("lang", F.col("gram").alias("l"), "q"), ["lang", "l"])
+        step = step.withColumn("c", F.shiftrightunsigned("gram", 16)).join(probs.select("lang", "gram", "p"), ["lang", "gram"], "left").join(contexts.select("lang", F.col("context").alias("c"), "gamma"), ["lang", "c"], "left")
+        q = F.coalesce("p", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("q")
+        done = [] if lower is None else [lower]
+        if k < ORDER:
+            lower = materialize(step.select("lang", "gram", q.alias("q")), f"kn-q{k}")
+        else:
+            done.append(shorter)
+            lower = materialize(step.join(known, "lang", "left_semi").select("lang", "gram", F.log(q).alias("logp")), "kn-scores")
+        discard(*done)
+    return lower
 
 
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", calibrate: int = CALIBRATE) -> DataFrame:
@@ -274,7 +285,8 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     try:
         asked = kept(requests(marked), "kn-requests")
         counts = kept(asked.where("trusted > 0").groupBy("lang", "gram").agg(F.sum("trusted").alias("n")), "kn-4")
-        scored = kept(log_probabilities(asked.select("lang", "gram").distinct(), model(counts, scratch)), "kn-scores")
+        scored = log_probabilities(asked.select("lang", "gram"), model(counts, scratch))
+        scratch.append(scored)
         answers = asked.select("block", "lang", "gram").join(scored, ["lang", "gram"])
         answered = answers.select("block", "gram", "logp").groupBy("block").applyInArrow(collect, "block long, grams binary, logps binary")
         joined = marked.join(answered, "block", "left").select("lang", "content", "places", "grams", "logps")
