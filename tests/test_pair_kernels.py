@@ -37,3 +37,22 @@ def test_time_frequency_score_leaves_no_row_a_pair(spark):
     assert math.isclose(one.score, np.mean(s), abs_tol=1e-9) and math.isclose(one.sd, np.std(s, ddof=1), abs_tol=1e-9)
     rows = {(r.pair_set, r.i, r.j): r.ssim for r in X.scalogram_similarity(frame(spark, real, syn), 128.0, freqs).collect()}
     assert len(rows) == 10 + 20 + 6 and math.isclose(rows["RS", 4, 3], X.similarity(images[0][4], images[1][3])[0], abs_tol=1e-9)
+
+
+def test_warping_in_whole_numbers_first():
+    """On noise, where bounds say nothing: each row's nearest, equal ones included, and few pairs in full."""
+    from tidemark.operators import warping as W
+
+    rng = np.random.default_rng(13)
+    a, b = rng.normal(size=(20, 48)), rng.normal(size=(150, 48))
+    b[40] = b[90] = a[3]
+    d = P.dtw_matrix(a, b)
+    limit = np.sort(d, axis=1)[:, 9].copy()
+    p, q, found, cells = W.near_pairs(a, b, *np.nonzero(np.ones(d.shape, bool)), limit)
+    assert (found == d[p, q]).all() and len(p) < 300 and cells < 1.3 * d.size * 48 * 48
+    assert all(min(zip(found[p == i], q[p == i], strict=True)) == (d[i].min(), d[i].argmin()) for i in range(20))
+    assert np.allclose(limit, d.min(axis=1))
+    for top in (0.0, 1e300, np.inf):  # limits that leave no room for whole numbers
+        p, q, found, _ = W.near_pairs(a[:4], b[:60] * 1e-3, *np.nonzero(np.ones((4, 60), bool)), np.full(4, top), np.full(60, top))
+        assert (found == P.dtw_matrix(a[:4], b[:60] * 1e-3)[p, q]).all() and (len(p) >= 4 if top else not len(p))
+    assert (W.lower_bounds(a, b) <= d + 1e-9).all()
