@@ -56,3 +56,29 @@ def test_warping_in_whole_numbers_first():
         p, q, found, _ = W.near_pairs(a[:4], b[:60] * 1e-3, *np.nonzero(np.ones((4, 60), bool)), np.full(4, top), np.full(60, top))
         assert (found == P.dtw_matrix(a[:4], b[:60] * 1e-3)[p, q]).all() and (len(p) >= 4 if top else not len(p))
     assert (W.lower_bounds(a, b) <= d + 1e-9).all()
+
+
+def test_fluctuations_of_columns(spark):
+    """Means of some columns, and pairs, against plain sums over windows; signals travel, not their residuals."""
+    rng = np.random.default_rng(14)
+    real, syn, sizes, qs = rng.normal(size=(5, 90)), rng.normal(size=(4, 90)), [8, 13, 30], [-2.0, -1.0, 0.0, 1.0, 3.0]
+    rest = lambda x, n: [(lambda y, i: y - np.polyval(np.polyfit(i, y, 1), i))(p, np.arange(n)) for p in np.cumsum(x - x.mean())[: len(x) // n * n].reshape(-1, n)]
+    logs = np.log(sizes)
+
+    def plain(x, y):
+        f2 = [np.array([(u * v).mean() for u, v in zip(rest(x, n), rest(y, n), strict=True)]) for n in sizes]
+        own = [[np.array([(u * u).mean() for u in rest(z, n)]) for n in sizes] for z in (x, y)]
+        rho = np.tanh(np.mean([np.arctanh(f.mean() / np.sqrt(a.mean() * b.mean())) for f, a, b in zip(f2, *own, strict=True)]))
+        fq = lambda f: np.array([[(np.abs(v) ** (q / 2)).mean() ** (1 / q) for v in f] for q in qs if q])
+        hq = np.array([np.polyfit(logs, np.log(row), 1)[0] for row in fq(f2)])
+        alpha = hq + np.array([q for q in qs if q]) * np.gradient(hq, [q for q in qs if q])
+        return rho, np.polyfit(logs, 0.5 * np.log([abs(f.mean()) for f in f2]), 1)[0], hq.mean(), (fq(f2) / (np.sqrt(fq(own[0]) * fq(own[1])) + 1e-12)).mean(), np.ptp(alpha)
+
+    want = np.array([plain(x, y) for x in real for y in syn])
+    signals = frame(spark, real, syn)
+    rows = sorted(X.cross_fluctuations(signals, sizes, qs, 90, ("RS",)).collect(), key=lambda r: (r.i, r.j))
+    assert np.allclose([[r[c] for c in X.FLUCTUATIONS] for r in rows], want)
+    got = X.mean_fluctuations(signals, sizes, qs, 90, ("RS",), ("h", "p")).first()
+    assert np.allclose([got.h, got.h_sd, got.p, got.p_sd], [want[:, 1].mean(), want[:, 1].std(), want[:, 3].mean(), want[:, 3].std()])
+    halves = X._cross(sizes, [-1.0, 0.5, 1.0], 90, ("hq",))
+    assert np.isfinite(halves[1](*(halves[0](x) for x in (real, syn)))["hq"]).all()
