@@ -82,3 +82,50 @@ def test_fluctuations_of_columns(spark):
     assert np.allclose([got.h, got.h_sd, got.p, got.p_sd], [want[:, 1].mean(), want[:, 1].std(), want[:, 3].mean(), want[:, 3].std()])
     halves = X._cross(sizes, [-1.0, 0.5, 1.0], 90, ("hq",))
     assert np.isfinite(halves[1](*(halves[0](x) for x in (real, syn)))["hq"]).all()
+
+
+def test_coherence_by_matrix_products(spark, monkeypatch):
+    """Against each pair's own formula, with few segments and with many; a constant signal's is 0, copies' equal."""
+    from tidemark.operators import features as E
+
+    rng = np.random.default_rng(15)
+    real, syn = rng.normal(size=(5, 256)), rng.normal(size=(4, 256))
+    real[2], syn[1] = 3.0, real[1]
+    signals, config = frame(spark, real, syn), E.SpectrumConfig(128.0)
+    size = config.coherence_segment(256)
+    freqs, (low, high) = np.arange(size // 2 + 1) * 128.0 / size, config.band
+    mask = (freqs >= low) & (freqs <= high)
+
+    def plain(x, y):
+        u, v = (E.segment_spectra(z, size, config.overlap) for z in (x, y))
+        power = (np.abs(u) ** 2).sum(axis=0) * (np.abs(v) ** 2).sum(axis=0)
+        c = np.where(power > 1e-20, np.abs((u.conj() * v).sum(axis=0)) ** 2 / np.where(power > 1e-20, power, 1), 0.0)
+        return X.simpson_last(c[mask], 128.0 / size) / (high - low)
+
+    want = np.array([[plain(x, y) for y in syn] for x in real])
+    for flat in (X.FLAT, 1):
+        monkeypatch.setattr(X, "FLAT", flat)
+        got = {(r.i, r.j): r.coherence for r in X.coherence(signals, config, ("RS",)).where("band = 'Global'").collect()}
+        assert np.allclose([[got[i, j] for j in range(4)] for i in range(5)], want, atol=1e-12)
+    assert math.isclose(X.mean_coherence(signals, config).first()["mean"], want.mean(), abs_tol=1e-12)
+
+
+def test_values_are_sent_in_small_steps_and_rounds(spark, monkeypatch):
+    """Sorted values come back bit for bit and are packed well; a key at a time gives the same as all together."""
+    import zlib
+
+    from tidemark.operators import features as E
+
+    v = np.sort(np.random.default_rng(16).normal(size=5000))
+    v = np.unique(np.concatenate([v, [0.0, 1e300, -1e300, 5e-324]]))
+    assert (P._unpacked(P._packed(v)) == v).all()
+    near = np.linspace(0.3, 0.301, 5000) + 1e-12 * np.sin(np.arange(5000))
+    assert len(zlib.compress(P._packed(near), 1)) < 0.8 * len(zlib.compress(near.tobytes(), 1))
+    rng = np.random.default_rng(17)
+    signals = frame(spark, rng.normal(size=(7, 256)), rng.normal(size=(6, 256)))
+    found = []
+    for most in (P.SHUFFLED, 10):
+        monkeypatch.setattr(P, "SHUFFLED", most)
+        rows = X.coherence_compared(signals, E.SpectrumConfig(128.0, bands=[("Low", 1.0, 20.0)])).collect()
+        found.append(sorted((r.band, r.pair_set, r.n, round(r["mean"], 12), r.u, r.ties) for r in rows))
+    assert found[0] == found[1] and len(found[0]) == 6
