@@ -129,3 +129,18 @@ def test_values_are_sent_in_small_steps_and_rounds(spark, monkeypatch):
         rows = X.coherence_compared(signals, E.SpectrumConfig(128.0, bands=[("Low", 1.0, 20.0)])).collect()
         found.append(sorted((r.band, r.pair_set, r.n, round(r["mean"], 12), r.u, r.ties) for r in rows))
     assert found[0] == found[1] and len(found[0]) == 6
+
+
+def test_plane_scores_leave_a_row_a_signal_and_task(spark, monkeypatch):
+    """Sums over all pairs are added up within a task; rows do not grow with the pairs of blocks."""
+    from tidemark.operators import measures as M
+
+    rng = np.random.default_rng(18)
+    real, syn, inner, seen = rng.normal(size=(40, 2)), rng.normal(size=(30, 2)) + 1, P.pairwise, []
+    monkeypatch.setattr(P, "pairwise", lambda *args, **options: seen.append(inner(*args, **options | {"size": 1})) or seen[-1])
+    score = M.embedding_scores(frame(spark, real, syn)).first()
+    own = lambda x: np.linalg.norm(x[:, None] - x, axis=2).sum(axis=1) / (len(x) - 1)
+    other = np.linalg.norm(real[:, None] - syn, axis=2)
+    s = [(o - a) / np.maximum(a, o) for a, o in ((own(real), other.mean(axis=1)), (own(syn), other.mean(axis=0)))]
+    assert math.isclose(score.mixing, 1 - abs((s[0].mean() + s[1].mean()) / 2), abs_tol=1e-9)
+    assert seen[0].where("pair_set = 'RS'").count() <= 8 * (40 + 30)
